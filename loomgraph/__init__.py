@@ -1,0 +1 @@
+"""Spark jobs that build account-tag graphs and lay them out."""

@@ -1,0 +1 @@
+"""Empty on purpose: the jobs of this library are batch jobs."""
