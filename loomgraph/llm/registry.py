@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat_template, decontaminate, html_text, language_id, line_dedup, quality_rules, simhash, url_filters
+from . import bpe, chat_template, decontaminate, html_text, language_id, line_dedup, quality_rules, simhash, suffix_dedup, url_filters
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,10 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.judge_substrings(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language_id.identify(docs, language_id.train(docs))
@@ -60,8 +64,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_url_filters, op2_chat_format, op3_bpe, op4_simhash, op5_html_text, op7_language_id, op8_line_dedup, op9_decontaminate,
-    op10_quality_rules,
+    op1_url_filters, op2_chat_format, op3_bpe, op4_simhash, op5_html_text, op6_suffix_dedup, op7_language_id, op8_line_dedup,
+    op9_decontaminate, op10_quality_rules,
 )}
 ORACLES: dict[str, str] = {
     "op1_url_filters": url_filters.SQL,
