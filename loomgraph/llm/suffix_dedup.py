@@ -241,6 +241,8 @@ def _merged(parts: DataFrame, length: int) -> DataFrame:
                 if size > MERGE_BYTES and row[0] != rows[-1][0]:
                     yield work(*map(list, zip(*rows, strict=True)))
                     rows, size = [], 0
+                if rows and row[:3] == rows[-1][:3]:  # rows of one doc_id
+                    continue
                 rows.append(row)
                 size += len(row[3])
         if rows:
