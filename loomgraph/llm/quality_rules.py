@@ -122,7 +122,10 @@ def apply_quality_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_r
     """The documents that pass, with the columns they came with."""
     ordered = order_rules(docs, rules, sample_rows)
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col("text").alias("_t"))
-    judged = quality_features(whole, "_t").where(cascade(ordered))
+    # A filter would be pushed below the statistics and evaluate them again inside each
+    # other's lambdas; the row number, which isn't deterministic, keeps it above them.
+    judged = quality_features(whole, "_t").select("_doc", cascade(ordered).alias("_kept"), F.monotonically_increasing_id().alias("_row"))
+    judged = judged.where("_kept AND _row >= 0")
     return judged.select(*[F.col("_doc").getField(c).alias(c) for c in docs.columns])
 
 
