@@ -5,6 +5,9 @@ line number), has a Jaccard similarity of at least the threshold with it; all li
 judged on the input, not on what is left. Lines of fewer than ``min_words`` different
 words stay and remove nothing.
 
+Lines of equal word sets share a digest; the first of each set stands for it in the join
+and the later ones go.
+
 The words of a line are ordered by rarity in the whole corpus. Similar lines share a word
 of their prefixes, so a line sends a small row for each prefix word; rows that meet pass
 length, positional and bitmap filters. Each line then names one earlier candidate for
@@ -23,6 +26,7 @@ table gives an empty result; extra columns pass through.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,16 +61,16 @@ def _lines(text: str | None, only: set[int] | None = None) -> tuple[np.ndarray,
 
 
 def word_counts(docs: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
-    """How many lines have a word of each bucket; a table of fixed size."""
+    """How often a word of each bucket occurs; a table of fixed size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, dtype=np.int64)
         for b in batches:
+            seen: Counter[bytes] = Counter()
             for t in b.column(0).to_pylist():
-                _, _, h = _lines(t)
-                if len(h):
-                    at, n = np.unique(h % np.uint64(buckets), return_counts=True)
-                    total[at.astype(np.int64)] += n
+                seen.update((t or "").encode().lower().split())
+            at = (_digest(list(seen)) % np.uint64(buckets)).astype(np.int64)
+            total += np.bincount(at, weights=np.fromiter(seen.values(), dtype=np.float64, count=len(seen)), minlength=buckets).astype(np.int64)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
 
@@ -81,16 +85,19 @@ def least_overlap(a, b, threshold: float):
     return np.ceil(threshold / (1 + threshold) * (a + b) - 1e-9).astype(np.int64)
 
 
-_ROW = "key bigint, doc_id bigint, line bigint, size int, place int, s0 bigint, s1 bigint"
+#: Lines that are sorted at once; their number fits the upper 16 bits of a sort key.
+CHUNK = 60_000
+_LINE = "doc_id bigint, line bigint, size int, d0 bigint, d1 bigint, s0 bigint, s1 bigint, skip int, prefix array<bigint>"
 
 
-def prefix_rows(docs: DataFrame, counts, threshold: float, min_words: int) -> DataFrame:
-    """One row for each prefix word of each line, with the line's size, the word's place in
-    it and a bitmap of word parities."""
-    names = [x.split()[0] for x in _ROW.split(", ")]
+def line_rows(docs: DataFrame, counts, threshold: float, min_words: int) -> DataFrame:
+    """One row for each line of enough words: a digest of its word set (d0, d1), a bitmap
+    of word parities (s0, s1), and its prefix words from place ``skip`` on; words before
+    that have no other line."""
+    names = [x.split()[0] for x in _LINE.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rarity = counts.value
+        rarity = _rank(counts.value)
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             lo = 0
@@ -107,34 +114,79 @@ def prefix_rows(docs: DataFrame, counts, threshold: float, min_words: int) -> Da
                     hi += 1
                 lo = hi
                 doc, line, size, h = (np.concatenate(x) for x in (docs_, lines_, sizes_, hashes_))
-                if len(size):
-                    yield pa.RecordBatch.from_arrays(_prefixes(doc, line, size, h, rarity, threshold, min_words), names=names)
+                ends = np.cumsum(size)
+                for at in range(0, len(size), CHUNK):
+                    to = min(at + CHUNK, len(size))
+                    part = h[ends[at] - size[at] : ends[to - 1]]
+                    yield pa.RecordBatch.from_arrays(_prefixes(doc[at:to], line[at:to], size[at:to], part, rarity, threshold, min_words), names=names)
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _LINE)
+
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _ROW)
+def _rank(counts: np.ndarray) -> np.ndarray:
+    """Rarity in eighths of a power of two: 0 for a word found once, below 256."""
+    return (np.log2(np.maximum(counts, 1)) * 8).astype(np.uint64)
 
 
 def _prefixes(doc, line, size, h, rarity, threshold: float, min_words: int) -> list[pa.Array]:
-    owner = np.repeat(np.arange(len(size)), size)
+    keep = size >= min_words
+    h = h[np.repeat(keep, size)]
+    doc, line, size = doc[keep], line[keep], size[keep]
     starts = np.cumsum(size) - size
-    count = rarity[(h % np.uint64(len(rarity))).astype(np.int64)]
-    by = np.lexsort((h, count, owner))
-    h, count = h[by], count[by]
-    place = np.arange(len(h)) - starts[owner]
-    # Parity bitmaps: two lines differ in at least as many words as their bitmaps in bits.
-    bit = ((h >> np.uint64(40)) % np.uint64(128)).astype(np.int64)
-    parity = np.zeros((len(size), 128), dtype=np.uint8)
-    np.add.at(parity, (owner, bit), 1)
-    sig = np.packbits(parity & 1, axis=1, bitorder="little").view("<i8")
+    # A word is its rank and 40 bits of its hash. Words that fall together only add candidates.
+    word = rarity[(h % np.uint64(len(rarity))).astype(np.int64)] << np.uint64(40) | h >> np.uint64(24)
+    owner = np.repeat(np.arange(len(size), dtype=np.uint64), size)
+    word = np.sort(owner << np.uint64(48) | word) & np.uint64((1 << 48) - 1)
     length = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
-    # A word that only one line has meets no other.
-    take = (place < length[owner]) & (size[owner] >= min_words) & (count > 1)
-    o = owner[take]
+    # A word that only one line has meets no other; those come first.
+    place = np.arange(len(h)) - np.repeat(starts, size)
+    once = (word >> np.uint64(40) == 0) & (place < np.repeat(length, size))
+    take = (place < np.repeat(length, size)) & ~once
+    skip = np.add.reduceat(once.astype(np.int64), starts) if len(size) else size
+    offsets = np.concatenate([[0], np.cumsum(length - skip)])
+    # Parity bitmaps: two lines differ in at least as many words as their bitmaps in bits.
+    bit = h >> np.uint64(40) & np.uint64(127)
+    one = np.uint64(1) << (bit & np.uint64(63))
+    zero = np.uint64(0)
+    mixed = (h ^ h >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
+
+    def fold(how: np.ufunc, values: np.ndarray) -> pa.Array:
+        return pa.array((how.reduceat(values, starts) if len(size) else values).view(np.int64))
+
     return [
-        pa.array(h[take].view(np.int64)), pa.array(doc[o]), pa.array(line[o]), pa.array(size[o].astype(np.int32)),
-        pa.array(place[take].astype(np.int32)), pa.array(sig[o, 0]), pa.array(sig[o, 1]),
+        pa.array(doc), pa.array(line), pa.array(size.astype(np.int32)), fold(np.add, h), fold(np.add, mixed ^ mixed >> np.uint64(29)),
+        fold(np.bitwise_xor, np.where(bit < 64, one, zero)), fold(np.bitwise_xor, np.where(bit < 64, zero, one)),
+        pa.array(skip.astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(word[take].view(np.int64))),
     ]
 
 
+def equal_lines(lines: DataFrame, shard: int) -> tuple[DataFrame, DataFrame]:
+    """The first line of each word set with its row, and the later lines (doc_id, line) of
+    each set. Groups of more than ``shard`` lines meet their first line without a shuffle
+    where their number allows it."""
+    row = F.struct("doc_id", "line", "size", "s0", "s1", "skip", "prefix")
+    first = lines.groupBy("d0", "d1").agg(F.min(row).alias("r"), F.count("*").alias("n"))
+    first = materialize(first.select("d0", "d1", "n", "r.*"), "lines-first")
+    many = first.where("n > 1").select("d0", "d1", "n", F.col("doc_id").alias("doc_id0"), F.col("line").alias("line0"))
+    big = many.where(F.col("n") > shard)
+    n_big = big.count()
+    member = lines.select("d0", "d1", "doc_id", "line")
+    differs = (F.col("doc_id") != F.col("doc_id0")) | (F.col("line") != F.col("line0"))
+    if 0 < n_big <= 100_000:
+        few = F.broadcast(big)
+        rest = member.join(few, ["d0", "d1"], "left_anti").join(many.where(F.col("n") <= shard), ["d0", "d1"])
+        later = member.join(few, ["d0", "d1"]).union(rest)
+    else:
+        later = member.join(many, ["d0", "d1"])
+    return first, later.where(differs).select("doc_id", "line").distinct()
+
+
+def prefix_rows(first: DataFrame) -> DataFrame:
+    """One row for each prefix word of each line, with the word's place in it."""
+    rows = first.select("doc_id", "line", "size", "skip", "s0", "s1", F.posexplode("prefix").alias("k", "key"))
+    return rows.select("key", "doc_id", "line", "size", (F.col("k") + F.col("skip")).alias("place"), "s0", "s1")
+
+
 def _passes(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
     """Length, positional and bitmap filters for rows x and y (size, place, s0, s1)."""
     a, b = x[:, 0], y[:, 0]
@@ -178,8 +230,11 @@ def candidates(rows: DataFrame, threshold: float, shard: int, again: DataFrame |
     if again is None:
         marked = rows.withColumn("q", F.lit(0))
     else:
-        # Only words of those lines matter; the marks join on the line.
-        marked = rows.join(again.withColumn("q", F.lit(1)), ["doc_id", "line"], "left").withColumn("q", F.coalesce("q", F.lit(0)))
+        # Only words of those lines matter.
+        marks = again.withColumn("q", F.lit(1))
+        keys = rows.join(marks, ["doc_id", "line"], "left_semi").select("key").distinct()
+        marked = rows.join(keys, "key", "left_semi").join(marks, ["doc_id", "line"], "left").withColumn("q", F.coalesce("q", F.lit(0)))
+        marked = materialize(marked, "lines-again")
     hot = materialize(marked.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > shard), "lines-hot")
     n_hot = hot.count()
     cols = ["key", "i", "j", "doc_id", "line", "size", "place", "s0", "s1", "q"]
@@ -259,14 +314,19 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, min_words: int
     """(doc_id, line): the lines to remove, numbered from 0."""
     docs = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
     counts = docs.sparkSession.sparkContext.broadcast(word_counts(docs, buckets))
-    rows = prefix_rows(docs, counts, threshold, min_words)
+    lines = materialize(line_rows(docs, counts, threshold, min_words), "lines")
+    first, equal = equal_lines(lines, shard)
+    equal = materialize(equal, "lines-gone")
+    rows = prefix_rows(first)
     pairs = materialize(candidates(rows, threshold, shard), "lines-pairs")
     gone = materialize(verified(docs, pairs, threshold), "lines-gone")
     # Lines whose candidates all failed: look at all of theirs.
     open_ = materialize(pairs.select("doc_id", "line").distinct().join(gone, ["doc_id", "line"], "left_anti"), "lines-open")
     if not open_.isEmpty():
-        more = materialize(candidates(rows, threshold, shard, open_), "lines-pairs").join(pairs, _PAIR, "left_anti")
+        more = materialize(candidates(rows, threshold, shard, open_).join(pairs, _PAIR, "left_anti"), "lines-pairs")
         gone = gone.union(materialize(verified(docs, more, threshold), "lines-gone"))
+    discard(lines, first)
+    gone = gone.union(equal).distinct()
     discard(pairs)
     return gone
 
