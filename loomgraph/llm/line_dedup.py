@@ -235,7 +235,9 @@ def candidates(rows: DataFrame, threshold: float, shard: int, again: DataFrame |
         keys = rows.join(marks, ["doc_id", "line"], "left_semi").select("key").distinct()
         marked = rows.join(keys, "key", "left_semi").join(marks, ["doc_id", "line"], "left").withColumn("q", F.coalesce("q", F.lit(0)))
         marked = materialize(marked, "lines-again")
-    hot = materialize(marked.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > shard), "lines-hot")
+    # A word's rank bounds how many lines have it, so only frequent words are counted.
+    frequent = marked.where(F.col("key") >= int(_rank(np.array([shard]))[0]) << 40)
+    hot = materialize(frequent.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > shard), "lines-hot")
     n_hot = hot.count()
     cols = ["key", "i", "j", "doc_id", "line", "size", "place", "s0", "s1", "q"]
     zero = F.lit(0)
