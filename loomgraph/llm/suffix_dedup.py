@@ -9,7 +9,8 @@ goes; earlier means a smaller doc_id, or the same document and an earlier start.
    bytes and its place; keys that occur once can't hold a repeat and end here.
 2. Of segments with equal bytes only the first needs a look: the windows of the others
    all start earlier there. So large groups of copies shrink to one segment.
-3. First segments of keys with different bytes meet in shards. Each shard sorts its
+3. First segments of keys with different bytes meet, and those whose surroundings of the
+   key's gram occur nowhere else go: no window of theirs can repeat. Each shard sorts its
    suffixes and forms its Burrows-Wheeler transform; the transforms are then merged by
    iterative refinement of their interleave. After k rounds the interleave is sorted by
    the first k bytes, and the block borders found so far are the places where common
@@ -42,7 +43,9 @@ GRAM = 32
 #: Different segments of one key that a merge takes at most.
 SHARD = 4096
 #: Bytes whose suffixes are sorted together, and bytes merged together.
-SHARD_BYTES, MERGE_BYTES = 1 << 16, 1 << 21
+SHARD_BYTES, MERGE_BYTES = 1 << 14, 1 << 19
+#: A window holds one of so many surroundings of each of its grams.
+PARTS = 4
 _NULL_ID = (1 << 63) - 1
 
 
@@ -127,7 +130,7 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
         second = np.zeros(n, dtype=np.int64)
         second[: n - k] = rank[k:] + 1
         code = rank * (n + 300) + second  # ranks are below 2^31: shards are small
-        order = np.argsort(code, kind="stable")
+        order = np.argsort(code)  # equal codes get one rank, in any order
         new = np.empty(n, dtype=np.int64)
         new[order] = np.concatenate([[0], np.cumsum(code[order][1:] != code[order][:-1])])
         rank = new
@@ -143,26 +146,30 @@ def transform(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def merge_transforms(bwts: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(shard of each merged row, start of its block): rows of a block agree in their first
-    ``depth`` symbols. Each round deals the rows out by the symbol before them, in the
-    order so far; rows that came from one block with one symbol stay in one block."""
-    sizes = np.array([len(b) for b in bwts])
+    """(row among all shards' rows, its block) in merged order: rows of a block agree in
+    their first ``depth`` symbols. Each round deals the rows out by the symbol before them,
+    in the order so far; rows that came from one block with one symbol stay in one block.
+    Rows alone in their block, or past the start of their string, can't repeat and leave.
+    """
     joined = np.concatenate(bwts)
-    which = np.repeat(np.arange(len(bwts), dtype=np.int32), sizes)
-    block = np.zeros(len(joined), dtype=np.int64)
+    lf = np.empty(len(joined), dtype=np.int32)  # the row of the suffix one symbol longer
+    at = 0
+    for b in bwts:
+        lf[at + np.argsort(b, kind="stable")] = np.arange(at, at + len(b), dtype=np.int32)
+        at += len(b)
+    place, block = np.arange(len(joined), dtype=np.int32), np.zeros(len(joined), dtype=np.int32)
     for _ in range(depth):
-        # The k-th row of a shard, wherever the interleave puts it, is its k-th row.
-        by_shard = np.argsort(which, kind="stable")
-        place = np.empty(len(which), dtype=np.int64)
-        place[by_shard] = np.arange(len(which))
+        if not len(place):
+            break
         symbol = joined[place]
         order = np.argsort(symbol, kind="stable")
-        which, came = which[order], block[order]
-        symbol = symbol[order]
-        new = np.concatenate([[True], (symbol[1:] != symbol[:-1]) | (came[1:] != came[:-1])])
-        now = np.maximum.accumulate(np.where(new, np.arange(len(which)), 0))
-        block = now
-    return which, block
+        order = order[np.count_nonzero(symbol == 0) :]
+        symbol, came = symbol[order], block[order]
+        edge = np.ones(len(order) + 1, dtype=bool)
+        np.logical_or(symbol[1:] != symbol[:-1], came[1:] != came[:-1], out=edge[1:-1])
+        keep = ~(edge[:-1] & edge[1:])
+        place, block = lf[place[order[keep]]], np.cumsum(edge[:-1], dtype=np.int32)[keep]
+    return place, block
 
 
 def repeated_windows(strings: list[bytes], length: int, shard_bytes: int = SHARD_BYTES) -> np.ndarray:
@@ -176,11 +183,11 @@ def repeated_windows(strings: list[bytes], length: int, shard_bytes: int = SHARD
             lo, size = k, 0
         size += len(s) + 1
     shards.append((lo, len(strings)))
-    bwts, owners, offsets, left = [], [], [], []
+    bwts, owners, offsets = [], [], []
     for a, b in shards:
-        text = np.frombuffer(b"\0".join(strings[a:b]) + b"\0", dtype=np.uint8).astype(np.uint16)
+        text = np.frombuffer(b"\0".join(strings[a:b]) + b"\0", dtype=np.uint8).copy()
         ends = np.cumsum([len(s) + 1 for s in strings[a:b]])
-        text += 1
+        text += 1  # no byte of UTF-8 is above 0xF4
         text[ends - 1] = 0
         order, bwt = transform(text)
         owner = np.searchsorted(ends, order, side="right")
@@ -188,19 +195,43 @@ def repeated_windows(strings: list[bytes], length: int, shard_bytes: int = SHARD
         bwts.append(bwt)
         owners.append(owner + a)
         offsets.append(order - begin[owner])
-        left.append(ends[owner] - 1 - order)
-    which, block = merge_transforms(bwts, length)
-    by_shard = np.argsort(which, kind="stable")
-    owner, offset, rest = (np.empty(len(which), dtype=np.int64) for _ in range(3))
-    owner[by_shard], offset[by_shard], rest[by_shard] = np.concatenate(owners), np.concatenate(offsets), np.concatenate(left)
-    whole = np.flatnonzero(rest >= length)
-    owner, offset, block = owner[whole], offset[whole], block[whole]
+    place, block = merge_transforms(bwts, length)
+    owner, offset = np.concatenate(owners)[place], np.concatenate(offsets)[place]
     by = np.lexsort((offset, owner, block))
     owner, offset, block = owner[by], offset[by], block[by]
     again = np.concatenate([[False], block[1:] == block[:-1]]) if len(block) else np.empty(0, bool)
     return np.column_stack([owner[again], offset[again]])
 
 
+def may_repeat(keys: list[int], strings: list[bytes], length: int, gram: int = GRAM) -> np.ndarray:
+    """Which segments may hold a window that repeats in one of these segments.
+
+    A window holds an occurrence of its key's gram with a bytes before and b behind,
+    a + b = length - gram. Whatever a is, one of ``PARTS`` surroundings of the gram,
+    about 1 / PARTS of that sum shorter than the window, lies within the window, so equal windows share it.
+    """
+    sizes = np.array([len(s) for s in strings])
+    ends, joined = np.cumsum(sizes), b"".join(strings)
+    hashes = _gram_hashes(np.frombuffer(joined, dtype=np.uint8), gram)
+    at = np.flatnonzero(hashes == np.repeat(np.array(keys, dtype=np.int64).view(np.uint64), sizes)[: len(hashes)])
+    owner = np.searchsorted(ends, at, side="right")
+    begin, end = ends[owner] - sizes[owner], ends[owner]
+    spare = length - gram
+    owners, digests = [], []
+    for k in range(PARTS):
+        # a is one of spare + 1 numbers; of this part's, no a is less and no b is less.
+        a = (spare + 1) * k // PARTS
+        b = spare + 1 - (spare + 1) * (k + 1) // PARTS
+        lo, hi = at - a, at + gram + b
+        fits = (lo >= begin) & (hi <= end)
+        owners.append(owner[fits])
+        digests += [xxhash.xxh3_64_intdigest(joined[x:y], k) for x, y in zip(lo[fits].tolist(), hi[fits].tolist(), strict=True)]
+    _, inverse, count = np.unique(np.array(digests, dtype=np.uint64), return_inverse=True, return_counts=True)
+    keep = np.zeros(len(strings), dtype=bool)
+    keep[np.concatenate(owners)[count[inverse] > 1]] = True
+    return keep
+
+
 # --- Spark jobs ---
 
 _SPAN = ["doc_id", "start", "stop"]
@@ -229,7 +260,9 @@ def _merged(parts: DataFrame, length: int) -> DataFrame:
 
     def work(keys: list, docs: list, starts: list, strings: list) -> pa.RecordBatch:
         # Strings of one key follow the corpus order; keys share no window.
-        found = repeated_windows(strings, length)
+        keep = np.flatnonzero(may_repeat(keys, strings, length)).tolist()
+        docs, starts, strings = ([x[k] for k in keep] for x in (docs, starts, strings))
+        found = repeated_windows(strings, length) if strings else np.empty((0, 2), dtype=np.int64)
         doc, start = np.array(docs, dtype=np.int64)[found[:, 0]], np.array(starts, dtype=np.int64)[found[:, 0]] + found[:, 1]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in _runs(doc, start, length)], names=_SPAN)
 

@@ -218,6 +218,16 @@ def test_merged_transforms_are_sorted():
     assert found == want
 
 
+@pytest.mark.parametrize("offset", range(69))
+def test_no_place_of_the_gram_in_a_window_is_missed(offset):
+    rng = random.Random(offset)
+    window = bytes(rng.randrange(97, 123) for _ in range(100))
+    strings = [bytes(rng.randrange(65, 91) for _ in range(n)) + window + bytes(rng.randrange(65, 91) for _ in range(m)) for n, m in ((0, 0), (3, 5), (1, 0))]
+    key = suffix_dedup._gram_hashes(np.frombuffer(window[offset : offset + 32], dtype=np.uint8), 32).view(np.int64)[0]
+    assert suffix_dedup.may_repeat([key] * 3, strings, 100).all()
+    assert not suffix_dedup.may_repeat([key] * 2, [strings[0], window[offset : offset + 32] * 4], 100)[0]
+
+
 # --- language ---
 
 
