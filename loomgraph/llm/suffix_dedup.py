@@ -317,9 +317,10 @@ def _digested(parts: DataFrame, length: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, shard: int = SHARD) -> DataFrame:
     """(doc_id, start, stop): spans of bytes to remove; they may overlap."""
-    rows = segment_rows(docs, length)
+    rows = materialize(segment_rows(docs, length), "suffix-rows")
     keys = materialize(rows.groupBy("key").agg(F.count("*").alias("c"), F.min("digest").alias("d0"), F.max("digest").alias("d1"), F.min("n").alias("n")).where("c > 1 OR n < 0"), "suffix-keys")
     shared = materialize(rows.join(keys.select("key", (F.col("d0") != F.col("d1")).alias("mixed")), "key"), "suffix-segments")
+    discard(rows)
     place = F.struct("doc_id", "start")
     first = materialize(shared.groupBy("key", "digest").agg(F.min(place).alias("first"), F.min("n").alias("n"), F.max("mixed").alias("mixed")), "suffix-firsts")
     # Later copies of a segment go whole.
