@@ -3,10 +3,11 @@
 A line is the set of its words. It goes if an earlier line of the corpus, by (doc_id,
 line number), has a Jaccard similarity of at least the threshold with it; all lines are
 judged on the input, not on what is left. Lines of fewer than ``min_words`` different
-words stay and remove nothing.
+words stay and remove nothing; with 1, as in the query, only blank lines do.
 
 Lines of equal word sets share a digest; the first of each set stands for it in the join
-and the later ones go.
+and the later ones go. Lines of so few words that one more or less is too many, fewer than
+four at 0.8, are similar to equal sets only and have no part in the join.
 
 The words of a line are ordered by rarity in the whole corpus. Similar lines share a word
 of their prefixes, so a line sends a small row for each prefix word; rows that meet pass
@@ -93,7 +94,7 @@ _LINE = "doc_id bigint, line bigint, size int, d0 bigint, d1 bigint, s0 bigint,
 def line_rows(docs: DataFrame, counts, threshold: float, min_words: int) -> DataFrame:
     """One row for each line of enough words: a digest of its word set (d0, d1), a bitmap
     of word parities (s0, s1), and its prefix words from place ``skip`` on; words before
-    that have no other line."""
+    that have no other line. Lines that are similar to equal sets only have no prefix."""
     names = [x.split()[0] for x in _LINE.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,6 +139,7 @@ def _prefixes(doc, line, size, h, rarity, threshold: float, min_words: int) -> l
     owner = np.repeat(np.arange(len(size), dtype=np.uint64), size)
     word = np.sort(owner << np.uint64(48) | word) & np.uint64((1 << 48) - 1)
     length = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
+    length[size < threshold * (size + 1) - 1e-9] = 0
     # A word that only one line has meets no other; those come first.
     place = np.arange(len(h)) - np.repeat(starts, size)
     once = (word >> np.uint64(40) == 0) & (place < np.repeat(length, size))

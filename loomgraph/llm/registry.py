@@ -52,7 +52,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.judge_lines(table(spark, sf_dir, "documents"))
+    return line_dedup.judge_lines(table(spark, sf_dir, "documents"), min_words=1)
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

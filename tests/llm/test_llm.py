@@ -275,6 +275,26 @@ def test_lines(spark, sample):
     assert line_dedup.judge_lines(docs_of(spark, rows).limit(0)).count() == 0
 
 
+def test_short_lines(spark, sample):
+    rows = sample + [(7000, "Menu\n\nread more\na b c d e\nq r s t\nk l m"), (7001, "menu\n\nmore Read\na b c d\nq r s t v\nk l\nx x x x x x"), (7002, "x\nk l m n")]
+    seen, want = [], set()
+    for i, t in sorted((i, t or "") for i, t in rows):
+        for k, x in enumerate(t.split("\n")):
+            s = frozenset(x.encode().lower().split())
+            if s and any(5 * len(s & o) >= 4 * len(s | o) for o in seen):
+                want.add((i, k))
+            if s:
+                seen.append(s)
+    assert {x for x in want if x[0] > 7000} == {(7001, 0), (7001, 2), (7001, 3), (7001, 4), (7001, 6), (7002, 0)}
+    for options in ({}, {"shard": 5, "buckets": 64}):
+        assert {tuple(r) for r in line_dedup.repeated_lines(docs_of(spark, rows), min_words=1, **options).collect()} == want
+    kept = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs_of(spark, rows), min_words=1).collect()}
+    assert kept[7001] == "\nk l" and kept[7002] == "k l m n"
+    judged = registry.op8_line_dedup(spark, DATA).collect()
+    short = {(i, k) for i, t in sample for k, x in enumerate((t or "").split("\n")) if len(set(x.encode().lower().split())) < 5}
+    assert {(r.doc_id, k) for r in judged for k in r.removed_lines} & short == {x for x in want & short if x[0] < 5000}
+
+
 # --- contamination ---
 
 
