@@ -28,7 +28,7 @@ table gives an empty result; extra columns pass through.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +44,10 @@ BUCKETS = 1 << 21
 SHARD = 8192
 
 
+def _same(text: str | None) -> str:
+    return text or ""
+
+
 def _digest(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
 
@@ -61,17 +65,19 @@ def _lines(text: str | None, only: set[int] | None = None) -> tuple[np.ndarray,
     return np.array(numbers, dtype=np.int64), np.array(sizes, dtype=np.int64), _digest(words)
 
 
-def word_counts(docs: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
+def word_counts(docs: DataFrame, buckets: int = BUCKETS, read: Callable[[str | None], str] = _same) -> np.ndarray:
     """How often a word of each bucket occurs; a table of fixed size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, dtype=np.int64)
         for b in batches:
-            seen: Counter[bytes] = Counter()
-            for t in b.column(0).to_pylist():
-                seen.update((t or "").encode().lower().split())
-            at = (_digest(list(seen)) % np.uint64(buckets)).astype(np.int64)
-            total += np.bincount(at, weights=np.fromiter(seen.values(), dtype=np.float64, count=len(seen)), minlength=buckets).astype(np.int64)
+            # Texts of few common words hold many different ones: a part of a batch at a time.
+            for lo in range(0, b.num_rows, 256):
+                seen: Counter[bytes] = Counter()
+                for t in b.column(0).slice(lo, 256).to_pylist():
+                    seen.update(read(t).encode().lower().split())
+                at = (_digest(list(seen)) % np.uint64(buckets)).astype(np.int64)
+                np.add.at(total, at, np.fromiter(seen.values(), dtype=np.int64, count=len(seen)))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
 
@@ -91,7 +97,7 @@ CHUNK = 60_000
 _LINE = "doc_id bigint, line bigint, size int, d0 bigint, d1 bigint, s0 bigint, s1 bigint, skip int, prefix array<bigint>"
 
 
-def line_rows(docs: DataFrame, counts, threshold: float, min_words: int) -> DataFrame:
+def line_rows(docs: DataFrame, counts, threshold: float, min_words: int, read: Callable[[str | None], str] = _same) -> DataFrame:
     """One row for each line of enough words: a digest of its word set (d0, d1), a bitmap
     of word parities (s0, s1), and its prefix words from place ``skip`` on; words before
     that have no other line. Lines that are similar to equal sets only have no prefix."""
@@ -106,7 +112,7 @@ def line_rows(docs: DataFrame, counts, threshold: float, min_words: int) -> Data
                 hi, chars = lo, 0
                 docs_, lines_, sizes_, hashes_ = [], [], [], []
                 while hi < len(ids) and chars < 3_000_000:
-                    n, s, h = _lines(texts[hi])
+                    n, s, h = _lines(read(texts[hi]))
                     docs_.append(np.full(len(n), ids[hi], dtype=np.int64))
                     lines_.append(n)
                     sizes_.append(s)
@@ -223,13 +229,37 @@ def one_candidate(rows: np.ndarray, starts: np.ndarray, threshold: float, every:
     return (np.concatenate(later), np.concatenate(earlier)) if later else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
+def across(rows: np.ndarray, starts: np.ndarray, threshold: float, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row indexes (later, earlier) of all rows of a group that pass and differ in label. One
+    of the two lacks the group's commonest label, so only such rows look at all others."""
+    later, earlier = [], []
+    heads = np.flatnonzero(starts == np.arange(len(rows)))
+    for lo, hi in zip(heads.tolist(), [*heads[1:].tolist(), len(rows)], strict=True):
+        of = label[lo:hi]
+        values, counts = np.unique(of, return_counts=True)
+        if len(values) == 1:
+            continue
+        common = values[np.argmax(counts)]
+        for x in (lo + np.flatnonzero(of != common)).tolist():
+            y = lo + np.flatnonzero((of != label[x]) & ((of == common) | (np.arange(lo, hi) < x)))
+            y = y[_passes(np.broadcast_to(rows[x, 2:], (len(y), rows.shape[1] - 2)), rows[y, 2:], threshold)]
+            later.append(np.maximum(x, y))
+            earlier.append(np.minimum(x, y))
+    return (np.concatenate(later), np.concatenate(earlier)) if later else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
 _PAIR = ["doc_id", "line", "doc_id0", "line0"]
 
 
-def candidates(rows: DataFrame, threshold: float, shard: int, again: DataFrame | None = None) -> DataFrame:
+def candidates(rows: DataFrame, threshold: float, shard: int, again: DataFrame | None = None, labels: DataFrame | None = None) -> DataFrame:
     """(doc_id, line, doc_id0, line0): later lines and an earlier candidate; all earlier
-    candidates of the lines in ``again``."""
-    if again is None:
+    candidates of the lines in ``again``; or all candidates of another label, with a label q
+    for each line in ``labels``."""
+    if labels is not None:
+        marked = rows.join(labels, ["doc_id", "line"])
+        mixed = marked.groupBy("key").agg(F.min("q").alias("a"), F.max("q").alias("b")).where("a <> b").select("key")
+        marked = materialize(marked.join(mixed, "key", "left_semi"), "lines-again")
+    elif again is None:
         marked = rows.withColumn("q", F.lit(0))
     else:
         # Only words of those lines matter.
@@ -254,7 +284,7 @@ def candidates(rows: DataFrame, threshold: float, shard: int, again: DataFrame |
         placed = cold.union(dealt.select(*cols))
     placed = placed.select(*cols).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "doc_id", "line")
 
-    second = again is not None
+    second, apart = again is not None, labels is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: np.ndarray | None = None
@@ -264,7 +294,7 @@ def candidates(rows: DataFrame, threshold: float, shard: int, again: DataFrame |
             starts = np.maximum.accumulate(np.where(new, np.arange(len(part)), 0))
             body = part[:, 3:9]
             every = part[:, 9] > 0 if second else None
-            x, y = one_candidate(body, starts, threshold, every)
+            x, y = across(body, starts, threshold, part[:, 9]) if apart else one_candidate(body, starts, threshold, every)
             if second:
                 x, y = x[every[x]], y[every[x]]
             pairs = np.unique(np.concatenate([body[x, :2], body[y, :2]], axis=1), axis=0) if len(x) else np.empty((0, 4), np.int64)
@@ -287,7 +317,7 @@ def candidates(rows: DataFrame, threshold: float, shard: int, again: DataFrame |
     return placed.mapInArrow(run, "doc_id bigint, line bigint, doc_id0 bigint, line0 bigint").distinct()
 
 
-def line_words(docs: DataFrame, lines: DataFrame) -> DataFrame:
+def line_words(docs: DataFrame, lines: DataFrame, read: Callable[[str | None], str] = _same) -> DataFrame:
     """(doc_id, line, words array<bigint>) for the lines of ``lines`` (doc_id, line)."""
     wanted = lines.groupBy("doc_id").agg(F.collect_set("line").alias("lines"))  # at most the lines of one document
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id")
@@ -295,7 +325,7 @@ def line_words(docs: DataFrame, lines: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for doc, text, only in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "lines")), strict=True):
-                line, size, h = _lines(text, set(only))
+                line, size, h = _lines(read(text), set(only))
                 ends = np.cumsum(size)
                 words = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(h.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(line), doc)), pa.array(line), words], names=["doc_id", "line", "words"])
@@ -303,15 +333,15 @@ def line_words(docs: DataFrame, lines: DataFrame) -> DataFrame:
     return d.mapInArrow(run, "doc_id bigint, line bigint, words array<bigint>").dropDuplicates(["doc_id", "line"])
 
 
-def verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, threshold: float, keep: tuple[str, ...] = ("doc_id", "line"), read: Callable[[str | None], str] = _same) -> DataFrame:
     """The later lines (doc_id, line) of the pairs whose Jaccard reaches the threshold."""
     ends = pairs.select("doc_id", "line").union(pairs.select("doc_id0", "line0")).distinct()
-    words = materialize(line_words(docs, ends), "lines-words")
+    words = materialize(line_words(docs, ends, read), "lines-words")
     first = words.select(F.col("doc_id").alias("doc_id0"), F.col("line").alias("line0"), F.col("words").alias("words0"))
     both = pairs.join(words, ["doc_id", "line"]).join(first, ["doc_id0", "line0"])
     shared = F.size(F.array_intersect("words", "words0"))
     total = F.size("words") + F.size("words0") - shared
-    return both.where(shared >= F.ceil(threshold * total - 1e-9)).select("doc_id", "line").distinct()
+    return both.where(shared >= F.ceil(threshold * total - 1e-9)).select(*keep).distinct()
 
 
 def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, buckets: int = BUCKETS, shard: int = SHARD) -> DataFrame:

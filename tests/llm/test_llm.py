@@ -162,6 +162,38 @@ def test_bucket_tables_miss_nothing():
     assert len(edges) == len(members) - len(set(want.values()))
 
 
+def test_stage_finds_all_similar_documents(spark):
+    import corpus_pipeline
+    from loomgraph.llm import similar_docs
+
+    rng = random.Random(8)
+    bases = [[rng.choice("abcdefghijklmnopqrst") + str(rng.randint(0, 60)) for _ in range(n)] for n in (6, 30, 120, 300)]
+    rows = [(5000, None), (5001, " "), (5002, "a b"), (5003, "B  c"), (5004, "A\nb")]
+    for k in range(160):
+        w = list(bases[k % 4])
+        for _ in range(rng.randint(0, 1 + len(w) // 40)):
+            w[rng.randrange(len(w))] = f"edit{rng.randint(0, 3)}"
+        rows.append((rng.randint(0, 9) * 1000 + k + 10, " ".join(w)))
+    # A chain: the first two are only similar to the third.
+    base = [f"v{k}" for k in range(104)]
+    rows += [(20000, " ".join(base[:-14])), (20001, " ".join(base[14:])), (20002, " ".join(base))]
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else {()}
+
+    sets = {i: shingles(t) for i, t in rows}
+    near = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    assert not near(20000, 20001) and near(20000, 20002) and near(20001, 20002)
+    want = set(components(sorted(sets), near).values())
+    fp = {i: brute_fingerprint(t, 5) for i, t in rows}
+    assert any(near(a, b) and (fp[a] ^ fp[b]).bit_count() > 4 for a, b in itertools.combinations(sorted(sets), 2))
+    d = docs_of(spark, rows)
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, d, DATA).collect()} == want
+    assert {r.doc_id for r in similar_docs.keep_first(d, shard=5, buckets=64).collect()} == want
+    assert similar_docs.keep_first(d.limit(0)).count() == 0
+
+
 # --- HTML ---
 
 
