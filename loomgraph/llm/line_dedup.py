@@ -5,380 +5,76 @@ line number), has a Jaccard similarity of at least the threshold with it; all li
 judged on the input, not on what is left. Lines of fewer than ``min_words`` different
 words stay and remove nothing; with 1, as in the query, only blank lines do.
 
-Lines of equal word sets share a digest; the first of each set stands for it in the join
-and the later ones go. Lines of so few words that one more or less is too many, fewer than
-four at 0.8, are similar to equal sets only and have no part in the join.
-
-The words of a line are ordered by rarity in the whole corpus. Similar lines share a word
-of their prefixes, so a line sends a small row for each prefix word; rows that meet pass
-length, positional and bitmap filters. Each line then names one earlier candidate for
-each shared word instead of all, so large groups of similar lines cost no quadratic
-output. Jaccard is verified on the words themselves. Only lines whose candidates all
-fail are joined again, with all their candidates, so nothing is missed.
-
-Rarity comes from a table of word counts hashed to ``buckets``: any one order of the words
-is right, so the bound on its size costs speed, not results. Groups of more than
-``shard`` rows of one word are dealt into shards that meet pairwise, each in its own task.
+Lines of equal word sets are found by their digests: the first of each set stands for it
+in the join, the later ones go. The rest is the join of ``set_join``: words ordered by
+rarity, prefix, length, positional and bitmap filters. Each line names one earlier
+candidate for each shared word instead of all, so large groups of similar lines cost no
+quadratic output. Jaccard is verified on the words themselves. Only lines whose candidates
+all fail meet all their candidates, so nothing is missed.
 
 Defined cases: a null text has no lines and stays null; rows without a doc_id stay as
-they are and take no part; rows of one doc_id count as the same document; an empty
-table gives an empty result; extra columns pass through.
+they are and take no part; rows of one doc_id count as the same document; of lines at the
+same place none is earlier; an empty table gives an empty result; extra columns pass
+through, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Callable, Iterator
-
-import numpy as np
-import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import set_join
 from .common import discard, materialize
+from .set_join import BUCKETS, SHARD, read_lines
 
 THRESHOLD = 0.8
 MIN_WORDS = 5
-BUCKETS = 1 << 21
-SHARD = 8192
-
-
-def _same(text: str | None) -> str:
-    return text or ""
-
-
-def _digest(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
-
-
-def _lines(text: str | None, only: set[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct word hashes of the lines of a text, sorted by line: (line, start, hashes)."""
-    numbers, sizes, words = [], [], []
-    for k, line in enumerate((text or "").encode().lower().split(b"\n")):
-        if only is None or k in only:
-            w = set(line.split())
-            if w:
-                numbers.append(k)
-                sizes.append(len(w))
-                words += w
-    return np.array(numbers, dtype=np.int64), np.array(sizes, dtype=np.int64), _digest(words)
-
-
-def word_counts(docs: DataFrame, buckets: int = BUCKETS, read: Callable[[str | None], str] = _same) -> np.ndarray:
-    """How often a word of each bucket occurs; a table of fixed size."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(buckets, dtype=np.int64)
-        for b in batches:
-            # Texts of few common words hold many different ones: a part of a batch at a time.
-            for lo in range(0, b.num_rows, 256):
-                seen: Counter[bytes] = Counter()
-                for t in b.column(0).slice(lo, 256).to_pylist():
-                    seen.update(read(t).encode().lower().split())
-                at = (_digest(list(seen)) % np.uint64(buckets)).astype(np.int64)
-                np.add.at(total, at, np.fromiter(seen.values(), dtype=np.int64, count=len(seen)))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
-
-    found = docs.select("text").mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(buckets, dtype=np.int32)
-    counts[found.column("bucket").to_numpy()] = np.minimum(found.column("n").to_numpy(), np.iinfo(np.int32).max)
-    return counts
-
-
-def least_overlap(a, b, threshold: float):
-    """Shared words that two sets of these sizes need."""
-    return np.ceil(threshold / (1 + threshold) * (a + b) - 1e-9).astype(np.int64)
-
-
-#: Lines that are sorted at once; their number fits the upper 16 bits of a sort key.
-CHUNK = 60_000
-_LINE = "doc_id bigint, line bigint, size int, d0 bigint, d1 bigint, s0 bigint, s1 bigint, skip int, prefix array<bigint>"
-
-
-def line_rows(docs: DataFrame, counts, threshold: float, min_words: int, read: Callable[[str | None], str] = _same) -> DataFrame:
-    """One row for each line of enough words: a digest of its word set (d0, d1), a bitmap
-    of word parities (s0, s1), and its prefix words from place ``skip`` on; words before
-    that have no other line. Lines that are similar to equal sets only have no prefix."""
-    names = [x.split()[0] for x in _LINE.split(", ")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rarity = _rank(counts.value)
-        for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            lo = 0
-            while lo < len(ids):
-                hi, chars = lo, 0
-                docs_, lines_, sizes_, hashes_ = [], [], [], []
-                while hi < len(ids) and chars < 3_000_000:
-                    n, s, h = _lines(read(texts[hi]))
-                    docs_.append(np.full(len(n), ids[hi], dtype=np.int64))
-                    lines_.append(n)
-                    sizes_.append(s)
-                    hashes_.append(h)
-                    chars += len(texts[hi] or "")
-                    hi += 1
-                lo = hi
-                doc, line, size, h = (np.concatenate(x) for x in (docs_, lines_, sizes_, hashes_))
-                ends = np.cumsum(size)
-                for at in range(0, len(size), CHUNK):
-                    to = min(at + CHUNK, len(size))
-                    part = h[ends[at] - size[at] : ends[to - 1]]
-                    yield pa.RecordBatch.from_arrays(_prefixes(doc[at:to], line[at:to], size[at:to], part, rarity, threshold, min_words), names=names)
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _LINE)
-
-
-def _rank(counts: np.ndarray) -> np.ndarray:
-    """Rarity in eighths of a power of two: 0 for a word found once, below 256."""
-    return (np.log2(np.maximum(counts, 1)) * 8).astype(np.uint64)
-
-
-def _prefixes(doc, line, size, h, rarity, threshold: float, min_words: int) -> list[pa.Array]:
-    keep = size >= min_words
-    h = h[np.repeat(keep, size)]
-    doc, line, size = doc[keep], line[keep], size[keep]
-    starts = np.cumsum(size) - size
-    # A word is its rank and 40 bits of its hash. Words that fall together only add candidates.
-    word = rarity[(h % np.uint64(len(rarity))).astype(np.int64)] << np.uint64(40) | h >> np.uint64(24)
-    owner = np.repeat(np.arange(len(size), dtype=np.uint64), size)
-    word = np.sort(owner << np.uint64(48) | word) & np.uint64((1 << 48) - 1)
-    length = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
-    length[size < threshold * (size + 1) - 1e-9] = 0
-    # A word that only one line has meets no other; those come first.
-    place = np.arange(len(h)) - np.repeat(starts, size)
-    once = (word >> np.uint64(40) == 0) & (place < np.repeat(length, size))
-    take = (place < np.repeat(length, size)) & ~once
-    skip = np.add.reduceat(once.astype(np.int64), starts) if len(size) else size
-    offsets = np.concatenate([[0], np.cumsum(length - skip)])
-    # Parity bitmaps: two lines differ in at least as many words as their bitmaps in bits.
-    bit = h >> np.uint64(40) & np.uint64(127)
-    one = np.uint64(1) << (bit & np.uint64(63))
-    zero = np.uint64(0)
-    mixed = (h ^ h >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
-
-    def fold(how: np.ufunc, values: np.ndarray) -> pa.Array:
-        return pa.array((how.reduceat(values, starts) if len(size) else values).view(np.int64))
-
-    return [
-        pa.array(doc), pa.array(line), pa.array(size.astype(np.int32)), fold(np.add, h), fold(np.add, mixed ^ mixed >> np.uint64(29)),
-        fold(np.bitwise_xor, np.where(bit < 64, one, zero)), fold(np.bitwise_xor, np.where(bit < 64, zero, one)),
-        pa.array(skip.astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(word[take].view(np.int64))),
-    ]
-
-
-def equal_lines(lines: DataFrame, shard: int) -> tuple[DataFrame, DataFrame]:
-    """The first line of each word set with its row, and the later lines (doc_id, line) of
-    each set. Groups of more than ``shard`` lines meet their first line without a shuffle
-    where their number allows it."""
-    row = F.struct("doc_id", "line", "size", "s0", "s1", "skip", "prefix")
-    first = lines.groupBy("d0", "d1").agg(F.min(row).alias("r"), F.count("*").alias("n"))
-    first = materialize(first.select("d0", "d1", "n", "r.*"), "lines-first")
-    many = first.where("n > 1").select("d0", "d1", "n", F.col("doc_id").alias("doc_id0"), F.col("line").alias("line0"))
-    big = many.where(F.col("n") > shard)
-    n_big = big.count()
-    member = lines.select("d0", "d1", "doc_id", "line")
-    differs = (F.col("doc_id") != F.col("doc_id0")) | (F.col("line") != F.col("line0"))
-    if 0 < n_big <= 100_000:
-        few = F.broadcast(big)
-        rest = member.join(few, ["d0", "d1"], "left_anti").join(many.where(F.col("n") <= shard), ["d0", "d1"])
-        later = member.join(few, ["d0", "d1"]).union(rest)
-    else:
-        later = member.join(many, ["d0", "d1"])
-    return first, later.where(differs).select("doc_id", "line").distinct()
-
-
-def prefix_rows(first: DataFrame) -> DataFrame:
-    """One row for each prefix word of each line, with the word's place in it."""
-    rows = first.select("doc_id", "line", "size", "skip", "s0", "s1", F.posexplode("prefix").alias("k", "key"))
-    return rows.select("key", "doc_id", "line", "size", (F.col("k") + F.col("skip")).alias("place"), "s0", "s1")
-
-
-def _passes(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
-    """Length, positional and bitmap filters for rows x and y (size, place, s0, s1)."""
-    a, b = x[:, 0], y[:, 0]
-    need = least_overlap(a, b, threshold)
-    most = np.minimum(x[:, 1], y[:, 1]) + np.minimum(a - x[:, 1], b - y[:, 1])
-    ok = (np.minimum(a, b) >= need) & (most >= need)
-    bits = np.bitwise_count((x[:, 2] ^ y[:, 2]).view(np.uint64)).astype(np.int64) + np.bitwise_count((x[:, 3] ^ y[:, 3]).view(np.uint64))
-    return ok & (bits <= a + b - 2 * need)
-
-
-def one_candidate(rows: np.ndarray, starts: np.ndarray, threshold: float, every: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Row indexes (later, earlier). ``rows`` are sorted by group, then by order in the
-    corpus; columns from 0: doc_id, line, size, place, s0, s1. Each row gets the nearest earlier
-    row of its group that passes; rows marked in ``every`` get all that pass."""
-    n = len(rows)
-    rank = np.arange(n) - starts
-    open_ = np.flatnonzero(rank > 0)
-    later, earlier = [], []
-    d = 1
-    while len(open_):
-        x, y = rows[open_], rows[open_ - d]
-        hit = _passes(x[:, 2:], y[:, 2:], threshold) & ((x[:, :2] != y[:, :2]).any(axis=1))
-        later.append(open_[hit])
-        earlier.append(open_[hit] - d)
-        stay = rank[open_] > d
-        if every is None:
-            stay &= ~hit
-        else:
-            stay &= ~hit | every[open_]
-        open_ = open_[stay]
-        d += 1
-    return (np.concatenate(later), np.concatenate(earlier)) if later else (np.empty(0, np.int64), np.empty(0, np.int64))
-
-
-def across(rows: np.ndarray, starts: np.ndarray, threshold: float, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row indexes (later, earlier) of all rows of a group that pass and differ in label. One
-    of the two lacks the group's commonest label, so only such rows look at all others."""
-    later, earlier = [], []
-    heads = np.flatnonzero(starts == np.arange(len(rows)))
-    for lo, hi in zip(heads.tolist(), [*heads[1:].tolist(), len(rows)], strict=True):
-        of = label[lo:hi]
-        values, counts = np.unique(of, return_counts=True)
-        if len(values) == 1:
-            continue
-        common = values[np.argmax(counts)]
-        for x in (lo + np.flatnonzero(of != common)).tolist():
-            y = lo + np.flatnonzero((of != label[x]) & ((of == common) | (np.arange(lo, hi) < x)))
-            y = y[_passes(np.broadcast_to(rows[x, 2:], (len(y), rows.shape[1] - 2)), rows[y, 2:], threshold)]
-            later.append(np.maximum(x, y))
-            earlier.append(np.minimum(x, y))
-    return (np.concatenate(later), np.concatenate(earlier)) if later else (np.empty(0, np.int64), np.empty(0, np.int64))
-
-
-_PAIR = ["doc_id", "line", "doc_id0", "line0"]
-
-
-def candidates(rows: DataFrame, threshold: float, shard: int, again: DataFrame | None = None, labels: DataFrame | None = None) -> DataFrame:
-    """(doc_id, line, doc_id0, line0): later lines and an earlier candidate; all earlier
-    candidates of the lines in ``again``; or all candidates of another label, with a label q
-    for each line in ``labels``."""
-    if labels is not None:
-        marked = rows.join(labels, ["doc_id", "line"])
-        mixed = marked.groupBy("key").agg(F.min("q").alias("a"), F.max("q").alias("b")).where("a <> b").select("key")
-        marked = materialize(marked.join(mixed, "key", "left_semi"), "lines-again")
-    elif again is None:
-        marked = rows.withColumn("q", F.lit(0))
-    else:
-        # Only words of those lines matter.
-        marks = again.withColumn("q", F.lit(1))
-        keys = rows.join(marks, ["doc_id", "line"], "left_semi").select("key").distinct()
-        marked = rows.join(keys, "key", "left_semi").join(marks, ["doc_id", "line"], "left").withColumn("q", F.coalesce("q", F.lit(0)))
-        marked = materialize(marked, "lines-again")
-    # A word's rank bounds how many lines have it, so only frequent words are counted.
-    frequent = marked.where(F.col("key") >= int(_rank(np.array([shard]))[0]) << 40)
-    hot = materialize(frequent.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > shard), "lines-hot")
-    n_hot = hot.count()
-    cols = ["key", "i", "j", "doc_id", "line", "size", "place", "s0", "s1", "q"]
-    zero = F.lit(0)
-    placed = marked.withColumns({"i": zero, "j": zero})
-    if n_hot:
-        few = F.broadcast(hot) if n_hot <= 100_000 else hot
-        cold = marked.join(few.select("key"), "key", "left_anti").withColumns({"i": zero, "j": zero}).select(*cols)
-        dealt = marked.join(few, "key").withColumn("m", F.ceil(F.col("n") / shard * 1.25).cast("int"))
-        dealt = dealt.withColumn("own", F.pmod(F.xxhash64("doc_id", "line"), F.col("m")).cast("int"))
-        dealt = dealt.withColumn("other", F.explode(F.sequence(zero, F.col("m") - 1)))
-        dealt = dealt.withColumns({"i": F.greatest("own", "other"), "j": F.least("own", "other")})
-        placed = cold.union(dealt.select(*cols))
-    placed = placed.select(*cols).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "doc_id", "line")
-
-    second, apart = again is not None, labels is not None
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: np.ndarray | None = None
-
-        def work(part: np.ndarray) -> pa.RecordBatch:
-            new = np.concatenate([[True], (part[1:, :3] != part[:-1, :3]).any(axis=1)])
-            starts = np.maximum.accumulate(np.where(new, np.arange(len(part)), 0))
-            body = part[:, 3:9]
-            every = part[:, 9] > 0 if second else None
-            x, y = across(body, starts, threshold, part[:, 9]) if apart else one_candidate(body, starts, threshold, every)
-            if second:
-                x, y = x[every[x]], y[every[x]]
-            pairs = np.unique(np.concatenate([body[x, :2], body[y, :2]], axis=1), axis=0) if len(x) else np.empty((0, 4), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in pairs.T], names=_PAIR)
-
-        for b in batches:
-            part = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns])
-            if rest is not None:
-                part = np.concatenate([rest, part])
-            if not len(part):
-                continue
-            cut = np.flatnonzero((part[1:, :3] != part[:-1, :3]).any(axis=1))
-            end = int(cut[-1]) + 1 if len(cut) else 0
-            if end:
-                yield work(part[:end])
-            rest = part[end:]
-        if rest is not None and len(rest):
-            yield work(rest)
-
-    return placed.mapInArrow(run, "doc_id bigint, line bigint, doc_id0 bigint, line0 bigint").distinct()
-
-
-def line_words(docs: DataFrame, lines: DataFrame, read: Callable[[str | None], str] = _same) -> DataFrame:
-    """(doc_id, line, words array<bigint>) for the lines of ``lines`` (doc_id, line)."""
-    wanted = lines.groupBy("doc_id").agg(F.collect_set("line").alias("lines"))  # at most the lines of one document
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for doc, text, only in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "lines")), strict=True):
-                line, size, h = _lines(read(text), set(only))
-                ends = np.cumsum(size)
-                words = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(line), doc)), pa.array(line), words], names=["doc_id", "line", "words"])
-
-    return d.mapInArrow(run, "doc_id bigint, line bigint, words array<bigint>").dropDuplicates(["doc_id", "line"])
-
-
-def verified(docs: DataFrame, pairs: DataFrame, threshold: float, keep: tuple[str, ...] = ("doc_id", "line"), read: Callable[[str | None], str] = _same) -> DataFrame:
-    """The later lines (doc_id, line) of the pairs whose Jaccard reaches the threshold."""
-    ends = pairs.select("doc_id", "line").union(pairs.select("doc_id0", "line0")).distinct()
-    words = materialize(line_words(docs, ends, read), "lines-words")
-    first = words.select(F.col("doc_id").alias("doc_id0"), F.col("line").alias("line0"), F.col("words").alias("words0"))
-    both = pairs.join(words, ["doc_id", "line"]).join(first, ["doc_id0", "line0"])
-    shared = F.size(F.array_intersect("words", "words0"))
-    total = F.size("words") + F.size("words0") - shared
-    return both.where(shared >= F.ceil(threshold * total - 1e-9)).select(*keep).distinct()
 
 
 def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, buckets: int = BUCKETS, shard: int = SHARD) -> DataFrame:
-    """(doc_id, line): the lines to remove, numbered from 0."""
-    docs = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
-    counts = docs.sparkSession.sparkContext.broadcast(word_counts(docs, buckets))
-    lines = materialize(line_rows(docs, counts, threshold, min_words), "lines")
-    first, equal = equal_lines(lines, shard)
-    equal = materialize(equal, "lines-gone")
-    rows = prefix_rows(first)
-    pairs = materialize(candidates(rows, threshold, shard), "lines-pairs")
-    gone = materialize(verified(docs, pairs, threshold), "lines-gone")
+    """(doc_id, line): the lines to remove, numbered from 0, as a written table."""
+    docs = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    ranks = docs.sparkSession.sparkContext.broadcast(set_join.token_counts(docs, read_lines, buckets))
+    lines = materialize(set_join.set_rows(docs, ranks, read_lines, threshold, min_words), "lines")
+    first, equal, many = set_join.split_equal(lines)
+    pairs = set_join.candidates(set_join.prefix_rows(first), threshold, shard)
+    good = set_join.verified(docs, pairs, read_lines, threshold)
+    gone = equal.union(good.select("doc_id", "line"))
     # Lines whose candidates all failed: look at all of theirs.
-    open_ = materialize(pairs.select("doc_id", "line").distinct().join(gone, ["doc_id", "line"], "left_anti"), "lines-open")
-    if not open_.isEmpty():
-        more = materialize(candidates(rows, threshold, shard, open_).join(pairs, _PAIR, "left_anti"), "lines-pairs")
-        gone = gone.union(materialize(verified(docs, more, threshold), "lines-gone"))
-    discard(lines, first)
-    gone = gone.union(equal).distinct()
-    discard(pairs)
-    return gone
+    failed = materialize(pairs.select("doc_id", "line").distinct().join(good, ["doc_id", "line"], "left_anti"), "lines-failed")
+    used = [lines, many, pairs, good, failed]
+    if not failed.isEmpty():
+        more = set_join.all_candidates(first, failed, pairs, threshold)
+        again = set_join.verified(docs, more, read_lines, threshold)
+        gone = gone.union(again.select("doc_id", "line"))
+        used += [more, again]
+    out = materialize(gone.select("doc_id", F.col("line").cast("long").alias("line")).distinct(), "lines-gone")
+    discard(*used)
+    return out
+
+
+def _by_document(gone: DataFrame) -> DataFrame:
+    return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("lines"))  # at most a document's lines
 
 
 def judge_lines(docs: DataFrame, **options) -> DataFrame:
     """One row per document: doc_id, n_removed and the numbers of the removed lines."""
-    gone = repeated_lines(docs, **options).groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("removed_lines"))
+    gone = _by_document(repeated_lines(docs, **options))
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(gone, "doc_id", "left")
     empty = F.array().cast("array<bigint>")
-    return out.select("doc_id", F.coalesce(F.size("removed_lines"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed_lines", empty).alias("removed_lines"))
+    return out.select("doc_id", F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("lines", empty).alias("removed_lines"))
 
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without the repeated lines; ``n_chars``, if there, follows the text."""
-    gone = repeated_lines(docs, **options).groupBy("doc_id").agg(F.collect_set("line").alias("_gone"))
-    d = docs.join(gone.withColumnRenamed("doc_id", "_doc"), F.col("doc_id").cast("long") == F.col("_doc"), "left").drop("_doc")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, k: ~F.array_contains("_gone", k.cast("long"))), "\n")
-    d = d.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept))
+    """``docs`` without the repeated lines; ``n_chars``, if there, follows the text. Texts
+    aren't shuffled while the documents that lose lines are few."""
+    gone = materialize(_by_document(repeated_lines(docs, **options)), "lines-of-documents")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").cast("long").alias("at"))
+    d = whole.join(set_join.few(gone.withColumnRenamed("doc_id", "at")), "at", "left")
+    field = lambda c: F.col("doc").getField(c)
+    kept = F.array_join(F.filter(F.split(field("text"), "\n"), lambda x, k: ~F.array_contains("lines", k.cast("long"))), "\n")
+    d = d.select("doc", F.when(F.col("lines").isNull(), field("text")).otherwise(kept).alias("text"), F.col("lines").isNotNull().alias("changed"))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        d = d.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return d.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("changed"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(field("n_chars"))
+    return d.select(*[new.get(c, field(c)).alias(c) for c in docs.columns])
