@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +60,32 @@ def discard(*tables: DataFrame) -> None:
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+#: Rows of a side that is broadcast, and elements of its lists.
+FEW, FEW_ELEMENTS = 300_000, 1_500_000
+
+
+def few(df: DataFrame, limit: int = FEW, lists: str | None = None) -> DataFrame:
+    """``df``, a written table, broadcast if it has at most ``limit`` rows and, with ``lists``,
+    at most FEW_ELEMENTS elements in that column; both are counted before."""
+    rows, elements = df.agg(F.count("*"), F.sum(F.size(lists)) if lists else F.lit(0)).first()
+    return F.broadcast(df) if rows <= limit and (elements or 0) <= FEW_ELEMENTS else df
+
+
+def text_bytes(texts: pa.Array, chars: int = 60_000, table: bytes | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first text, bytes, ends) for runs of texts of about so many bytes, few enough that their
+    arrays stay in the cache; null is empty. ``table`` translates bytes."""
+    texts = texts.fill_null("").cast(pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + chars, side="right")) - 1)
+        a, b = int(offsets[lo]), int(offsets[hi])
+        raw = data.slice(a, b - a).to_pybytes() if b > a else b""
+        yield lo, np.frombuffer(raw.translate(table), dtype=np.uint8), offsets[lo + 1 : hi + 1] - a
+        lo = hi
+
+
 def trimmed_words(text) -> F.Column:
     """Array of the words ``[^\\x20\\x09-\\x0D]+`` of a text column; null has none."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE))

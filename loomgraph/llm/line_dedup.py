@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import set_join
-from .common import discard, materialize
+from .common import discard, few, materialize
 from .set_join import BUCKETS, SHARD, read_lines
 
 THRESHOLD = 0.8
@@ -70,7 +70,7 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     aren't shuffled while the documents that lose lines are few."""
     gone = materialize(_by_document(repeated_lines(docs, **options)), "lines-of-documents")
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").cast("long").alias("at"))
-    d = whole.join(set_join.few(gone.withColumnRenamed("doc_id", "at")), "at", "left")
+    d = whole.join(few(gone.withColumnRenamed("doc_id", "at"), lists="lines"), "at", "left")
     field = lambda c: F.col("doc").getField(c)
     kept = F.array_join(F.filter(F.split(field("text"), "\n"), lambda x, k: ~F.array_contains("lines", k.cast("long"))), "\n")
     d = d.select("doc", F.when(F.col("lines").isNull(), field("text")).otherwise(kept).alias("text"), F.col("lines").isNotNull().alias("changed"))

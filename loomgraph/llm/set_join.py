@@ -12,8 +12,8 @@ sums. Rarity comes from a table of token counts hashed to ``buckets``: any one o
 right, so the bound on its size costs speed, not results.
 
 Groups of more than ``shard`` rows of one token are dealt into shards that meet pairwise,
-each in its own task. Small sides are broadcast up to ``FEW`` rows, counted before; beyond
-that the same join shuffles.
+each in its own task. Small sides are broadcast up to ``common.FEW`` rows, counted before;
+beyond that the same join shuffles.
 """
 
 from __future__ import annotations
@@ -26,12 +26,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, few, materialize, text_bytes
 
 BUCKETS = 1 << 21
 SHARD = 8192
-#: Rows of a side that is broadcast.
-FEW = 300_000
 
 # --- reading texts into hashed tokens ---
 
@@ -78,21 +76,6 @@ def _word_hashes(x: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return out
 
 
-def text_bytes(texts: pa.Array, chars: int = 60_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first text, bytes, ends) for runs of texts of about so many bytes, few enough that their
-    arrays stay in the cache; null is empty."""
-    texts = texts.fill_null("").cast(pa.large_string())
-    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    data = texts.buffers()[2]
-    lo = 0
-    while lo < len(texts):
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + chars, side="right")) - 1)
-        a, b = int(offsets[lo]), int(offsets[hi])
-        raw = data.slice(a, b - a).to_pybytes().translate(_LOWER) if b > a else b""
-        yield lo, np.frombuffer(raw, dtype=np.uint8), offsets[lo + 1 : hi + 1] - a
-        lo = hi
-
-
 def _words(x: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Begins and ends of the words of texts that stand one after another."""
     if not len(x):
@@ -166,7 +149,7 @@ def token_counts(docs: DataFrame, read: Reader, buckets: int = BUCKETS) -> np.nd
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, dtype=np.int64)
         for b in batches:
-            for _, x, ends in text_bytes(b.column(0)):
+            for _, x, ends in text_bytes(b.column(0), table=_LOWER):
                 np.add.at(total, (read(x, ends)[4] % np.uint64(buckets)).astype(np.int64), 1)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
@@ -240,7 +223,7 @@ def set_rows(docs: DataFrame, ranks, read: Reader, threshold: float, least: int
         held: list[pa.RecordBatch] = []
         for b in batches:
             ids = b.column(0)
-            for at, x, ends in text_bytes(b.column(1)):
+            for at, x, ends in text_bytes(b.column(1), table=_LOWER):
                 text, line, lo, count, h = read(x, ends)
                 for k in range(0, len(text), _SORTED):
                     part = slice(k, k + _SORTED)
@@ -264,11 +247,6 @@ def _place(doc: str = "doc_id", line: str = "line"):
     return F.col(doc).cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + F.col(line)
 
 
-def few(df: DataFrame, limit: int = FEW) -> DataFrame:
-    """``df``, a written table, broadcast if it has at most ``limit`` rows."""
-    return F.broadcast(df) if df.count() <= limit else df
-
-
 def split_equal(sets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(the first set of each group of equal sets; (doc_id, line) of the later ones; a table to
     discard after both). Counts are combined before the shuffle, however large a group is."""
@@ -488,12 +466,12 @@ def _met_pairs(met: DataFrame) -> DataFrame:
 def _set_tokens(docs: DataFrame, wanted: DataFrame, read: Reader) -> DataFrame:
     """(doc_id, line, words array<bigint>): all tokens of the sets of ``wanted`` (doc_id,
     lines), from the texts, which aren't shuffled while the documents are few."""
-    d = docs.select("doc_id", "text").join(few(wanted), "doc_id").select("doc_id", "text", "lines")
+    d = docs.select("doc_id", "text").join(few(wanted, lists="lines"), "doc_id").select("doc_id", "text", "lines")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, lists = b.column(0), b.column(2)
-            for at, x, ends in text_bytes(b.column(1)):
+            for at, x, ends in text_bytes(b.column(1), table=_LOWER):
                 text, line, lo, count, h = read(x, ends)
                 part = lists.slice(at, len(ends))
                 owner = np.repeat(np.arange(len(ends)), np.diff(part.offsets.to_numpy()))

@@ -4,9 +4,10 @@ Every byte covered by a string of ``length`` bytes that also starts earlier in t
 goes; earlier means a smaller doc_id, or the same document and an earlier start.
 
 1. Each window of ``length`` bytes has a key, the least hash of its ``GRAM``-byte grams.
-   Consecutive windows of one key form a segment, so equal windows lie in segments of the
-   same key, and each window lies in one segment. A segment sends its key, a digest of its
-   bytes and its place; keys that occur once can't hold a repeat and end here.
+   Consecutive windows of one key form a segment, of at most ``PIECE`` windows, so equal
+   windows lie in segments of the same key, and each window lies in one segment. A segment
+   is its key, a digest of its bytes and its place. Keys that occur once can't hold a repeat
+   and end here: a filter of bounded size drops nearly all of them before the exact join.
 2. Of segments with equal bytes only the first needs a look: the windows of the others
    all start earlier there. So large groups of copies shrink to one segment.
 3. First segments of keys with different bytes meet, and those whose surroundings of the
@@ -16,13 +17,14 @@ goes; earlier means a smaller doc_id, or the same document and an earlier start.
    the first k bytes, and the block borders found so far are the places where common
    prefixes are shorter than k: after ``length`` rounds the blocks are the repeated
    intervals. No suffix is sorted again across shards.
-4. Of each block all but the first window are repeats. Keys with more different segments
-   than ``shard`` would make an unbounded group: their windows are digested instead, and
-   the first of each digest is found by a grouped minimum.
+4. Of each block all but the first window are repeats. The segments of a key with more than
+   ``shard`` of them, or with more than ``GROUP_BYTES``, are dealt into shards of which every
+   two are merged in a group of their own, so a task's memory is bounded.
 
 Defined cases: a null text is empty and keeps nothing; documents shorter than ``length``
-lose nothing; a null doc_id comes after all others; rows of one doc_id count as one place,
-so neither repeats the other; an empty table gives an empty result.
+lose nothing; a null doc_id comes after all others; texts of one doc_id, null included, come
+in the order of their hashes; rows equal in doc_id and text are one place, so neither repeats
+the other; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,16 +38,21 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, few, materialize, text_bytes
+from .set_join import mixed
 
 LENGTH = 100
 GRAM = 32
-#: Different segments of one key that a merge takes at most.
-SHARD = 4096
+#: Windows of one segment at most.
+PIECE = 1 << 14
+#: Segments and bytes of one key that are merged in one group.
+SHARD, GROUP_BYTES = 4096, 1 << 21
 #: Bytes whose suffixes are sorted together, and bytes merged together.
 SHARD_BYTES, MERGE_BYTES = 1 << 14, 1 << 19
 #: A window holds one of so many surroundings of each of its grams.
 PARTS = 4
+#: Bits of the filter of repeated keys at most: 16 MB.
+FILTER_BITS = 1 << 27
 _NULL_ID = (1 << 63) - 1
 
 
@@ -71,49 +78,105 @@ def _sliding_min(h: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[: n - w + 1], ahead[w - 1 : n])
 
 
-def segments(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, start, windows) of each segment of a text; windows is negative if the key's
-    gram occurs twice in the segment, without which no window can repeat within it."""
-    if len(text) < length:
+def segments(raw: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, key, place in raw, windows) of each segment of texts that stand one after
+    another; windows is negative if the key's gram occurs twice in the segment, without which
+    no window can repeat within it."""
+    if len(raw) < length:
         none = np.empty(0, dtype=np.int64)
-        return none.astype(np.uint64), none, none
-    raw = np.frombuffer(text, dtype=np.uint8)
+        return none, none.astype(np.uint64), none, none
     hashes, w = _gram_hashes(raw, gram), length - gram + 1
     keys = _sliding_min(hashes, w)
-    starts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1])
-    count = np.diff(np.append(starts, len(keys)))
+    n = len(keys)
+    new = np.ones(n + 1, dtype=bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:-1])
+    new[ends[ends < n]] = True  # windows of the next text, and before them those across its border
+    tail = ends - length + 1
+    new[tail[(tail > 0) & (tail < n)]] = True
+    starts = np.flatnonzero(new)
+    count, starts = np.diff(starts), starts[:-1]
+    text = np.searchsorted(ends, starts, side="right")
+    keep = starts + length <= ends[text]
+    text, starts, count = text[keep], starts[keep], count[keep]
+    pieces = -(-count // PIECE)
+    if (pieces > 1).any():
+        inside = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        text, starts, left = np.repeat(text, pieces), np.repeat(starts, pieces) + inside * PIECE, np.repeat(count, pieces) - inside * PIECE
+        count = np.minimum(left, PIECE)
+    key = keys[starts]
     views, last = sliding_window_view(hashes, w), starts + count - 1
-    leftmost = starts + (views[starts] == keys[starts, None]).argmax(axis=1)
-    rightmost = last + w - 1 - (views[last, ::-1] == keys[starts, None]).argmax(axis=1)
-    return keys[starts], starts, np.where(leftmost == rightmost, count, -count)
+    leftmost = starts + (views[starts] == key[:, None]).argmax(axis=1)
+    rightmost = last + w - 1 - (views[last, ::-1] == key[:, None]).argmax(axis=1)
+    return text, key, starts, np.where(leftmost == rightmost, count, -count)
+
+
+_SEGMENT = "doc_id bigint, sub bigint, key bigint, digest bigint, start int, n int"
 
 
 def segment_rows(docs: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for b in batches:
-            out: list[tuple] = []
-            size = 0
-            for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                text = (t or "").encode()
-                key, start, n = segments(text, length)
-                digest = np.fromiter((xxhash.xxh3_64_intdigest(text[s : s + k + length - 1]) for s, k in zip(start.tolist(), np.abs(n).tolist(), strict=True)), dtype=np.uint64, count=len(key))
-                out.append((np.full(len(key), doc, dtype=np.int64), key, digest, start, n))
-                size += len(key)
-                if size > 200_000:
-                    yield _segment_batch(out)
-                    out, size = [], 0
-            if out:
-                yield _segment_batch(out)
+            ids, subs = b.column(0), b.column(1)
+            for at, raw, ends in text_bytes(b.column(2)):
+                text, key, place, n = segments(raw, ends, length)
+                view, size = memoryview(raw), np.abs(n) + length - 1
+                digest = np.fromiter((xxhash.xxh3_64_intdigest(view[s:e]) for s, e in zip(place.tolist(), (place + size).tolist(), strict=True)), dtype=np.uint64, count=len(key))
+                owner = pa.array(at + text)
+                start = place - np.concatenate([[0], ends[:-1]])[text]
+                held.append(pa.RecordBatch.from_arrays([
+                    ids.take(owner), subs.take(owner), pa.array(key.view(np.int64)), pa.array(digest.view(np.int64)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)),
+                ], names=[x.split()[0] for x in _SEGMENT.split(", ")]))
+                if sum(x.num_rows for x in held) > 20_000:
+                    yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                    held = []
+        yield from held
+
+    return docs.mapInArrow(run, _SEGMENT)
+
+
+# --- a filter of keys ---
+
+
+def _bits(keys: np.ndarray, size: int) -> np.ndarray:
+    """Two places of each key in a filter of ``size`` bits, a power of two."""
+    h = mixed(keys.view(np.uint64))
+    return np.concatenate([h & np.uint64(size - 1), h >> np.uint64(32) & np.uint64(size - 1)]).astype(np.int64)
+
+
+def key_filter(keys: DataFrame, most: int = FILTER_BITS) -> np.ndarray:
+    """Bytes of a filter that says yes to all of the keys and to few others. Its size is bounded;
+    its words are combined before they reach the driver."""
+    size = 1 << 16
+    n = keys.count()
+    while size < 12 * n and size < most:
+        size *= 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.unique(_bits(b.column(0).to_numpy(), size))
+            word, first = np.unique(at >> 6, return_index=True)
+            mask = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first) if len(at) else np.empty(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int32)), pa.array(mask.view(np.int64))], names=["word", "mask"])
+
+    found = keys.select("key").mapInArrow(run, "word int, mask bigint").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    out = np.zeros(size >> 6, dtype=np.int64)
+    out[found.column("word").to_numpy()] = found.column("mask").to_numpy()
+    return out.view(np.uint8)
+
 
-    return docs.mapInArrow(run, "doc_id bigint, key bigint, digest bigint, start int, n int")
+def filtered(rows: DataFrame, bits: np.ndarray) -> DataFrame:
+    """The rows whose key the filter says yes to."""
+    held = rows.sparkSession.sparkContext.broadcast(bits)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = held.value
+        for b in batches:
+            at = _bits(b.column("key").to_numpy(), 8 * len(table))
+            yes = (table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+            yield b.filter(pa.array(yes[: b.num_rows] & yes[b.num_rows :]))
 
-def _segment_batch(parts: list[tuple]) -> pa.RecordBatch:
-    doc, key, digest, start, n = (np.concatenate(c) for c in zip(*parts, strict=True))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(doc), pa.array(key.view(np.int64)), pa.array(digest.view(np.int64)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))],
-        names=["doc_id", "key", "digest", "start", "n"],
-    )
+    return rows.mapInArrow(run, rows.schema)
 
 
 # --- Burrows-Wheeler transforms ---
@@ -234,120 +297,116 @@ def may_repeat(keys: list[int], strings: list[bytes], length: int, gram: int = G
 
 # --- Spark jobs ---
 
-_SPAN = ["doc_id", "start", "stop"]
+_SPAN = ["doc_id", "sub", "start", "stop"]
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(key, doc_id, start, bytes) of the wanted segments (key, doc_id, start, n)."""
-    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "n")).alias("s"))  # at most a document's segments
-    d = docs.join(lists, "doc_id").select("doc_id", "text", "s")
+    """(key, shards, doc_id, sub, start, bytes) of the wanted segments. ``wanted`` is a written
+    table (doc_id, sub, s) with the list of the segments (key, shards, start, n) of a document."""
+    d = docs.join(few(wanted, lists="s"), ["doc_id", "sub"]).select("doc_id", "sub", "text", "s")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for doc, t, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for doc, sub, t, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 text = (t or "").encode()
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([x["key"] for x in s], pa.int64()), pa.array([doc] * len(s), pa.int64()),
+                    pa.array([x["key"] for x in s], pa.int64()), pa.array([x["shards"] for x in s], pa.int32()), pa.array([doc] * len(s), pa.int64()), pa.array([sub] * len(s), pa.int64()),
                     pa.array([x["start"] for x in s], pa.int32()), pa.array([text[x["start"] : x["start"] + x["n"] + length - 1] for x in s], pa.binary()),
-                ], names=["key", "doc_id", "start", "bytes"])
+                ], names=["key", "shards", "doc_id", "sub", "start", "bytes"])
 
-    return d.mapInArrow(run, "key bigint, doc_id bigint, start int, bytes binary")
+    return d.mapInArrow(run, "key bigint, shards int, doc_id bigint, sub bigint, start int, bytes binary")
 
 
 def _merged(parts: DataFrame, length: int) -> DataFrame:
-    """Spans (doc_id, start, stop) of repeated windows, found by merging transforms."""
-    placed = parts.repartition("key").sortWithinPartitions("key", "doc_id", "start")
-
-    def work(keys: list, docs: list, starts: list, strings: list) -> pa.RecordBatch:
+    """Spans (doc_id, sub, start, stop) of repeated windows, found by merging transforms. Of a
+    key that is dealt, any two shards i and j form a group."""
+    own = F.pmod(F.xxhash64("doc_id", "sub", "start"), F.col("shards")).cast("int")
+    dealt = parts.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+    dealt = dealt.select("key", F.greatest("own", "other").alias("i"), F.least("own", "other").alias("j"), "doc_id", "sub", "start", "bytes")
+    placed = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "doc_id", "sub", "start")
+
+    def work(rows: list[tuple]) -> pa.RecordBatch:
         # Strings of one key follow the corpus order; keys share no window.
+        keys, _, _, docs, subs, starts, strings = map(list, zip(*rows, strict=True))
         keep = np.flatnonzero(may_repeat(keys, strings, length)).tolist()
-        docs, starts, strings = ([x[k] for k in keep] for x in (docs, starts, strings))
+        docs, subs, starts, strings = ([x[k] for k in keep] for x in (docs, subs, starts, strings))
         found = repeated_windows(strings, length) if strings else np.empty((0, 2), dtype=np.int64)
-        doc, start = np.array(docs, dtype=np.int64)[found[:, 0]], np.array(starts, dtype=np.int64)[found[:, 0]] + found[:, 1]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in _runs(doc, start, length)], names=_SPAN)
+        owner = found[:, 0]
+        doc, sub, start = np.array(docs, dtype=np.int64)[owner], np.array(subs, dtype=np.int64)[owner], np.array(starts, dtype=np.int64)[owner] + found[:, 1]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in _runs(doc, sub, start, length)], names=_SPAN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         size = 0
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if size > MERGE_BYTES and row[0] != rows[-1][0]:
-                    yield work(*map(list, zip(*rows, strict=True)))
-                    rows, size = [], 0
-                if rows and row[:3] == rows[-1][:3]:  # rows of one doc_id
-                    continue
+                if rows:
+                    if row[:6] == rows[-1][:6]:  # rows equal in doc_id and text
+                        continue
+                    # Groups of one key don't mix: each string of theirs is in several.
+                    if row[0] == rows[-1][0] and row[1:3] != rows[-1][1:3] or size > MERGE_BYTES and row[0] != rows[-1][0]:
+                        yield work(rows)
+                        rows, size = [], 0
                 rows.append(row)
-                size += len(row[3])
+                size += len(row[6])
         if rows:
-            yield work(*map(list, zip(*rows, strict=True)))
+            yield work(rows)
 
-    return placed.mapInArrow(run, "doc_id bigint, start bigint, stop bigint")
+    return placed.mapInArrow(run, "doc_id bigint, sub bigint, start bigint, stop bigint")
 
 
-def _runs(doc: np.ndarray, start: np.ndarray, length: int) -> list[np.ndarray]:
+def _runs(doc: np.ndarray, sub: np.ndarray, start: np.ndarray, length: int) -> list[np.ndarray]:
     """Spans that cover the windows at these places."""
-    by = np.lexsort((start, doc))
-    doc, start = doc[by], start[by]
+    by = np.lexsort((start, sub, doc))
+    doc, sub, start = doc[by], sub[by], start[by]
     if not len(doc):
-        return [doc, start, start]
-    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + length)])
+        return [doc, sub, start, start]
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (sub[1:] != sub[:-1]) | (start[1:] > start[:-1] + length)])
     at = np.flatnonzero(new)
     last = np.append(at[1:], len(doc)) - 1
-    return [doc[at], start[at], start[last] + length]
-
-
-def _digested(parts: DataFrame, length: int) -> DataFrame:
-    """As _merged, for keys with very many different segments: by digests of windows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for doc, start, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "start", "bytes")), strict=True):
-                n = len(text) - length + 1
-                two = np.frombuffer(b"".join(xxhash.xxh3_128_digest(text[k : k + length]) for k in range(n)), dtype="<i8").reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.ascontiguousarray(two[:, 0])), pa.array(np.ascontiguousarray(two[:, 1])), pa.array(np.full(n, doc)), pa.array(np.arange(start, start + n))],
-                    names=["w0", "w1", "doc_id", "start"],
-                )
-
-    windows = materialize(parts.mapInArrow(run, "w0 bigint, w1 bigint, doc_id bigint, start bigint"), "suffix-windows")
-    first = materialize(windows.groupBy("w0", "w1").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("c")).where("c > 1"), "suffix-first")
-    again = windows.join(first, ["w0", "w1"]).where(F.struct("doc_id", "start") != F.col("first"))
-    return again.select("doc_id", "start", (F.col("start") + length).alias("stop"))
+    return [doc[at], sub[at], start[at], start[last] + length]
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, shard: int = SHARD) -> DataFrame:
-    """(doc_id, start, stop): spans of bytes to remove; they may overlap."""
+    """(doc_id, sub, spans array<start, stop>): for each document that loses bytes, the spans
+    to remove, which may overlap; a written table."""
     rows = materialize(segment_rows(docs, length), "suffix-rows")
-    keys = materialize(rows.groupBy("key").agg(F.count("*").alias("c"), F.min("digest").alias("d0"), F.max("digest").alias("d1"), F.min("n").alias("n")).where("c > 1 OR n < 0"), "suffix-keys")
-    shared = materialize(rows.join(keys.select("key", (F.col("d0") != F.col("d1")).alias("mixed")), "key"), "suffix-segments")
-    discard(rows)
-    place = F.struct("doc_id", "start")
-    first = materialize(shared.groupBy("key", "digest").agg(F.min(place).alias("first"), F.min("n").alias("n"), F.max("mixed").alias("mixed")), "suffix-firsts")
+    keys = materialize(rows.groupBy("key").agg(F.count("*").alias("c"), F.min("n").alias("n")).where("c > 1 OR n < 0").select("key"), "suffix-keys")
+    held = materialize(filtered(rows, key_filter(keys)).join(keys, "key", "left_semi"), "suffix-segments")
+    discard(rows, keys)
+    place = F.struct("doc_id", "sub", "start")
+    first = materialize(held.groupBy("key", "digest").agg(F.min(place).alias("first"), F.min("n").alias("n")), "suffix-firsts")
     # Later copies of a segment go whole.
-    copies = shared.join(first.select("key", "digest", "first"), ["key", "digest"]).where(place != F.col("first"))
-    spans = copies.select("doc_id", F.col("start").cast("long").alias("start"), (F.col("start") + F.abs("n") + length - 1).cast("long").alias("stop"))
-    # First segments of mixed keys, and those that may repeat within themselves, are merged.
-    look = first.where("mixed OR n < 0").select("key", F.col("first.doc_id").alias("doc_id"), F.col("first.start").alias("start"), F.abs("n").alias("n"))
-    parts = materialize(_texts_of(docs, look, length), "suffix-parts")
-    crowded = materialize(parts.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > shard).select("key"), "suffix-crowded")
-    if crowded.isEmpty():
-        spans = spans.union(_merged(parts, length))
-    else:
-        spans = spans.union(_merged(parts.join(crowded, "key", "left_anti"), length)).union(_digested(parts.join(crowded, "key"), length))
-    out = materialize(spans, "suffix-spans")
-    discard(keys, shared, first, parts)
+    copies = held.join(first.select("key", "digest", "first"), ["key", "digest"]).where(place != F.col("first"))
+    copies = copies.select("doc_id", "sub", F.col("start").cast("long").alias("start"), (F.col("start") + F.abs("n") + length - 1).cast("long").alias("stop"))
+    copies = materialize(copies, "suffix-copies")
+    # First segments of keys with different bytes, and those that may repeat within themselves, are merged.
+    sizes = first.groupBy("key").agg(F.count("*").alias("c"), F.sum(F.abs("n") + length - 1).alias("b"))
+    over = F.greatest(F.col("c") / shard, F.col("b") / GROUP_BYTES)
+    sizes = sizes.select("key", "c", F.when(over > 1, F.ceil(over * 1.25)).otherwise(1).cast("int").alias("shards"))
+    look = first.join(sizes, "key").where("c > 1 OR n < 0").select("first.*", F.struct("key", "shards", "first.start", F.abs("n").alias("n")).alias("s"))
+    wanted = materialize(look.groupBy("doc_id", "sub").agg(F.collect_list("s").alias("s")), "suffix-wanted")  # at most a document's segments
+    discard(held, first)
+    spans = copies.union(_merged(_texts_of(docs, wanted, length), length))
+    out = materialize(spans.groupBy("doc_id", "sub").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "suffix-spans")
+    discard(copies, wanted)
     return out
 
 
 def _documents(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc_id"), "text")
+    """(doc_id, sub, text): sub tells the texts of a repeated doc_id apart and is zero else."""
+    d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    twice = materialize(d.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id", F.lit(True).alias("twice")), "suffix-ids")
+    if twice.isEmpty():
+        return d.select("doc_id", F.lit(0).cast("long").alias("sub"), "text")
+    sub = F.when(F.col("twice"), F.xxhash64("text")).otherwise(0)
+    return d.join(few(twice), "doc_id", "left").select("doc_id", sub.cast("long").alias("sub"), "text")
 
 
 def dedup_substrings(docs: DataFrame, length: int = LENGTH, shard: int = SHARD) -> DataFrame:
     """(doc_id, n_bytes, removed array<start, stop>, kept binary) of every document."""
     d = _documents(docs)
-    lists = repeated_spans(d, length, shard).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    joined = d.join(lists, "doc_id", "left").select("doc_id", "text", "spans")
+    joined = d.join(few(repeated_spans(d, length, shard), lists="spans"), ["doc_id", "sub"], "left").select("doc_id", "text", "spans")
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
