@@ -285,10 +285,11 @@ class _Group:
         self.least = np.ceil(threshold * self.size - 1e-9)
 
     def passes(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Positional and bitmap filters; lengths were compared before."""
+        """Positional and bitmap filters; lengths were compared before. In the group of the
+        first token that two sets share, none before it is shared: what follows must do."""
         a, b, p, q = self.size[x], self.size[y], self.place[x], self.place[y]
         need = _need(a, b, self.threshold)
-        ok = np.minimum(p, q) + np.minimum(a - p, b - q) >= need
+        ok = np.minimum(a - p, b - q) >= need
         bits = np.bitwise_count(self.s0[x] ^ self.s0[y]).astype(np.int64) + np.bitwise_count(self.s1[x] ^ self.s1[y])
         return ok & (bits <= a + b - 2 * need)
 
@@ -416,20 +417,43 @@ def candidates(rows: DataFrame, threshold: float, shard: int = SHARD, forest: bo
 def all_candidates(first: DataFrame, again: DataFrame, tried: DataFrame, threshold: float) -> DataFrame:
     """All pairs of a set of ``again`` (doc_id, line) and an earlier one that pass, without
     those tried. The rows of ``again`` are broadcast if few; the filters run in the join."""
-    mine = materialize(prefix_rows(first.join(few(again), ["doc_id", "line"], "left_semi")), "sets-again")
-    x, y = few(mine).alias("x"), prefix_rows(first).alias("y")
-    met = y.join(x, (F.col("x.key") == F.col("y.key")) & _earlier() & _passing(threshold))
+    mine = materialize(_whole_rows(first.join(few(again), ["doc_id", "line"], "left_semi")), "sets-again")
+    x, y = few(mine).alias("x"), _whole_rows(first).alias("y")
+    met = y.join(x, (F.col("x.key") == F.col("y.key")) & _earlier() & _passing(threshold) & _heads_pass(threshold))
     out = materialize(_met_pairs(met).join(tried, PAIR, "left_anti"), "sets-pairs")
     discard(mine)
     return out
 
 
+#: Prefix tokens, the rarest, that a row carries for the filters of a join.
+_HEAD = 32
+
+
+def _whole_rows(first: DataFrame) -> DataFrame:
+    """As prefix_rows, with the head of the prefix in each row."""
+    rows = first.select("doc_id", "line", "size", "skip", "s0", "s1", F.slice("prefix", 1, _HEAD).alias("head"), F.posexplode("prefix").alias("k", "key"))
+    return rows.withColumn("place", F.col("k") + F.col("skip"))
+
+
 def _passing(threshold: float):
     """The length, positional and bitmap filters for rows x and y."""
     a, b, p, q = (F.col(c) for c in ("x.size", "y.size", "x.place", "y.place"))
     need = F.ceil(F.lit(threshold / (1 + threshold)) * (a + b) - 1e-9)
     bits = F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))) + F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1")))
-    return (F.least(a, b) >= need) & (F.least(p, q) + F.least(a - p, b - q) >= need) & (bits <= a + b - 2 * need)
+    return (F.least(a, b) >= need) & (F.least(a - p, b - q) >= need) & (bits <= a + b - 2 * need)
+
+
+def _heads_pass(threshold: float):
+    """A pair passes at its first shared token only, and if the tokens that either head lacks
+    although its order goes past them leave enough."""
+    a, b, u, v = (F.col(c) for c in ("x.size", "y.size", "x.head", "y.head"))
+    need = F.ceil(F.lit(threshold / (1 + threshold)) * (a + b) - 1e-9)
+
+    def lacking(u, v, skip: str):
+        return F.size(F.filter(F.array_except(u, v), lambda t: t < F.array_max(v))) + F.col(skip)
+
+    one = F.coalesce(F.array_min(F.array_intersect(u, v)) == F.col("x.key"), F.lit(True))
+    return one & (a - lacking(u, v, "x.skip") >= need) & (b - lacking(v, u, "y.skip") >= need)
 
 
 def candidates_apart(first: DataFrame, failed: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
