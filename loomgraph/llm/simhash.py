@@ -1,23 +1,27 @@
 """SimHash near-duplicates: fingerprints of word shingles, linked through BK-trees.
 
-Fingerprints are 64 bits. Two that differ in at most 4 bits agree on at least three of
-seven bit blocks, so they meet in one of 35 tables keyed by three blocks. Within such a
-bucket the members form a BK-tree: children are keyed by their integer Hamming distance
-to the parent, and a search follows only edges within the radius. Each bucket yields the
-edges of a spanning forest, at most one for each member, never all pairs. Connected
-components of those edges are the groups.
+Fingerprints are 64 bits. Neighbours are found by BK-trees: children are keyed by their
+integer Hamming distance to the parent, and a search follows only edges within the radius.
 
-A bucket of more than ``shard`` fingerprints is split: its members are dealt into shards
-by hash, each shard has a tree of its own, and every pair of shards meets in a task of
-its own. So trees and groups are bounded, and no link is lost. Trees travel only to the
-tasks that search them; a broadcast of all trees would grow with the corpus.
+Which trees a fingerprint searches is a matter of routing. Two that differ in at most
+``radius`` bits agree on at least one of radius + 1 bit blocks, so members are dealt out by
+each of their blocks, and every block's value has a tree: five tables at radius 4, trees of
+about n / 7,000 members. When those would exceed ``TREE`` members, two or more blocks must
+agree (``blocks_kept``). All trees of a task are built and searched level by level, as arrays.
 
-Equal fingerprints are one node, however many documents have them.
+A tree of more than ``shard`` fingerprints is split: its members are dealt into shards by
+hash, each shard has a tree of its own, and every pair of shards meets in a task of its own.
+So trees and groups are bounded, and no link is lost. Trees are built in the tasks that
+search them; a broadcast of all trees would grow with the corpus.
+
+Of the links found in a tree the edges of a spanning forest go on, at most one for each
+member, never all pairs. Connected components of those edges are the groups. Equal
+fingerprints are one node, however many documents have them.
 
 Defined cases: a null or blank text has the fingerprint zero, linked like any other; a
 text of fewer words than a shingle is one shingle; repeated rows are one node; a null
 doc_id gets a component too, and is never its least member unless it is alone; an empty
-table gives an empty result.
+table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, few, materialize
 from .graph import connected_components
 
 SHINGLE = 4
@@ -39,8 +43,8 @@ RADIUS = 4
 SEED = 42
 #: Fingerprints in one tree at most.
 SHARD = 4096
-#: Below so many members a node is searched as a plain list.
-LEAF = 32
+#: Fingerprints in a tree on average at most, if they were random.
+TREE = 2048
 
 
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
@@ -85,129 +89,154 @@ def bucket_masks(radius: int = RADIUS, kept: int = 3) -> list[int]:
     return [_signed(sum(c)) for c in combinations(masks, kept)]
 
 
-class BkTree:
-    """Over distinct fingerprints, built and searched a node at a time for whole arrays
-    of queries. A node is its pivot, children by distance to it, or a short list."""
-
-    def __init__(self, members: np.ndarray, index: np.ndarray):
-        self.pivot = self.leaf = None
-        self.children: list[tuple[int, BkTree]] = []
-        if len(members) <= LEAF:
-            self.leaf = (members, index)
-            return
-        self.pivot = (members[0], index[0])
-        distance = np.bitwise_count(members ^ members[0])
-        for d in np.unique(distance[1:]).tolist():
-            at = np.flatnonzero(distance == d)
-            at = at[at > 0]
-            if d == 0:
-                raise ValueError("members are distinct")
-            self.children.append((d, BkTree(members[at], index[at])))
-
-    def search(self, queries: np.ndarray, index: np.ndarray, radius: int, link) -> None:
-        """Call link(query indexes, member indexes) for the pairs within the radius."""
-        if self.leaf is not None:
-            near = np.bitwise_count(queries[:, None] ^ self.leaf[0][None, :]) <= radius
-            q, m = np.nonzero(near)
-            if len(q):
-                link(index[q], self.leaf[1][m])
-            return
-        distance = np.bitwise_count(queries ^ self.pivot[0]).astype(np.int64)
-        if len(near := index[distance <= radius]):
-            link(near, np.full(len(near), self.pivot[1]))
-        for d, child in self.children:
-            at = np.abs(distance - d) <= radius
-            if at.any():
-                child.search(queries[at], index[at], radius, link)
-
-
-class _Forest:
+def blocks_kept(n: int, radius: int = RADIUS) -> int:
+    """How many blocks agree in a table, so that trees of n random fingerprints stay small."""
+    return next((k for k in range(1, radius + 1) if n / 2 ** (64 * k / (radius + k)) <= TREE), radius)
+
+
+class BkForest:
+    """BK-trees of many groups as arrays, built and searched a level at a time.
+
+    ``members`` holds unsigned fingerprints, distinct within a group, and ``group`` ascends.
+    Node k is members[k]; the first of a group is its tree's root."""
+
+    def __init__(self, members: np.ndarray, group: np.ndarray):
+        self.members = members
+        first = np.concatenate([[True], group[1:] != group[:-1]]) if len(group) else np.empty(0, bool)
+        self.roots = np.flatnonzero(first)
+        above = np.maximum.accumulate(np.where(first, np.arange(len(group)), 0)) if len(group) else np.empty(0, np.int64)
+        rest = np.flatnonzero(~first)
+        at = above[rest]
+        kids, codes = [], []
+        while len(rest):
+            # Of the members at one distance from a node the first is its child; the others go below it.
+            code = at * 65 + np.bitwise_count(members[rest] ^ members[at])
+            by = np.argsort(code, kind="stable")
+            rest, code = rest[by], code[by]
+            head = np.concatenate([[True], code[1:] != code[:-1]])
+            kids.append(rest[head])
+            codes.append(code[head])
+            at = rest[np.maximum.accumulate(np.where(head, np.arange(len(rest)), 0))][~head]
+            rest = rest[~head]
+        self.depth = len(kids)
+        kid, code = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (kids, codes))
+        by = np.argsort(code)
+        #: Children by (parent, distance).
+        self.kids, self.codes = kid[by], code[by]
+        self.visited = 0
+
+    def search(self, queries: np.ndarray, roots: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query numbers, nodes within the radius), level by level from each query's root."""
+        q, node = np.arange(len(queries)), roots
+        while len(q):
+            self.visited += len(q)
+            distance = np.bitwise_count(queries[q] ^ self.members[node]).astype(np.int64)
+            near = distance <= radius
+            yield q[near], node[near]
+            # Only edges whose key is within the radius of the distance can lead to a neighbour.
+            lo = np.searchsorted(self.codes, node * 65 + np.maximum(distance - radius, 0))
+            n = np.searchsorted(self.codes, node * 65 + np.minimum(distance + radius, 64), side="right") - lo
+            q = np.repeat(q, n)
+            node = self.kids[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(len(q))]
+
+
+class _Union:
     def __init__(self, n: int):
-        self.up = list(range(n))
+        self.up = np.arange(n)
         self.edges: list[tuple[int, int]] = []
 
     def find(self, x: int) -> int:
         up = self.up
         while up[x] != x:
             up[x] = up[up[x]]
-            x = up[x]
+            x = int(up[x])
         return x
 
     def link(self, a: np.ndarray, b: np.ndarray) -> None:
-        roots = np.array(self.up, dtype=np.int64)
-        open_ = roots[a] != roots[b]
+        """Join the pairs, and note an edge for each that joins two trees."""
+        x, y = self.up[a], self.up[b]
+        open_ = x != y
         for x, y in zip(a[open_].tolist(), b[open_].tolist(), strict=True):
-            x, y = self.find(x), self.find(y)
-            if x != y:
-                self.up[max(x, y)] = min(x, y)
+            p, q = self.find(x), self.find(y)
+            if p != q:
+                self.up[max(p, q)] = min(p, q)
                 self.edges.append((x, y))
+        if open_.any():
+            while (self.up[self.up] != self.up).any():
+                self.up = self.up[self.up]
 
 
-def spanning_edges(members: np.ndarray, owners: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Edges that join what pairs (any member, owner) within the radius join. ``owners``
-    says which members the tree holds. Bits are counted on unsigned integers."""
-    n = len(members)
+#: Queries of a group of many members that search at once; they may all be neighbours.
+_QUERIES = 128
+
+
+def group_edges(members: np.ndarray, group: np.ndarray, owner: np.ndarray, radius: int = RADIUS) -> tuple[list[tuple[int, int]], BkForest | None]:
+    """(edges, trees): pairs of indexes that join what all pairs (any member, owner of its
+    group) within the radius join. ``owner`` marks the members that the trees hold."""
     members = members.astype(np.int64).view(np.uint64)
-    forest = _Forest(n)
-    all_ = np.arange(n)
-    BkTree(members[owners], all_[owners]).search(members, all_, radius, forest.link)
-    return forest.edges
-
-
-def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Per batch: row arrays and the bounds of groups of equal keys in sorted rows, with
-    the last, unfinished group carried over."""
-    rest: np.ndarray | None = None
-    for b in batches:
-        rows = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns])
-        if rest is not None and len(rest):
-            rows = np.concatenate([rest, rows])
-        if not len(rows):
-            continue
-        cuts = np.flatnonzero((rows[1:, :keys] != rows[:-1, :keys]).any(axis=1)) + 1
-        last = cuts[-1] if len(cuts) else 0
-        rest = rows[last:]
-        if last:
-            yield rows[:last], np.concatenate([[0], cuts])
-    if rest is not None and len(rest):
-        yield rest, np.array([0, len(rest)])
+    held = np.flatnonzero(owner)
+    if not len(held):
+        return [], None
+    trees = BkForest(members[held], group[held])
+    root = np.full(int(group[-1]) + 1, -1)
+    root[group[held][trees.roots]] = trees.roots
+    ask = np.flatnonzero(root[group] >= 0)
+    size = np.bincount(group)[group[ask]]
+    ask = ask[np.argsort(size, kind="stable")]
+    bound = np.searchsorted(np.sort(size), 4 * _QUERIES)
+    union = _Union(len(members))
+    at = 0
+    while at < len(ask):
+        part = ask[at : min(at + 20_000, bound) if at < bound else at + _QUERIES]
+        for q, node in trees.search(members[part], root[group[part]], radius):
+            union.link(part[q], held[node])
+        at += len(part)
+    return union.edges, trees
+
+
+def spanning_edges(members: np.ndarray, owners: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
+    """As group_edges, for one group, of which ``owners`` are the indexes in the tree."""
+    owner = np.zeros(len(members), dtype=bool)
+    owner[owners] = True
+    return group_edges(members, np.zeros(len(members), dtype=np.int64), owner, radius)[0]
 
 
 def near_edges(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
     """(u, v) edges whose components are those of all pairs within the radius. ``fps`` has
     one bigint column fp without repeats; it should be a written table."""
-    masks = bucket_masks(radius)
+    masks = bucket_masks(radius, blocks_kept(fps.count(), radius))
     table = F.array(*[F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(masks)])
     keyed = fps.select("fp", F.explode(table).alias("b")).select("b.t", "b.key", "fp")
-    # Buckets over the bound: few, and known by key. Counting combines before the shuffle.
+    # Trees over the bound: few, and known by key. Counting combines before the shuffle.
     hot = materialize(keyed.groupBy("t", "key").count().where(F.col("count") > shard), "simhash-hot")
-    n_hot = hot.count()
+
+    def work(rows: np.ndarray) -> pa.RecordBatch:
+        group = np.concatenate([[0], np.cumsum((rows[1:, :4] != rows[:-1, :4]).any(axis=1))])
+        edges = group_edges(rows[:, 4], group, rows[:, 5] > 0, radius)[0]
+        x, y = np.array(edges, dtype=np.int64).reshape(-1, 2).T
+        return pa.RecordBatch.from_arrays([pa.array(rows[x, 4]), pa.array(rows[y, 4])], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, cuts in _groups(batches, 4):
-            sizes = np.diff(cuts)
-            u: list[np.ndarray] = []
-            v: list[np.ndarray] = []
-            # Pairs, by far the most groups, at once.
-            two = cuts[:-1][sizes == 2]
-            a, b = rows[two, 4], rows[two + 1, 4]
-            near = np.bitwise_count((a ^ b).view(np.uint64)) <= radius
-            u.append(a[near])
-            v.append(b[near])
-            for lo, hi in zip(cuts[:-1][sizes > 2].tolist(), cuts[1:][sizes > 2].tolist(), strict=True):
-                members = rows[lo:hi, 4]
-                edges = spanning_edges(members, np.flatnonzero(rows[lo:hi, 5]), radius)
-                if edges:
-                    x, y = np.array(edges).T
-                    u.append(members[x])
-                    v.append(members[y])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
+        held: list[np.ndarray] = []
+        n = 0
+        for b in batches:
+            held.append(np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns]))
+            n += b.num_rows
+            if n > 50_000:
+                rows = np.concatenate(held)
+                cuts = np.flatnonzero((rows[1:, :4] != rows[:-1, :4]).any(axis=1)) + 1
+                end = int(cuts[-1]) if len(cuts) else 0
+                if end:
+                    yield work(rows[:end])
+                held, n = [rows[end:]], 0
+        if held and len(rows := np.concatenate(held)):
+            yield work(rows)
 
     # Columns i, j name the pair of shards that meet; the tree holds shard j.
     zero = F.lit(0).cast("long")
     one = keyed.select(F.col("t").cast("long").alias("t"), "key", zero.alias("i"), zero.alias("j"), "fp", F.lit(1).cast("long").alias("owner"))
-    if n_hot:
-        small_hot = F.broadcast(hot) if n_hot <= 100_000 else hot
+    if not hot.isEmpty():
+        small_hot = few(hot)
         one = one.join(small_hot.select(F.col("t").cast("long"), "key"), ["t", "key"], "left_anti")
         dealt = keyed.join(small_hot, ["t", "key"]).withColumn("n", F.ceil(F.col("count") / shard * 1.25).cast("long"))
         dealt = dealt.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("n")))
@@ -242,8 +271,9 @@ def keep_first(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> Da
     """One document of each group stays, that with the least doc_id; columns as they came.
     Rows without a doc_id stay: they can't be told apart by one."""
     found = near_duplicates(docs.where(F.col("doc_id").isNotNull()), size, radius)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias("at")).distinct(), "simhash-gone")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").alias("at"))
+    return whole.join(few(gone), "at", "left_anti").select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 
 def hex_fingerprint(fp) -> F.Column:
