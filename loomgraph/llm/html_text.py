@@ -1,17 +1,19 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines: a block element ends a line, character references are
-decoded, white space becomes one space. Over the lines runs a window of a few lines; the
-curve of their summed text lengths surges where an article begins and dives where it
-ends. The text between surge and dive is kept. What a line weighs depends on what it is:
-where a page marks an article element, lines outside it weigh nothing; words in links, and lines in elements that the page itself names as menu, header, footer,
-sidebar, notice, advert, form or comments, weigh nothing and are never kept.
+Markup is stripped to lines: a block element ends a line, character references are decoded,
+white space becomes one space. Lines in elements that the page itself names as menu, header,
+footer, sidebar, notice, advert, form or comments go with the markup. Over the lines that are
+left runs a window of a few lines; the curve of their summed weights surges where an article
+begins and dives where it ends, and all text between surge and dive is kept, a page's other
+text is not. A line weighs as many characters as it has outside links; where a page marks an
+article element, a line outside it weighs nothing, but only the curve sets the borders.
 
 Each page is one row of a map over the table: no shuffle, memory bounded by the page.
 
 Defined cases: null or blank html gives the empty text; unclosed and stray tags are
-read as browsers do for blocks; repeated rows are extracted alike; an empty table gives
-an empty result; extra columns are ignored.
+read as browsers do for blocks; on a page too short for a surge the lines with weight are the
+text; repeated rows are extracted alike; an empty table gives an empty result; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -27,8 +29,6 @@ from pyspark.sql import DataFrame
 BLOCK_LINES = 3
 #: Summed characters at which the curve surges.
 SURGE = 60
-#: Share of the densest run's characters that another run needs to be kept.
-RUN_SHARE = 0.2
 
 #: Elements that end a line of text where they begin and where they end.
 BLOCKS = frozenset(
@@ -129,35 +129,36 @@ def lines_of(html: str) -> list[tuple[str, int, bool, bool]]:
     return out
 
 
-def main_text(html: str | None, block_lines: int = BLOCK_LINES, surge: int = SURGE, run_share: float = RUN_SHARE) -> str:
-    lines = lines_of(html or "")
-    # Where the page marks its article, only lines in it have weight, each enough to surge.
-    marked = any(a and not d for _, _, a, d in lines)
-    weights = [(w + surge if a and not d else 0) if marked else w for _, w, a, d in lines]
-    n = len(lines)
+def passages(weights: list[int], block_lines: int = BLOCK_LINES, surge: int = SURGE) -> list[tuple[int, int]]:
+    """Runs [begin, end) of lines in which the curve, the summed weights of the window that a
+    line begins, rises from nothing to a surge, up to the dive where a whole window has none."""
+    n = len(weights)
     curve = [sum(weights[k : k + block_lines]) for k in range(n)]
-    # Runs from a surge (the window reaches the limit at a line with text) to a dive
-    # (no text in a whole window).
     runs: list[tuple[int, int]] = []
     k = 0
     while k < n:
-        if curve[k] >= surge and weights[k]:
-            start = k
-            while k < n and curve[k] > 0:
-                k += 1
-            end = k
-            while end > start and not weights[end - 1]:
-                end -= 1
-            runs.append((start, end))
-        else:
+        if not weights[k]:
             k += 1
+            continue
+        begin = k
+        while k < n and curve[k] > 0:
+            k += 1
+        end = k
+        while not weights[end - 1]:
+            end -= 1
+        if max(curve[begin:end]) >= surge:
+            runs.append((begin, end))
+    return runs
+
+
+def main_text(html: str | None, block_lines: int = BLOCK_LINES, surge: int = SURGE) -> str:
+    lines = [(text, weight, inside) for text, weight, inside, dropped in lines_of(html or "") if not dropped]
+    marked = any(inside for _, _, inside in lines)
+    weights = [weight if inside or not marked else 0 for _, weight, inside in lines]
+    runs = passages(weights, block_lines, surge)
     if not runs:  # a page of a few words has no surge: its weighty lines are its text
-        return "\n".join(text for (text, _, _, _), w in zip(lines, weights, strict=True) if w)
-    mass = [sum(weights[a:b]) for a, b in runs]
-    least = 0 if marked else run_share * max(mass)
-    return "\n".join(
-        text for (a, b), m in zip(runs, mass, strict=True) if m >= least for (text, _, inside, drop) in lines[a:b] if not drop and (inside or not marked)
-    )
+        return "\n".join(text for (text, _, _), w in zip(lines, weights, strict=True) if w)
+    return "\n".join(text for begin, end in runs for text, _, _ in lines[begin:end])
 
 
 def extract_text(pages: DataFrame, keys: tuple[str, ...] = ("page_id", "url"), html: str = "html") -> DataFrame:
