@@ -61,7 +61,7 @@ def discard(*tables: DataFrame) -> None:
 
 
 #: Rows of a side that is broadcast, and elements of its lists.
-FEW, FEW_ELEMENTS = 300_000, 1_500_000
+FEW, FEW_ELEMENTS = 300_000, 2_000_000
 
 
 def few(df: DataFrame, limit: int = FEW, lists: str | None = None) -> DataFrame:

@@ -301,25 +301,29 @@ _SPAN = ["doc_id", "sub", "start", "stop"]
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(key, shards, doc_id, sub, start, bytes) of the wanted segments. ``wanted`` is a written
-    table (doc_id, sub, s) with the list of the segments (key, shards, start, n) of a document."""
-    d = docs.join(few(wanted, lists="s"), ["doc_id", "sub"]).select("doc_id", "sub", "text", "s")
+    """(key, doc_id, sub, start, bytes) of the wanted segments. ``wanted`` is a written table
+    (doc_id, sub, keys, at) of a document's segments; at packs a start and a number of windows."""
+    d = docs.join(few(wanted, lists="keys"), ["doc_id", "sub"]).select("doc_id", "sub", "text", "keys", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for doc, sub, t, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for doc, sub, t, keys, at in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 text = (t or "").encode()
+                start = np.array(at, dtype=np.int64) >> 32
+                stop = start + (np.array(at, dtype=np.int64) & 0xFFFFFFFF) + length - 1
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([x["key"] for x in s], pa.int64()), pa.array([x["shards"] for x in s], pa.int32()), pa.array([doc] * len(s), pa.int64()), pa.array([sub] * len(s), pa.int64()),
-                    pa.array([x["start"] for x in s], pa.int32()), pa.array([text[x["start"] : x["start"] + x["n"] + length - 1] for x in s], pa.binary()),
-                ], names=["key", "shards", "doc_id", "sub", "start", "bytes"])
+                    pa.array(keys, pa.int64()), pa.array(np.full(len(keys), doc)), pa.array(np.full(len(keys), sub)), pa.array(start.astype(np.int32)),
+                    pa.array([text[x:y] for x, y in zip(start.tolist(), stop.tolist(), strict=True)], pa.binary()),
+                ], names=["key", "doc_id", "sub", "start", "bytes"])
 
-    return d.mapInArrow(run, "key bigint, shards int, doc_id bigint, sub bigint, start int, bytes binary")
+    return d.mapInArrow(run, "key bigint, doc_id bigint, sub bigint, start int, bytes binary")
 
 
-def _merged(parts: DataFrame, length: int) -> DataFrame:
+def _merged(parts: DataFrame, crowded: DataFrame, length: int) -> DataFrame:
     """Spans (doc_id, sub, start, stop) of repeated windows, found by merging transforms. Of a
-    key that is dealt, any two shards i and j form a group."""
+    key in ``crowded`` (key, shards), any two shards i and j form a group."""
+    one = F.lit(1)
+    parts = parts.withColumn("shards", one) if crowded.isEmpty() else parts.join(few(crowded), "key", "left").withColumn("shards", F.coalesce("shards", one))
     own = F.pmod(F.xxhash64("doc_id", "sub", "start"), F.col("shards")).cast("int")
     dealt = parts.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
     dealt = dealt.select("key", F.greatest("own", "other").alias("i"), F.least("own", "other").alias("j"), "doc_id", "sub", "start", "bytes")
@@ -368,8 +372,9 @@ def _runs(doc: np.ndarray, sub: np.ndarray, start: np.ndarray, length: int) -> l
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, shard: int = SHARD) -> DataFrame:
-    """(doc_id, sub, spans array<start, stop>): for each document that loses bytes, the spans
-    to remove, which may overlap; a written table."""
+    """(doc_id, sub, spans array<bigint>): for each document that loses bytes, the spans to
+    remove, which may overlap, with a start in the upper and a length in the lower 32 bits; a
+    written table."""
     rows = materialize(segment_rows(docs, length), "suffix-rows")
     keys = materialize(rows.groupBy("key").agg(F.count("*").alias("c"), F.min("n").alias("n")).where("c > 1 OR n < 0").select("key"), "suffix-keys")
     held = materialize(filtered(rows, key_filter(keys)).join(keys, "key", "left_semi"), "suffix-segments")
@@ -383,13 +388,16 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, shard: int = SHARD) ->
     # First segments of keys with different bytes, and those that may repeat within themselves, are merged.
     sizes = first.groupBy("key").agg(F.count("*").alias("c"), F.sum(F.abs("n") + length - 1).alias("b"))
     over = F.greatest(F.col("c") / shard, F.col("b") / GROUP_BYTES)
-    sizes = sizes.select("key", "c", F.when(over > 1, F.ceil(over * 1.25)).otherwise(1).cast("int").alias("shards"))
-    look = first.join(sizes, "key").where("c > 1 OR n < 0").select("first.*", F.struct("key", "shards", "first.start", F.abs("n").alias("n")).alias("s"))
-    wanted = materialize(look.groupBy("doc_id", "sub").agg(F.collect_list("s").alias("s")), "suffix-wanted")  # at most a document's segments
+    crowded = materialize(sizes.where(over > 1).select("key", F.ceil(over * 1.25).cast("int").alias("shards")), "suffix-crowded")
+    at = F.shiftleft(F.col("first.start").cast("long"), 32).bitwiseOR(F.abs("n"))
+    look = first.join(sizes, "key").where("c > 1 OR n < 0").select("first.*", F.struct("key", at.alias("at")).alias("s"))
+    lists = look.groupBy("doc_id", "sub").agg(F.collect_list("s").alias("s"))  # at most a document's segments
+    wanted = materialize(lists.select("doc_id", "sub", F.col("s.key").alias("keys"), F.col("s.at").alias("at")), "suffix-wanted")
     discard(held, first)
-    spans = copies.union(_merged(_texts_of(docs, wanted, length), length))
-    out = materialize(spans.groupBy("doc_id", "sub").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "suffix-spans")
-    discard(copies, wanted)
+    spans = copies.union(_merged(_texts_of(docs, wanted, length), crowded, length))
+    packed = F.shiftleft("start", 32).bitwiseOR(F.col("stop") - F.col("start"))
+    out = materialize(spans.groupBy("doc_id", "sub").agg(F.collect_set(packed).alias("spans")), "suffix-spans")
+    discard(copies, wanted, crowded)
     return out
 
 
@@ -415,7 +423,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, shard: int = SHARD)
             for doc, t, spans in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 text = (t or "").encode()
                 merged: list[list[int]] = []
-                for s in sorted((x["start"], x["stop"]) for x in spans or ()):
+                for s in sorted((x >> 32, (x >> 32) + (x & 0xFFFFFFFF)) for x in spans or ()):
                     if merged and s[0] <= merged[-1][1]:
                         merged[-1][1] = max(merged[-1][1], s[1])
                     else:
