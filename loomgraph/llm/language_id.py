@@ -7,15 +7,19 @@ that code-switched text gets a label for each stretch. Forward-backward gives ev
 word's posterior; a document's language is the label with the greatest mean posterior,
 which is its score.
 
-Training uses a bounded sample: at most ``sample_docs`` documents, at most
-``sample_words`` words of each kept as training segments, chosen so that languages come
-out about equally often. Segments of different languages are spliced, because single
-documents never show a switch. Prediction reads every whole text.
-
-Defined cases: a null text or one without a letter is ``und`` with score 0; rows
-without a language or with a null text aren't trained on; without any label to learn
-every text is ``und``; repeated rows are predicted alike; an empty table gives an empty
-result.
+Training uses a bounded sample: at most ``sample_docs`` ids, and of those at most twice as
+many rows, chosen so that languages come out about equally often; at most ``sample_words``
+words of each, in segments from all over the text, are drawn where the row is and reach the
+driver. The ``MAX_LABELS`` most frequent languages are learned; the more there are, the
+smaller the table of features, so the model's size has a bound. Segments of different
+languages are spliced, because single documents never show a switch. Prediction reads every
+whole text.
+
+Defined cases: a word is a run of letters and their marks, and a longer one than
+``WORD_CHARS`` counts as several; a null text or one without a letter is ``und`` with score 0;
+of equal posteriors the label that sorts first wins; rows without a language or with a null
+text aren't trained on; without any label to learn every text is ``und``; repeated rows are
+predicted alike; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,33 +31,46 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE_DOCS = 1200
 SAMPLE_WORDS = 400
+#: Labels that are learned, and weights in the table of features, at most.
+MAX_LABELS, WEIGHTS = 1024, 1 << 23
 BUCKETS = 1 << 17
-MAX_LABELS = 64
-#: Characters of a word that features look at, from its start and its end.
+#: Characters of a word; longer runs of letters are cut.
 WORD_CHARS = 24
 CACHE_WORDS = 500_000
-#: Words in one array of forward-backward.
-CHUNK_WORDS = 400_000
-_WORD = re.compile(r"[^\W\d_]+")
+#: Numbers in one array of forward-backward: words times labels.
+CHUNK = 1_600_000
+_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]{0,%d}" % (WORD_CHARS - 1))
+#: The same for texts below U+0250, where its classes are a short list of ranges.
+_LATIN = re.compile("[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]{1,%d}" % WORD_CHARS)
+_BEYOND = re.compile("[^\x00-\u024f]")
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    text = (text or "").lower()
+    return (_WORD if _BEYOND.search(text) else _LATIN).findall(text)
 
 
-def features(words: list[str]) -> np.ndarray:
+def buckets_for(labels: int) -> int:
+    """Feature buckets, a power of two, so that the weights stay within their bound."""
+    n = BUCKETS
+    while n * labels > WEIGHTS and n > 1024:
+        n //= 2
+    return n
+
+
+def features(words: list[str], buckets: int = BUCKETS) -> np.ndarray:
     """Feature buckets of each word, one row a word, padded with the last bucket: the word
     itself, prefixes and suffixes of 1 to 3 characters, and n-grams of 2 and 3."""
-    n, width = len(words), WORD_CHARS
-    cut = [w if len(w) <= width else w[: width // 2] + w[-width // 2 :] for w in words]
-    grid = np.zeros((n, width + 2), dtype=np.uint64)
-    sizes = np.fromiter(map(len, cut), dtype=np.int64, count=n)
-    flat = np.frombuffer("".join(cut).encode("utf-32-le"), dtype="<u4").astype(np.uint64)
+    n = len(words)
+    grid = np.zeros((n, WORD_CHARS + 2), dtype=np.uint64)
+    sizes = np.fromiter(map(len, words), dtype=np.int64, count=n)
+    flat = np.frombuffer("".join(words).encode("utf-32-le"), dtype="<u4").astype(np.uint64)
     rows = np.repeat(np.arange(n), sizes)
     cols = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
     grid[rows, cols] = flat
@@ -66,13 +83,13 @@ def features(words: list[str]) -> np.ndarray:
         for c in chars:
             h = (h ^ c) * mix
             h ^= h >> np.uint64(29)
-        return (h % np.uint64(BUCKETS)).astype(np.int64)
+        return (h % np.uint64(buckets)).astype(np.int64)
 
     parts = [slot(0, np.fromiter((zlib.crc32(w.encode()) for w in words), dtype=np.uint64, count=n))[:, None]]
     two = slot(1, grid[:, :-1], grid[:, 1:])
     three = slot(2, grid[:, :-2], grid[:, 1:-1], grid[:, 2:])
-    two[np.arange(two.shape[1])[None, :] > sizes[:, None]] = BUCKETS
-    three[np.arange(three.shape[1])[None, :] >= sizes[:, None]] = BUCKETS
+    two[np.arange(two.shape[1])[None, :] > sizes[:, None]] = buckets
+    three[np.arange(three.shape[1])[None, :] >= sizes[:, None]] = buckets
     # Affixes of three characters; those of one and two are n-grams with an edge.
     at = np.arange(n)
     pre = slot(3, *(grid[at, np.minimum(k, sizes + 1)] for k in (1, 2, 3)))
@@ -83,7 +100,7 @@ def features(words: list[str]) -> np.ndarray:
 @dataclass
 class Crf:
     labels: list[str]
-    weights: np.ndarray  # (BUCKETS + 1, labels); the last row pads
+    weights: np.ndarray  # (buckets + 1, labels); the last row pads
     transitions: np.ndarray
     start: np.ndarray
 
@@ -91,7 +108,7 @@ class Crf:
         out = np.empty((len(words), len(self.labels)), dtype=np.float32)
         for k in range(0, len(words), 20_000):
             part = words[k : k + 20_000]
-            out[k : k + len(part)] = self.weights[features(part)].sum(axis=1)
+            out[k : k + len(part)] = self.weights[features(part, len(self.weights) - 1)].sum(axis=1)
         return out
 
 
@@ -202,29 +219,37 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / x.sum(axis=-1, keepdims=True)
 
 
-def fit(texts: list[str], langs: list[str], sample_words: int = SAMPLE_WORDS, epochs: int = 3, batch: int = 128, rate: float = 0.15, seed: int = 1) -> Crf:
-    """Stochastic gradient (Adagrad) on the conditional log-likelihood of spliced segments."""
+def drawn_words(text: str | None, seed: int, most: int = SAMPLE_WORDS) -> list[str]:
+    """At most so many words of a text, in segments from all over it."""
+    words = words_of(text)
+    if len(words) <= most:
+        return words
+    rng = np.random.default_rng(seed)
+    starts = np.sort(rng.choice(len(words) - 20, max(1, most // 20), replace=False)).tolist()
+    return [w for s in starts for w in words[s : s + 20]][:most]
+
+
+def fit(samples: list[list[str]], langs: list[str], epochs: int = 3, batch: int = 128, rate: float = 0.15, seed: int = 1) -> Crf:
+    """Stochastic gradient (Adagrad) on the conditional log-likelihood of spliced segments of
+    the samples' words."""
     rng = np.random.default_rng(seed)
     labels = sorted(set(langs))
     k = len(labels)
     code = {x: i for i, x in enumerate(labels)}
     vocabulary: dict[str, int] = {}
     pieces: list[tuple[np.ndarray, int]] = []
-    for text, lang in zip(texts, langs, strict=True):
-        words = words_of(text)
-        if len(words) > sample_words:  # segments from all over the text
-            starts = np.sort(rng.choice(len(words) - 20, sample_words // 20, replace=False)).tolist()
-            words = [w for s in starts for w in words[s : s + 20]]
+    for words, lang in zip(samples, langs, strict=True):
         ids = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words], dtype=np.int64)
         at = 0
         while at < len(ids):
             n = int(rng.integers(5, 30))
             pieces.append((ids[at : at + n], code[lang]))
             at += n
-    crf = Crf(labels, np.zeros((BUCKETS + 1, k), dtype=np.float32), np.zeros((k, k)), np.zeros(k))
+    buckets = buckets_for(k)
+    crf = Crf(labels, np.zeros((buckets + 1, k), dtype=np.float32), np.zeros((k, k)), np.zeros(k))
     if not pieces or k < 2:
         return crf
-    feats = features(list(vocabulary))
+    feats = features(list(vocabulary), buckets)
     grad2, tgrad2 = np.full(crf.weights.shape, 1e-3, dtype=np.float32), np.full((k, k), 1e-3)
     for _ in range(epochs):
         perm = rng.permutation(len(pieces))
@@ -249,9 +274,9 @@ def fit(texts: list[str], langs: list[str], sample_words: int = SAMPLE_WORDS, ep
             rows = feats[uniq]
             g = np.zeros_like(crf.weights)
             for c in range(k):
-                g[:, c] = np.bincount(rows.ravel(), np.repeat(by_word[:, c], rows.shape[1]), minlength=BUCKETS + 1)
+                g[:, c] = np.bincount(rows.ravel(), np.repeat(by_word[:, c], rows.shape[1]), minlength=buckets + 1)
             g = g / len(chosen)
-            g[BUCKETS] = 0
+            g[buckets] = 0
             touched = np.flatnonzero(g.any(axis=1))
             grad2[touched] += g[touched] ** 2
             crf.weights[touched] += rate * g[touched] / np.sqrt(grad2[touched])
@@ -266,18 +291,19 @@ def fit(texts: list[str], langs: list[str], sample_words: int = SAMPLE_WORDS, ep
 
 
 def training_sample(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """At most ``sample_docs`` labelled rows (text, lang), about as many of each language:
-    the least of a row's hash, as a fraction, times the count of its language."""
+    """Labelled rows (doc_id, text, lang) of at most ``sample_docs`` ids, about as many of each
+    language: the least of a row's hash, as a fraction, times the count of its language. Where
+    ids repeat, at most twice as many rows."""
     rows = docs.where("text IS NOT NULL AND lang IS NOT NULL")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LABELS + 1).collect()
-    if len(counts) > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} languages")
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LABELS).collect()
     if not counts:
-        return rows.select("text", "lang").limit(0)
+        return rows.select("doc_id", "text", "lang").limit(0)
     weight = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(float(r["count"])))])
     key = (F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 30)) + 1) * weight[F.col("lang")]
-    ids = [r[0] for r in rows.select("doc_id", key.alias("k")).orderBy("k", "doc_id").limit(sample_docs).collect()]
-    return rows.where(F.col("doc_id").isin(ids)).select("doc_id", "text", "lang").orderBy("doc_id").limit(2 * sample_docs)
+    keyed = rows.select("doc_id", key.alias("k")).where("k IS NOT NULL")
+    ids = [r[0] for r in keyed.orderBy("k", "doc_id").limit(sample_docs).collect()]
+    known = [r["lang"] for r in counts]
+    return rows.where(F.col("doc_id").isin(ids) & F.col("lang").isin(known)).select("doc_id", "text", "lang").orderBy("doc_id").limit(2 * sample_docs)
 
 
 def held_out() -> F.Column:
@@ -285,11 +311,18 @@ def held_out() -> F.Column:
 
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS) -> Crf:
-    """Fit on a bounded sample of the documents that aren't held out. The sample's words,
-    not whole texts, reach the driver."""
+    """Fit on a bounded sample of the documents that aren't held out. Only the words drawn from
+    it reach the driver."""
     sample = training_sample(docs.where(~held_out()).select("doc_id", "text", "lang"), sample_docs)
-    rows = sample.collect()
-    return fit([r["text"] for r in rows], [r["lang"] for r in rows], sample_words)
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            words = [drawn_words(t, zlib.crc32(str(i).encode()), sample_words) for i, t in zip(ids, texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.string())), b.column(2)], names=["words", "lang"])
+
+    rows = sample.mapInArrow(draw, "words array<string>, lang string").collect()
+    return fit([r["words"] for r in rows], [r["lang"] for r in rows])
 
 
 class Predictor:
@@ -335,7 +368,7 @@ class Predictor:
                 words += w
                 sizes.append(len(w))
                 where.append(k)
-            if len(words) >= CHUNK_WORDS:
+            if len(words) * len(self.crf.labels) >= CHUNK:
                 flush()
         flush()
         return out
@@ -361,7 +394,7 @@ def predictor_of(number: int, model) -> Predictor:
 
 def identify(docs: DataFrame, crf: Crf) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every document, from its text alone."""
-    model = docs.sparkSession.sparkContext.broadcast(crf)  # bounded by BUCKETS and MAX_LABELS
+    model = docs.sparkSession.sparkContext.broadcast(crf)  # bounded by WEIGHTS and MAX_LABELS
     number = model._jbroadcast.id()
     d = docs.select("doc_id", held_out().alias("held_out"), "text")
 
