@@ -1,18 +1,24 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
-Every document gets its base statistics from its whole text. The rules run as one
-``CASE`` chain: the first that rejects ends the evaluation of the row. Their order
-comes from a sample: a rule that rejects more rows for each second of its cost comes
-first. The order changes the cost of the cascade, never its verdict.
+A rule is a condition over statistics of a document's whole text. The rules run as one
+``CASE`` chain: the first that rejects ends the evaluation of the row. Their order comes from
+a sample: next is always the rule that rejects the most of the rows that reach it for each
+second of its cost. The order changes the cost of the cascade, never its verdict.
+
+``apply_quality_rules`` keeps each statistic inside the rules that need it, so a row that a
+cheap rule rejects costs no more. ``judge_quality`` returns all statistics, so there only the
+rules beyond them are saved.
 
 Defined cases: a null or blank text has no words and fails the base test; an empty
-table gives an empty result; repeated rows are judged one by one; columns of the
-input that have the name of a computed column are replaced by it in
-``quality_features`` and left alone by ``apply_quality_rules``.
+table gives an empty result; repeated rows are judged one by one; of rules that reject
+equally for their cost the one named first comes first; columns of the input that have the
+name of a computed column are replaced by it in ``quality_features`` and left alone by
+``apply_quality_rules``.
 """
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -43,8 +49,26 @@ RULES = (
     Rule("capitals", r"5 * length(regexp_replace(_text, '[^A-Z]+', '')) > 2 * word_chars"),
     Rule("digits", r"5 * length(regexp_replace(_text, '[^0-9]+', '')) > 2 * word_chars"),
 )
+#: The base test, which comes with fixed limits.
+BASE = (Rule("too_short", "n_words < 50"), Rule("repetition", "100 * n_repeat_words > 50 * n_words"))
 BASE_FAILED = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
 
+_LINES = r"filter(split(_text, '\n'), x -> x RLIKE '[^\\x20\\x09-\\x0D]')"
+#: Windows of three words that occur again, by place: sorted (hash, place) pairs, of which equal
+#: hashes are neighbours. Each covers three words, less what the one before covers.
+_REPEATED = """aggregate(transform(array(sort_array(transform(sequence(0, size(_w) - 3), i -> struct(xxhash64(_w[i], _w[i + 1], _w[i + 2]) AS h, i AS i)))),
+  s -> array_sort(transform(filter(s, (x, k) -> x.h <=> get(s, k - 1).h OR x.h <=> get(s, k + 1).h), x -> x.i)))[0],
+  named_struct('n', 0L, 'last', -3), (a, i) -> named_struct('n', a.n + least(3, i - a.last), 'last', i), a -> a.n)"""
+#: Statistics as SQL over the words ``_w`` and ``_text``.
+STATISTICS = {
+    "n_words": "CAST(size(_w) AS bigint)",
+    "word_chars": "CAST(length(array_join(_w, '')) AS bigint)",
+    "n_symbols": f"CAST(length(_text) - length(regexp_replace(_text, '{SYMBOLS}+', '')) AS bigint)",
+    "n_lines": f"CAST(size({_LINES}) AS bigint)",
+    "n_dup_lines": f"transform(array({_LINES}), l -> CAST(size(l) - size(array_distinct(l)) AS bigint))[0]",
+    "n_repeat_words": f"IF(size(_w) < 3, 0L, {_REPEATED})",
+}
+
 
 def quality_features(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the statistics, ``n_lines`` and ``_text`` (the text, null as empty)."""
@@ -80,51 +104,77 @@ def quality_features(docs: DataFrame, text: str = "text") -> DataFrame:
     return d.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("_w", "_s", "_p", "_lines")
 
 
-def order_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = 500, text: str = "text") -> list[Rule]:
-    """The rules by falling rejection per cost, both measured on about ``sample_rows``
-    documents. Counts and times of the sample are all that reaches the driver."""
+def self_contained(rule: Rule) -> Column:
+    """The rule's condition over ``_text`` and ``_w``, with each statistic computed once in it."""
+    needs = [n for n in STATISTICS if re.search(rf"\b{n}\b", rule.rejects)]
+    condition = re.sub(rf"\b({'|'.join(needs)})\b", r"s.\1", rule.rejects) if needs else rule.rejects
+    fields = ", ".join(f"'{n}', {STATISTICS[n]}" for n in needs)
+    return F.coalesce(F.expr(f"exists(array(named_struct({fields})), s -> {condition})" if needs else condition), F.lit(False))
+
+
+def _words_and_text(docs: DataFrame, text: str) -> list[Column]:
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    return [t.alias("_text"), trimmed_words(t).alias("_w")]
+
+
+def order_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = 500, text: str = "text", base: Sequence[Rule] = ()) -> list[Rule]:
+    """The rules in the order of the cascade, measured on about ``sample_rows`` documents, of
+    those that no rule of ``base`` rejects. The cost of a rule is the time of a job over the
+    sample less that of a job without a rule; of its selectivity, counts of the combinations of
+    verdicts reach the driver."""
     n = docs.count()
     if n == 0 or len(rules) < 2:
         return list(rules)
-    d = docs.select(F.col(f"`{text}`").alias("text"))
-    sample = quality_features(d.sample(min(1.0, sample_rows / n), seed=7).select("text")).persist()
+    sample = docs.sample(min(1.0, sample_rows / n), seed=7).select(*_words_and_text(docs, text)).persist()
     try:
-        rows = sample.count()
-        timed = []
-        for k, rule in enumerate(rules):
+        verdicts = [self_contained(r) for r in rules]
+        failed = ~cascade([self_contained(r) for r in base])
+        found = sample.groupBy(failed.alias("base"), *[v.alias(f"r{k}") for k, v in enumerate(verdicts)]).count().collect()
+        found = [row for row in found if not row["base"]]
+
+        def seconds(verdict: Column) -> float:
             began = time.perf_counter()
-            rejected = sample.agg(F.count_if(F.expr(rule.rejects))).first()[0]
-            cost = time.perf_counter() - began
-            timed.append((-(rejected / max(rows, 1)) / max(cost, 1e-6), k, rule))
+            sample.agg(F.count_if(verdict)).first()
+            return time.perf_counter() - began
+
+        idle = min(seconds(F.length("_text") < 0) for _ in range(2))
+        cost = [max(min(seconds(v) for _ in range(2)) - idle, 1e-4) for v in verdicts]
     finally:
         sample.unpersist()
-    return [rule for _, _, rule in sorted(timed, key=lambda x: x[:2])]
+    left, order = list(range(len(rules))), []
+    while left:
+        gain = {k: sum(row["count"] for row in found if row[f"r{k}"]) / cost[k] for k in left}
+        best = max(left, key=lambda k: (gain[k], -k))
+        order.append(best)
+        left.remove(best)
+        found = [row for row in found if not row[f"r{best}"]]
+    return [rules[k] for k in order]
 
 
-def cascade(rules: Sequence[Rule]) -> Column:
-    """True where no rule rejects; rules after the first that rejects aren't evaluated."""
-    verdict = F.when(F.expr(BASE_FAILED), False)
-    for rule in rules:
-        verdict = verdict.when(F.coalesce(F.expr(rule.rejects), F.lit(False)), False)
-    return verdict.otherwise(True)
+def cascade(conditions: Sequence[Column]) -> Column:
+    """True where no condition holds; those after the first that holds aren't evaluated."""
+    verdict = None
+    for c in conditions:
+        verdict = F.when(c, False) if verdict is None else verdict.when(c, False)
+    return F.lit(True) if verdict is None else verdict.otherwise(True)
 
 
 def judge_quality(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = 500) -> DataFrame:
     """One row per document: doc_id, the statistics, base_failed and kept."""
-    ordered = order_rules(docs, rules, sample_rows)
+    ordered = order_rules(docs, rules, sample_rows, base=BASE)
     judged = quality_features(docs.select("doc_id", "text"))
-    return judged.select(
-        "doc_id", *FEATURES, F.expr(BASE_FAILED).alias("base_failed"), cascade(ordered).alias("kept")
-    )
+    conditions = [F.expr(BASE_FAILED), *[F.coalesce(F.expr(r.rejects), F.lit(False)) for r in ordered]]
+    return judged.select("doc_id", *FEATURES, F.expr(BASE_FAILED).alias("base_failed"), cascade(conditions).alias("kept"))
 
 
 def apply_quality_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = 500) -> DataFrame:
-    """The documents that pass, with the columns they came with."""
-    ordered = order_rules(docs, rules, sample_rows)
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col("text").alias("_t"))
-    # A filter would be pushed below the statistics and evaluate them again inside each
-    # other's lambdas; the row number, which isn't deterministic, keeps it above them.
-    judged = quality_features(whole, "_t").select("_doc", cascade(ordered).alias("_kept"), F.monotonically_increasing_id().alias("_row"))
+    """The documents that pass, with the columns they came with. The base test takes its place
+    among the rules."""
+    ordered = order_rules(docs, [*BASE, *rules], sample_rows)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), *_words_and_text(docs, "text"))
+    # A filter would be pushed below the words and split them again for each rule; the row
+    # number, which isn't deterministic, keeps it above them.
+    judged = whole.select("_doc", cascade([self_contained(r) for r in ordered]).alias("_kept"), F.monotonically_increasing_id().alias("_row"))
     judged = judged.where("_kept AND _row >= 0")
     return judged.select(*[F.col("_doc").getField(c).alias(c) for c in docs.columns])
 
