@@ -19,4 +19,4 @@ def post_date(c: Column) -> Column:
 def hashtag_array(c: Column) -> Column:
     """Tags of ``[a, b]``: as written, without leading blanks; empty ones are dropped."""
     inner = F.regexp_replace(F.coalesce(c, F.lit("")), r"^\[|\]$", "")
-    return F.filter(F.transform(F.split(inner, ","), lambda x: F.ltrim(x)), lambda x: x != "")
+    return F.array_remove(F.split(F.regexp_replace(inner, "(^|,) +", "$1"), ","), "")

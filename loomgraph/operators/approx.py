@@ -5,23 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import written
+from ..sources.shared import discard, written
 from .spatial import KEY_BITS, prefix_groups, radix_tree, tree_children, tree_summary, with_morton
 
+#: The opening angle.
+THETA = 0.1
 
-def repulsion_approx(nodes: DataFrame, strength: float = 1.0, soft: float = 0.0025, theta: float = 0.5) -> DataFrame:
+
+def repulsion_approx(nodes: DataFrame, strength: float = 1.0, soft: float = 0.0025, theta: float = THETA) -> DataFrame:
     """(node_id, fx, fy). A frontier of (node, tree node) rows starts at the root's children.
     At each level a row either is accepted, if theta times the softened distance exceeds the
     tree node's size, or opens into two children; leaf buckets count point by point, without
     the node itself. Every level is one equi-join; its accepted rows are summed by node before
-    they are written, so that only sums and the open frontier go on."""
-    keyed = written(with_morton(nodes.select("node_id", "x", "y", "mass")), "approx-nodes")
+    they are written, so that only sums and the open frontier go on. The result is a written
+    table; what it was made from is deleted. Nodes without a mass push nothing and aren't
+    pushed; nodes without a position are left out."""
+    nodes = nodes.where("x IS NOT NULL AND y IS NOT NULL").select("node_id", "x", "y", F.coalesce("mass", F.lit(0.0)).alias("mass"))
+    keyed = written(with_morton(nodes.where("mass > 0")), "approx-nodes")
     groups = written(prefix_groups(keyed), "approx-groups")
     tree = written(radix_tree(groups), "approx-tree")
-    inner = written(tree_summary(groups, tree), "approx-summary").select("level", "prefix", "mass", "cx", "cy", "size")
+    summary = written(tree_summary(groups, tree), "approx-summary")
+    inner = summary.select("level", "prefix", "mass", "cx", "cy", "size")
     children = tree_children(tree)
     points = keyed.select(F.col("morton").alias("prefix"), F.col("node_id").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"), F.col("mass").alias("mj"))
     me = keyed.select("node_id", "x", "y", "mass")
+    used = [keyed, groups, tree, summary]
     roots = tree.orderBy("level", "prefix").limit(1).select("level", "prefix", "kmin", "kmax")
     first = roots.join(children, ["level", "prefix"]).select(F.col("child_level").alias("level"), F.col("child_prefix").alias("prefix"))
     if tree.isEmpty():  # all nodes in one bucket
@@ -36,6 +44,7 @@ def repulsion_approx(nodes: DataFrame, strength: float = 1.0, soft: float = 0.00
     frontier = frontier.withColumnRenamed("mass", "m")
     for _ in range(KEY_BITS + 1):
         frontier = written(frontier.select("node_id", "x", "y", "m", "level", "prefix"), "frontier")
+        used.append(frontier)
         if frontier.isEmpty():
             break
         at_leaf = frontier.where(F.col("level") == KEY_BITS).join(points, "prefix").where("j <> node_id")
@@ -46,7 +55,9 @@ def repulsion_approx(nodes: DataFrame, strength: float = 1.0, soft: float = 0.00
         sums.append(written(met.where("far").groupBy("node_id").agg(*force(dx, dy, F.col("mass"))), "far"))
         open_ = met.where("NOT far").select("node_id", "x", "y", "m", "level", "prefix").join(children, ["level", "prefix"])
         frontier = open_.select("node_id", "x", "y", "m", F.col("child_level").alias("level"), F.col("child_prefix").alias("prefix"))
-    total = me.select("node_id", F.lit(0.0).alias("fx"), F.lit(0.0).alias("fy"))
+    total = nodes.select("node_id", F.lit(0.0).alias("fx"), F.lit(0.0).alias("fy"))
     for s in sums:
         total = total.union(s)
-    return total.groupBy("node_id").agg(F.sum("fx").alias("fx"), F.sum("fy").alias("fy"))
+    out = written(total.groupBy("node_id").agg(F.sum("fx").alias("fx"), F.sum("fy").alias("fy")), "approx-force")
+    discard(*used, *sums)
+    return out

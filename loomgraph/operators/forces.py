@@ -48,39 +48,52 @@ def gravity(nodes: DataFrame, strength: float = 1.0, strong: bool = True) -> Dat
 
 
 def repulsion_exact(nodes: DataFrame, strength: float = 1.0, soft: float = 0.0025, block: int = BLOCK) -> DataFrame:
-    """All pairs, by blocks. Nodes are packed into blocks of bounded size, every pair of
-    blocks meets by an equi-join on block numbers, and a vectorized kernel sums the pull of
-    one block on the other. The work is quadratic by definition; beyond about 10^5 nodes
-    use repulsion_approx."""
-    n = nodes.count()
-    parts = max(1, math.ceil(n / block * 1.3))
-    hashed = nodes.select("node_id", "x", "y", "mass", F.pmod(F.xxhash64("node_id"), F.lit(parts)).cast("int").alias("b"))
-    packed = hashed.groupBy("b").agg(*[F.collect_list(F.struct("node_id", "x", "y", "mass")).alias("p")])
-    left = packed.select(F.col("b").alias("i"), F.col("p").alias("p"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("b"))
-    pairs = left.join(packed.select("b", F.col("p").alias("q")), "b").select("p", "q")
+    """All pairs, by blocks. Nodes are packed into blocks of bounded size, every two blocks meet
+    once, by an equi-join on block numbers, and a vectorized kernel sums the push of each on
+    the other. The work is quadratic by definition; beyond about 10^5 nodes use
+    repulsion_approx. A node without a mass has none; nodes without a position are left out."""
+    nodes = nodes.where("x IS NOT NULL AND y IS NOT NULL").select("node_id", "x", "y", F.coalesce("mass", F.lit(0.0)).alias("mass"))
+    parts = max(1, math.ceil(nodes.count() / block * 1.3))
+    hashed = nodes.withColumn("b", F.pmod(F.xxhash64("node_id"), F.lit(parts)).cast("int"))
+    packed = hashed.groupBy("b").agg(F.collect_list(F.struct("node_id", "x", "y", "mass")).alias("p"))
+    left = packed.select(F.col("b").alias("i"), F.col("p").alias("p"), F.explode(F.sequence("b", F.lit(parts - 1))).alias("b"))
+    pairs = left.join(packed.select("b", F.col("p").alias("q")), "b").select((F.col("i") == F.col("b")).alias("same"), "p", "q")
+    # By the number of pairs, not by bytes: they are small and their work is not.
+    tasks = min(parts * (parts + 1) // 2, 4 * nodes.sparkSession.sparkContext.defaultParallelism)
+
+    def push(p: pa.Array, q: pa.Array, same: bool) -> list[tuple]:
+        ids, x, y, m = (p.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+        ids2, x2, y2, m2 = (q.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+        there, here = np.column_stack([m2, m2 * x2, m2 * y2]), np.column_stack([m, m * x, m * y])
+        on, by = np.empty((len(x), 3)), np.zeros((len(x2), 3))
+        for at in range(0, len(x), 128):
+            s = slice(at, at + 128)
+            dx, dy = x[s, None] - x2, y[s, None] - y2
+            dx *= dx
+            dy *= dy
+            dx += dy
+            dx += soft
+            w = np.reciprocal(dx, out=dx)
+            if same:
+                w[ids[s, None] == ids2] = 0.0
+            on[s] = w @ there
+            by += w.T @ here[s]
+
+        def force(m, x, y, sums):
+            return strength * m * (x * sums[:, 0] - sums[:, 1]), strength * m * (y * sums[:, 0] - sums[:, 2])
+
+        out = [(ids, *force(m, x, y, on))]
+        return out if same else [*out, (ids2, *force(m2, x2, y2, by))]
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def column(block: pa.Array, k: int) -> np.ndarray:
-            return block.field(k).to_numpy(zero_copy_only=False)
-
         for batch in batches:
             for r in range(batch.num_rows):
-                p, q = (batch.column(c)[r].values for c in (0, 1))
-                ids, x, y, m = (column(p, k) for k in range(4))
-                ids2, x2, y2, m2 = (column(q, k) for k in range(4))
-                fx, fy = np.zeros(len(x)), np.zeros(len(x))
-                for at in range(0, len(x2), 512):
-                    s = slice(at, at + 512)
-                    dx, dy = x[:, None] - x2[s], y[:, None] - y2[s]
-                    f = strength * m[:, None] * m2[s] / (dx * dx + dy * dy + soft)
-                    f[ids[:, None] == ids2[s]] = 0.0
-                    fx += (f * dx).sum(axis=1)
-                    fy += (f * dy).sum(axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(fx), pa.array(fy)], names=["node_id", "fx", "fy"])
+                for part in push(batch.column("p")[r].values, batch.column("q")[r].values, batch.column("same")[r].as_py()):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in part], names=["node_id", "fx", "fy"])
 
     kind = nodes.schema["node_id"].dataType.simpleString()
-    parts_ = pairs.mapInArrow(kernel, f"node_id {kind}, fx double, fy double")
-    return parts_.groupBy("node_id").agg(F.sum("fx").alias("fx"), F.sum("fy").alias("fy"))
+    sums = pairs.repartition(tasks).mapInArrow(kernel, f"node_id {kind}, fx double, fy double")
+    return sums.groupBy("node_id").agg(F.sum("fx").alias("fx"), F.sum("fy").alias("fy"))
 
 
 def total_force(*forces: DataFrame) -> DataFrame:

@@ -12,8 +12,15 @@ from .style import init_positions
 
 def gen_pair(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     """Two nodes and the edge between them."""
-    nodes = spark.createDataFrame([(0, "account", 2.0), (1, "hashtag", 2.0)], "node_id long, kind string, mass double")
-    return init_positions(nodes), spark.createDataFrame([(0, 1, 1)], "src long, dst long, weight long")
+    return gen_pairs(spark.range(1), "id")
+
+
+def gen_pairs(ids: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """For each id k two nodes, 2 k and 2 k + 1, of mass 2, and the edge between them."""
+    k = F.col(key).cast("long")
+    ends = F.explode(F.array(*[F.struct((2 * k + side).alias("node_id"), F.lit(kind).alias("kind")) for side, kind in ((0, "account"), (1, "hashtag"))]))
+    nodes = ids.select(ends.alias("e")).select("e.*", F.lit(2.0).alias("mass"))
+    return init_positions(nodes), ids.select((2 * k).alias("src"), (2 * k + 1).alias("dst"), F.lit(1).cast("long").alias("weight"))
 
 
 def gen_blocks(

@@ -2,27 +2,53 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.shared import written
 
 
+def _added(d: DataFrame, name: str) -> DataFrame:
+    """The written table ``d`` with ``name``: _c, a number within the row's partition _p, and the
+    sum of _v over the partitions before. What is broadcast has one row for each partition."""
+    sums = d.groupBy("_p").agg(F.sum("_v").alias("_s"))
+    before = F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sums.select("_p", F.coalesce(before, F.lit(0)).alias("_before"))
+    return d.join(F.broadcast(offsets), "_p").withColumn(name, F.col("_before") + F.col("_c")).drop("_v", "_p", "_c", "_before")
+
+
+def _sorted(df: DataFrame, order: list[str]) -> DataFrame:
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+
+
 def with_running_sum(df: DataFrame, order: list[str], value: Column, name: str) -> DataFrame:
     """``name`` is the sum of ``value`` over the rows before, in the order of the columns
-    ``order``, which should tell rows apart. Rows are range-partitioned and written; each
-    partition sums for itself, and the sums of the partitions before are added. What is
-    broadcast has one row for each partition."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    d = df.withColumns({"_v": value.cast("long")}).repartitionByRange(parts, *order)
-    d = written(d.withColumn("_p", F.spark_partition_id()), "ranged")
-    sums = d.groupBy("_p").agg(F.sum("_v").alias("_s"))
-    before = sums.select("_p", F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = F.sum("_v").over(Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    out = d.join(F.broadcast(before), "_p").withColumn(name, F.col("_before") + F.coalesce(inside, F.lit(0)))
-    return out.drop("_v", "_p", "_before")
+    ``order``, which should tell rows apart. Rows are range-partitioned and sorted once; each
+    partition sums for itself in a stream, and the sums of the partitions before are added."""
+    d = _sorted(df.withColumn("_v", value.cast("long")), order).withColumn("_p", F.spark_partition_id())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0
+        for b in batches:
+            v = b.column("_v").fill_null(0).to_numpy()
+            ends = total + np.cumsum(v)
+            total = int(ends[-1]) if len(ends) else total
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ends - v)], names=[*b.schema.names, "_c"])
+
+    d = d.mapInArrow(run, T.StructType([*d.schema.fields, T.StructField("_c", T.LongType())]))
+    return _added(written(d, "ranged"), name)
 
 
 def with_dense_id(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """Ids 0 .. n-1 in the order of the columns ``order``."""
-    return with_running_sum(df, order, F.lit(1), name)
+    """Ids 0 .. n-1 in the order of the columns ``order``. Within a sorted partition the low bits
+    of Spark's increasing ids are the place, so rows are numbered before they are written."""
+    d = _sorted(df.withColumn("_v", F.lit(1).cast("long")), order).withColumn("_id", F.monotonically_increasing_id())
+    place = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    d = d.withColumns({"_p": F.shiftright("_id", 33), "_c": place}).drop("_id")
+    return _added(written(d, "ranged"), name)

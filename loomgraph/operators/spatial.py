@@ -36,7 +36,8 @@ def adjacent_prefixes(nodes: DataFrame) -> DataFrame:
 
 def prefix_groups(nodes: DataFrame) -> DataFrame:
     """(level, prefix, n, mass, mx, my, kmin, kmax) of every prefix of the distinct keys;
-    level 32 has the leaf buckets. Each level sums the one below it, so levels shrink."""
+    level 32 has the leaf buckets. Keys are summed first; each then counts at all its levels,
+    which combine before the shuffle."""
     m = F.col("mass")
     level = nodes.groupBy(F.col("morton").alias("prefix")).agg(
         F.count("*").alias("n"), F.sum(m).alias("mass"), F.sum(m * F.col("x")).alias("mx"), F.sum(m * F.col("y")).alias("my")

@@ -15,10 +15,11 @@ EDGE_COLOR_ELSE = (76, 70, 62)
 
 
 def with_mass(nodes: DataFrame, mode: str = "followers") -> DataFrame:
-    """Followers and one for accounts, two for tags; or, by "degree", edges and one."""
+    """Followers and one for accounts, two for tags; or, by "degree", edges and one. Followers
+    that aren't known count as none."""
     if mode == "degree":
         return nodes.withColumn("mass", (F.col("n_edges") + 1).cast("double"))
-    return nodes.withColumn("mass", F.when(F.col("kind") == "account", F.col("followers") + 1).otherwise(2).cast("double"))
+    return nodes.withColumn("mass", F.when(F.col("kind") == "account", F.coalesce("followers", F.lit(0)) + 1).otherwise(2).cast("double"))
 
 
 def with_scale(nodes: DataFrame) -> DataFrame:

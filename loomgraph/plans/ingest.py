@@ -19,11 +19,13 @@ from ..sources.shared import written
 
 
 def build_graph(accounts: DataFrame, posts: DataFrame, orphans: str = "fail") -> Graph:
-    """``accounts``: (name, followers, year_created), with account_id if they have ids;
-    ``posts``: (name, date, hashtags). Posts of unknown accounts fail the job or, with
+    """``accounts``: (name, followers, year_created), with account_id if they have ids, or with
+    (file, position), as read with places, to number them in the order of their files, so that
+    the first account of a name has its edges; ``posts``: (name, date, hashtags). Posts of unknown accounts fail the job or, with
     ``orphans="drop"``, are left out."""
     if "account_id" not in accounts.columns:
-        accounts = with_dense_id(accounts, ["name", "followers", "year_created"], "account_id")
+        placed = {"file", "position"} <= set(accounts.columns)
+        accounts = with_dense_id(accounts, ["file", "position"] if placed else ["name", "followers", "year_created"], "account_id")
     names = account_dictionary(accounts)
     if orphans == "fail" and not orphan_posts(posts, names).isEmpty():
         raise ValueError("posts by unknown accounts")

@@ -7,9 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.approx import repulsion_approx
+from ..operators.approx import THETA, repulsion_approx
 from ..operators.forces import Speed, attraction, gravity, next_speed, repulsion_exact, swing_traction, total_force, update_nodes
-from ..sources.shared import written
+from ..sources.shared import discard, written
 
 
 @dataclass(frozen=True)
@@ -20,7 +20,7 @@ class LayoutParams:
     soft: float = 0.05**2
     gravity: float = 1.0
     strong_gravity: bool = True
-    theta: float = 0.5
+    theta: float = THETA
 
 
 def layout_step(nodes: DataFrame, adj: DataFrame, params: LayoutParams, state: Speed, repulsion: str = "exact") -> tuple[DataFrame, Speed, dict]:
@@ -37,6 +37,7 @@ def layout_step(nodes: DataFrame, adj: DataFrame, params: LayoutParams, state: S
     row = swing_traction(forced).first()
     state = next_speed(state, row["swing"] or 0.0, row["traction"] or 0.0, row["n"])
     moved = written(update_nodes(forced, state.speed), "layout-nodes")
+    discard(forced, push)
     return moved, state, {"swing": row["swing"], "traction": row["traction"], "speed": state.speed, "efficiency": state.efficiency}
 
 
@@ -45,9 +46,12 @@ def layout(nodes: DataFrame, adj: DataFrame, iterations: int, params: LayoutPara
     controller. ``adj`` holds every edge in both directions."""
     params, state = params or LayoutParams(), state or Speed()
     nodes = written(nodes.withColumns({"fx_prev": F.lit(0.0), "fy_prev": F.lit(0.0)}), "layout-nodes")
-    adj = written(adj.repartition("dst"), "layout-adj")
+    adj = written(adj, "layout-adj")
     history = []
     for k in range(iterations):
+        before = nodes
         nodes, state, row = layout_step(nodes, adj, params, state, repulsion)
+        discard(before)
         history.append({"iteration": k, **row})
+    discard(adj)
     return nodes, history

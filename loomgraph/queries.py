@@ -328,8 +328,8 @@ def l3_repulsion_exact(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def l4_repulsion_approx(spark: SparkSession, d: str) -> DataFrame:
-    """No SQL twin: tests hold it against the exact force."""
-    return approx.repulsion_approx(relation(spark, d, "points"), 1.0, EPS, 0.5).select("node_id", *_r("fx", "fy"))
+    """No SQL twin: tests hold it against the exact force, at several opening angles."""
+    return approx.repulsion_approx(relation(spark, d, "points"), 1.0, EPS).select("node_id", *_r("fx", "fy"))
 
 
 # One step of controller and update from the sums: speed 1, efficiency 1, as next_speed says.
@@ -380,6 +380,13 @@ def l7_layout(spark: SparkSession, d: str) -> DataFrame:
     return nodes.select("node_id", *_r("x", "y"))
 
 
+@query()
+def l7_layout_approx(spark: SparkSession, d: str) -> DataFrame:
+    """Two steps with approximate repulsion; no SQL twin: tests hold a step against the exact one."""
+    nodes, _ = layout(relation(spark, d, "nodes"), graph.mirror_edges(_edges(spark, d), OFFSET), 2, LAYOUT, "approx")
+    return nodes.select("node_id", *_r("x", "y"))
+
+
 # --- spatial ---
 
 _BITS = " + ".join(f"((((gx >> {k}) & 1) << {2 * k + 1}) + (((gy >> {k}) & 1) << {2 * k}))" for k in range(16))
@@ -499,6 +506,14 @@ def o4_tree_integrity(spark: SparkSession, d: str) -> DataFrame:
 # --- generators, sized by the tables ---
 
 
+@query("SELECT * FROM (SELECT 2 * s_suppkey AS src, 2 * s_suppkey + 1 AS dst, CAST(1 AS bigint) AS weight FROM supplier), (SELECT 2.0e0 AS src_mass, 2.0e0 AS dst_mass)")
+def d1_pair(spark: SparkSession, d: str) -> DataFrame:
+    """A pair for each row of supplier: edges with the masses of both ends."""
+    nodes, edges = generate.gen_pairs(spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey"), "s_suppkey")
+    a, b = (nodes.select(F.col("node_id").alias(end), F.col("mass").alias(f"{end}_mass")) for end in ("src", "dst"))
+    return edges.join(a, "src").join(b, "dst").select("src", "dst", "weight", "src_mass", "dst_mass")
+
+
 @query(
     "WITH s AS (SELECT (SELECT count(*) FROM supplier) AS r, (SELECT count(*) FROM nation) AS b) SELECT i // (r // 1) AS grp, i AS src, 3 * r + k * b + j AS dst, 1::BIGINT AS weight "
     "FROM s, (SELECT unnest(range(0, 3 * (SELECT count(*) FROM supplier))) AS i) x, (SELECT unnest(range(0, (SELECT count(*) FROM nation))) AS j) y, (SELECT unnest([0, 1]) AS k) z "

@@ -19,13 +19,16 @@ def _csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     )
 
 
-def read_accounts(spark: SparkSession, path: str) -> DataFrame:
-    """(name, followers, year_created); columns that aren't kept aren't parsed."""
+def read_accounts(spark: SparkSession, path: str, places: bool = False) -> DataFrame:
+    """(name, followers, year_created); columns that aren't kept aren't parsed. With ``places``
+    also (file, position), the order of the rows: a file isn't split, so positions ascend in it."""
     d = _csv(spark, path, ACCOUNTS_CSV)
+    order = [F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("position")] if places else []
     return d.select(
         F.col("user_display_name").alias("name"),
         F.expr("try_cast(follower_count AS bigint)").alias("followers"),
         creation_year(F.col("account_creation_date")).alias("year_created"),
+        *order,
     )
 
 

@@ -9,9 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; only where it is unset, a temporary folder."""
+    """``spark.checkpoint.dir`` of the session, or the context's checkpoint folder; only where
+    both are unset on a local master, a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
+        set_by_context = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if set_by_context.isDefined():
+            return set_by_context.get().rstrip("/")
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
@@ -27,4 +31,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a written table: its lineage ends there, and it is computed once."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that no later plan reads."""
+    for df in tables:
+        path = getattr(df, "_written_path", None)
+        if path is not None:
+            jpath = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            jpath.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(jpath, True)
