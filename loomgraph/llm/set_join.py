@@ -142,27 +142,49 @@ def read_shingles(x: np.ndarray, ends: np.ndarray, size: int) -> Sets:
 # --- rarity ---
 
 
+#: Counts of one row.
+_PART = 4096
+
+
 def token_counts(docs: DataFrame, read: Reader, buckets: int = BUCKETS) -> np.ndarray:
     """Half powers of two of how often a token of each bucket occurs: 0 for once, below 64.
-    The table of counts has a fixed size."""
+    The table of counts has a fixed size; each task sends it once, in parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, dtype=np.int64)
         for b in batches:
             for _, x, ends in text_bytes(b.column(0), table=_LOWER):
                 np.add.at(total, (read(x, ends)[4] % np.uint64(buckets)).astype(np.int64), 1)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
+        total = np.minimum(total, 0xFFFFFFFF).astype("<u4")
+        for k in range(0, buckets, _PART):
+            if total[k : k + _PART].any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([total[k : k + _PART].tobytes()])], names=["part", "n"])
 
-    found = docs.select("text").mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
-    ranks = found.select(F.col("bucket").cast("int"), _half_power(F.col("n")).cast("byte").alias("r")).toArrow()
-    out = np.zeros(buckets, dtype=np.uint8)
-    out[ranks.column("bucket").to_numpy()] = ranks.column("r").to_numpy()
-    return out
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, total = None, np.zeros(0, dtype=np.int64)
 
+        def row() -> pa.RecordBatch:
+            ranks = np.minimum(np.log2(np.maximum(total, 1)) * 2, 63).astype(np.uint8)
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([ranks.tobytes()])], names=["part", "ranks"])
 
-def _half_power(n):
-    return F.least(F.floor(F.log2(n.cast("double")) * 2), F.lit(63))
+        for b in batches:
+            for k, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                counts = np.frombuffer(n, dtype="<u4").astype(np.int64)
+                if k == part:
+                    total += counts
+                    continue
+                if part is not None:
+                    yield row()
+                part, total = k, counts
+        if part is not None:
+            yield row()
+
+    parts = docs.select("text").mapInArrow(run, "part int, n binary").repartition("part").sortWithinPartitions("part")
+    out = np.zeros(buckets, dtype=np.uint8)
+    for r in parts.mapInArrow(add, "part int, ranks binary").collect():
+        ranks = np.frombuffer(bytes(r["ranks"]), dtype=np.uint8)
+        out[r["part"] : r["part"] + len(ranks)] = ranks
+    return out
 
 
 def _rank_of(n: int) -> int:
@@ -459,11 +481,12 @@ def _heads_pass(threshold: float):
 def candidates_apart(first: DataFrame, failed: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
     """All pairs that pass and differ in label, among the sets of the prefix tokens that the
     two sets of a failed pair share. ``labels`` has (doc_id, q) where q isn't doc_id itself."""
-    keyed = first.select("doc_id", "line", F.explode("prefix").alias("key"))
-    ends = materialize(failed.select("doc_id0", "line0").distinct(), "sets-ends")
-    here = keyed.join(few(failed), ["doc_id", "line"]).select("doc_id0", "line0", "key")
-    there = keyed.select(F.col("doc_id").alias("doc_id0"), F.col("line").alias("line0"), "key").join(few(ends), PAIR[2:], "left_semi")
-    keys = materialize(here.join(there, [*PAIR[2:], "key"], "left_semi").select("key").distinct(), "sets-keys")
+    keyed = first.select("doc_id", "line", "prefix")
+    other = keyed.toDF("doc_id0", "line0", "prefix0")
+    ends = [materialize(failed.select(*names).distinct(), "sets-ends") for names in (PAIR[:2], PAIR[2:])]
+    here, there = keyed.join(few(ends[0]), PAIR[:2], "left_semi"), other.join(few(ends[1]), PAIR[2:], "left_semi")
+    both = failed.join(here, PAIR[:2]).join(there, PAIR[2:])
+    keys = materialize(both.select(F.explode(F.array_intersect("prefix", "prefix0")).alias("key")).distinct(), "sets-keys")
     rows = prefix_rows(first).join(few(keys), "key", "left_semi").join(few(labels), "doc_id", "left")
     rows = materialize(rows.withColumn("q", F.coalesce("q", "doc_id")), "sets-again")
     mixed_keys = materialize(rows.groupBy("key").agg(F.min("q").alias("a"), F.max("q").alias("b")).where("a <> b").select("key"), "sets-mixed")
@@ -471,7 +494,7 @@ def candidates_apart(first: DataFrame, failed: DataFrame, labels: DataFrame, thr
     x, y = rows_.alias("x"), rows_.alias("y")
     met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.q") != F.col("y.q")) & _earlier() & _passing(threshold))
     out = materialize(_met_pairs(met).join(failed, PAIR, "left_anti"), "sets-pairs")
-    discard(ends, keys, rows, mixed_keys)
+    discard(*ends, keys, rows, mixed_keys)
     return out
 
 
