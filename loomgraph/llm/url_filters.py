@@ -20,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LANES = [f"_b{i}" for i in range(8)]
 #: Bytes of one block as a row, for the size check before a broadcast.
@@ -103,14 +105,15 @@ def filter_urls(
 
     ``listed`` has a string column ``canon``; nulls and repeats in it don't matter.
     """
-    listed = listed.select("canon").where(F.col("canon").isNotNull()).distinct()
+    listed = materialize(listed.select("canon").where(F.col("canon").isNotNull()).distinct(), "urls-listed")
     n = listed.count()
     blocks = max(1, -(-n // keys_per_block))
     bloom = bloom_blocks(listed, blocks)
-    url = F.col("url")
-    new = {"host", "path", "rule", "verdict", "maybe_listed", "listed", "_canon", "_block", "_best"}
-    out = pages.select(*[F.col(f"`{c}`") for c in pages.columns if c not in new], host_of(url).alias("host"), path_of(url).alias("path"))
-    out = out.withColumns({"_canon": canonical(url), "_best": best_rule(F.col("host"), F.col("path"), rules)})
+    # The page travels as one column, so its names meet no computed ones.
+    url = F.col("page.url")
+    out = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("page"))
+    out = out.select("page", host_of(url).alias("host"), path_of(url).alias("path"), canonical(url).alias("_canon"))
+    out = out.withColumn("_best", best_rule(F.col("host"), F.col("path"), rules))
     # Rules come first: only pages that no rule decides need the list.
     out = out.withColumn("_block", F.when(F.col("_best").isNull(), _block(F.col("_canon"), blocks)))
     if blocks * BLOCK_BYTES <= broadcast_bytes:
@@ -123,14 +126,16 @@ def filter_urls(
         hit = test if hit is None else hit & test
     out = out.withColumn("maybe_listed", F.coalesce(hit, F.lit(False))).drop("_block", *LANES)
     # Exact hash join for the possible hits; a null key never meets the list.
-    exact = listed.select(F.col("canon").alias("_key"), F.lit(True).alias("listed"))
+    exact = listed.select(F.col("canon").alias("_key"), F.lit(True).alias("_listed"))
     exact = F.broadcast(exact) if n * 256 <= broadcast_bytes else exact.hint("shuffle_hash")
-    out = out.withColumn("_key", F.when(F.col("maybe_listed"), F.col("_canon"))).join(exact, "_key", "left").drop("_key")
-    return out.withColumns({
-        "listed": F.coalesce("listed", F.lit(False)),
-        "rule": F.col("_best.rule"),
-        "verdict": F.coalesce("_best.verdict", F.when(F.coalesce("listed", F.lit(False)), "block").otherwise("allow")),
-    }).drop("_best", "_canon")
+    out = out.withColumn("_key", F.when(F.col("maybe_listed"), F.col("_canon"))).join(exact, "_key", "left")
+    found = F.coalesce("_listed", F.lit(False))
+    new = {
+        "host": F.col("host"), "path": F.col("path"), "maybe_listed": F.col("maybe_listed"), "listed": found, "rule": F.col("_best.rule"),
+        "verdict": F.coalesce("_best.verdict", F.when(found, "block").otherwise("allow")),
+    }
+    kept = [F.col("page").getField(c).alias(c) for c in pages.columns if c not in new]
+    return out.select(*kept, *[v.alias(k) for k, v in new.items()])
 
 
 def listed_urls(pages: DataFrame) -> DataFrame:
