@@ -10,8 +10,9 @@ words, so its size is bounded; more items make more shards, and each shard is an
 pass over the rows inside the same stage.
 
 Defined cases: a null or blank text has no words and no hits; items without words match
-nothing; items with a null id are ignored; repeated items are matched alike; an empty
-benchmark hits nothing; input columns named like computed ones are replaced.
+nothing; items with a null id are ignored, other ids are numbers or strings; repeated items
+are matched alike; an empty benchmark hits nothing; input columns named like computed ones
+are replaced.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 WINDOW = 13
 #: Words of the items in one broadcast automaton.
@@ -183,7 +185,7 @@ def _shards(benchmark: DataFrame, shard_words: int, window: int) -> list[list[tu
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-_NEW = "hit_spans array<struct<start:bigint,end:bigint>>, hit_items array<bigint>, n_words bigint"
+_NEW = "hit_spans array<struct<start:bigint,end:bigint>>, hit_items array<%s>, n_words bigint"
 
 
 def _union(a: list, b: list) -> list[tuple[int, int]]:
@@ -200,11 +202,12 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
     """``docs`` with hit_spans (word positions), hit_items and n_words."""
     spark = docs.sparkSession
     out = docs.drop("hit_spans", "hit_items", "n_words")
-    types = {"hit_spans": _SPANS, "hit_items": pa.list_(pa.int64()), "n_words": pa.int64()}
+    named = benchmark.schema["item_id"].dataType == StringType()
+    items_type = pa.list_(pa.string() if named else pa.int64())
     for shard in _shards(benchmark, shard_words, window):
         automaton = spark.sparkContext.broadcast(SuffixAutomaton(shard, window))
         first = "hit_spans" not in out.columns
-        schema = f"{_ddl(out)}, {_NEW}" if first else _ddl(out)
+        schema = f"{_ddl(out)}, {_NEW % ('string' if named else 'bigint')}" if first else _ddl(out)
 
         def scan(batches: Iterator[pa.RecordBatch], automaton=automaton, first=first) -> Iterator[pa.RecordBatch]:
             sam = automaton.value
@@ -221,7 +224,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
                     items.append(sorted(i))
                     counts.append(len(words))
                 cols = {n: batch.column(n) for n in batch.schema.names}
-                cols |= {"hit_spans": pa.array(spans, _SPANS), "hit_items": pa.array(items, types["hit_items"]), "n_words": pa.array(counts, pa.int64())}
+                cols |= {"hit_spans": pa.array(spans, _SPANS), "hit_items": pa.array(items, items_type), "n_words": pa.array(counts, pa.int64())}
                 yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
         out = out.mapInArrow(scan, schema)
