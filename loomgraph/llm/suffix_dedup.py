@@ -6,8 +6,9 @@ goes; earlier means a smaller doc_id, or the same document and an earlier start.
 1. Each window of ``length`` bytes has a key, the least hash of its ``GRAM``-byte grams.
    Consecutive windows of one key form a segment, of at most ``PIECE`` windows, so equal
    windows lie in segments of the same key, and each window lies in one segment. A segment
-   is its key, a digest of its bytes and its place. Keys that occur once can't hold a repeat
-   and end here: a filter of bounded size drops nearly all of them before the exact join.
+   is its key, a digest of its bytes and its place. Keys that occur once can't hold a repeat:
+   keys are counted first, and a filter of bounded size, made from those that repeat, drops
+   nearly all others when the texts are read again; what it lets through is told apart below.
 2. Of segments with equal bytes only the first needs a look: the windows of the others
    all start earlier there. So large groups of copies shrink to one segment.
 3. First segments of keys with different bytes meet, and those whose surroundings of the
@@ -110,29 +111,51 @@ def segments(raw: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int
     return text, key, starts, np.where(leftmost == rightmost, count, -count)
 
 
+def _joined(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.RecordBatch]:
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) > rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    yield from held
+
+
+def segment_keys(docs: DataFrame, length: int) -> DataFrame:
+    """(key, n) of every segment; n is negative as in segments()."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, raw, ends in text_bytes(b.column(0)):
+                _, key, _, n = segments(raw, ends, length)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int32))], names=["key", "n"])
+
+    return docs.select("text").mapInArrow(lambda batches: _joined(run(batches)), "key bigint, n int")
+
+
 _SEGMENT = "doc_id bigint, sub bigint, key bigint, digest bigint, start int, n int"
 
 
-def segment_rows(docs: DataFrame, length: int) -> DataFrame:
+def segment_rows(docs: DataFrame, length: int, bits: np.ndarray) -> DataFrame:
+    """The segments whose key the filter says yes to."""
+    held = docs.sparkSession.sparkContext.broadcast(bits)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
         for b in batches:
             ids, subs = b.column(0), b.column(1)
             for at, raw, ends in text_bytes(b.column(2)):
                 text, key, place, n = segments(raw, ends, length)
+                yes = may_hold(held.value, key)
+                text, key, place, n = text[yes], key[yes], place[yes], n[yes]
                 view, size = memoryview(raw), np.abs(n) + length - 1
                 digest = np.fromiter((xxhash.xxh3_64_intdigest(view[s:e]) for s, e in zip(place.tolist(), (place + size).tolist(), strict=True)), dtype=np.uint64, count=len(key))
                 owner = pa.array(at + text)
                 start = place - np.concatenate([[0], ends[:-1]])[text]
-                held.append(pa.RecordBatch.from_arrays([
+                yield pa.RecordBatch.from_arrays([
                     ids.take(owner), subs.take(owner), pa.array(key.view(np.int64)), pa.array(digest.view(np.int64)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)),
-                ], names=[x.split()[0] for x in _SEGMENT.split(", ")]))
-                if sum(x.num_rows for x in held) > 20_000:
-                    yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                    held = []
-        yield from held
+                ], names=[x.split()[0] for x in _SEGMENT.split(", ")])
 
-    return docs.mapInArrow(run, _SEGMENT)
+    return docs.mapInArrow(lambda batches: _joined(run(batches)), _SEGMENT)
 
 
 # --- a filter of keys ---
@@ -144,9 +167,15 @@ def _bits(keys: np.ndarray, size: int) -> np.ndarray:
     return np.concatenate([h & np.uint64(size - 1), h >> np.uint64(32) & np.uint64(size - 1)]).astype(np.int64)
 
 
+def may_hold(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = _bits(keys, 8 * len(table))
+    yes = (table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+    return yes[: len(keys)] & yes[len(keys) :]
+
+
 def key_filter(keys: DataFrame, most: int = FILTER_BITS) -> np.ndarray:
     """Bytes of a filter that says yes to all of the keys and to few others. Its size is bounded;
-    its words are combined before they reach the driver."""
+    its words are combined before they reach the driver. A crowded filter costs speed alone."""
     size = 1 << 16
     n = keys.count()
     while size < 12 * n and size < most:
@@ -165,20 +194,6 @@ def key_filter(keys: DataFrame, most: int = FILTER_BITS) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def filtered(rows: DataFrame, bits: np.ndarray) -> DataFrame:
-    """The rows whose key the filter says yes to."""
-    held = rows.sparkSession.sparkContext.broadcast(bits)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = held.value
-        for b in batches:
-            at = _bits(b.column("key").to_numpy(), 8 * len(table))
-            yes = (table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-            yield b.filter(pa.array(yes[: b.num_rows] & yes[b.num_rows :]))
-
-    return rows.mapInArrow(run, rows.schema)
-
-
 # --- Burrows-Wheeler transforms ---
 
 
@@ -375,10 +390,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, shard: int = SHARD) ->
     """(doc_id, sub, spans array<bigint>): for each document that loses bytes, the spans to
     remove, which may overlap, with a start in the upper and a length in the lower 32 bits; a
     written table."""
-    rows = materialize(segment_rows(docs, length), "suffix-rows")
-    keys = materialize(rows.groupBy("key").agg(F.count("*").alias("c"), F.min("n").alias("n")).where("c > 1 OR n < 0").select("key"), "suffix-keys")
-    held = materialize(filtered(rows, key_filter(keys)).join(keys, "key", "left_semi"), "suffix-segments")
-    discard(rows, keys)
+    keys = segment_keys(docs, length).groupBy("key").agg(F.count("*").alias("c"), F.min("n").alias("n")).where("c > 1 OR n < 0").select("key")
+    keys = materialize(keys, "suffix-keys")
+    held = materialize(segment_rows(docs, length, key_filter(keys)), "suffix-segments")
+    discard(keys)
     place = F.struct("doc_id", "sub", "start")
     first = materialize(held.groupBy("key", "digest").agg(F.min(place).alias("first"), F.min("n").alias("n")), "suffix-firsts")
     # Later copies of a segment go whole.
