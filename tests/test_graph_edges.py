@@ -108,3 +108,12 @@ def test_pairs(spark):
 def test_leading_blanks_and_empty_tags(spark):
     posts = spark.createDataFrame([("a", None, t) for t in ("[ a,  b, ,c d ]", "[,]", "[ ]")], "name string, date date, hashtags string")
     assert sorted(r.hashtag for r in graph.explode_hashtags(posts).collect()) == ["a", "b", "c d "]
+
+
+def test_speed_controller_takes_one_branch_each():
+    calm = forces.next_speed(forces.Speed(), 1.0, 10.0, 100)
+    assert calm.efficiency == pytest.approx(1.3) and calm.speed == pytest.approx(1.5)
+    busy = forces.next_speed(forces.Speed(), 9.0, 10.0, 100)  # swing over jitter times traction, under twice the traction
+    assert busy.efficiency == pytest.approx(0.7)
+    capped = forces.next_speed(forces.Speed(speed=1000.0), 1.0, 10.0, 100)
+    assert capped.efficiency == 1.0
