@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, common, decontaminate, html_text, language_id, line_dedup, quality_rules, registry, set_join, simhash, similar_docs, suffix_dedup, url_filters
+from loomgraph.llm import bpe, chat_template, common, decontaminate, html_text, language_id, line_dedup, quality_rules, registry, set_join, simhash, similar_docs, suffix_dedup, url_filters
 
 from ..conftest import DATA
 
@@ -347,3 +347,16 @@ def test_rules_are_ordered_by_what_reaches_them(spark):
     rules = [rule("costly", slow + "_text LIKE 'A%'"), rule("never", "_text LIKE 'zz%'"), rule("cheap", "_text LIKE 'A%'")]
     assert [r.name for r in quality_rules.order_rules(d, rules)][0] == "cheap"
     assert quality_rules.apply_quality_rules(d, rules).count() == 0
+
+
+# --- chat ---
+
+
+def test_a_long_conversation_is_one_digest(spark):
+    turns = [(7, k, "assistant" if k % 2 else "user", f"text {k} <|im_start|>") for k in range(4000)]
+    rows = spark.createDataFrame([*turns, (8, 0, "user", "x" * 300_000)], "conv_id long, turn long, role string, text string").repartition(7)
+    got = {r.conv_id: r for r in chat_template.conversation_digests(chat_template.format_conversations(rows)).collect()}
+    loss = "".join(t for _, _, role, t in turns if role == "assistant")
+    assert got[7].n_turns == 4000 and got[7].loss_chars == len(loss) and got[7].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+    assert got[7].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for _, _, r, t in turns).encode()).hexdigest()
+    assert got[8].n_turns == 1 and got[8].loss_chars == 0
