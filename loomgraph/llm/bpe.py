@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 #: The pre-tokenizer's pattern: fixed values, as the byte-level vocabulary files define it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words that the cache of a worker holds at most.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 NONE = 1 << 40
 #: The same pattern for texts below U+0250, where its classes are short lists of ranges.
 _L, _N, _S = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", "\t-\r \u0085\u00a0"
