@@ -386,10 +386,19 @@ def _runs(doc: np.ndarray, sub: np.ndarray, start: np.ndarray, length: int) -> l
     return [doc[at], sub[at], start[at], start[last] + length]
 
 
+def _union(spans: np.ndarray) -> np.ndarray:
+    """Packed spans without those that touch or overlap; few are left of a long passage."""
+    spans = np.sort(spans)
+    start = spans >> 32
+    stop = np.maximum.accumulate(start + (spans & 0xFFFFFFFF))
+    first = np.flatnonzero(np.concatenate([[True], start[1:] > stop[:-1]]))
+    last = np.append(first[1:], len(spans)) - 1
+    return start[first] << 32 | stop[last] - start[first]
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, shard: int = SHARD) -> DataFrame:
     """(doc_id, sub, spans array<bigint>): for each document that loses bytes, the spans to
-    remove, which may overlap, with a start in the upper and a length in the lower 32 bits; a
-    written table."""
+    remove, with a start in the upper and a length in the lower 32 bits; a written table."""
     keys = segment_keys(docs, length).groupBy("key").agg(F.count("*").alias("c"), F.min("n").alias("n")).where("c > 1 OR n < 0").select("key")
     keys = materialize(keys, "suffix-keys")
     held = materialize(segment_rows(docs, length, key_filter(keys)), "suffix-segments")
@@ -411,7 +420,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, shard: int = SHARD) ->
     discard(held, first)
     spans = copies.union(_merged(_texts_of(docs, wanted, length), crowded, length))
     packed = F.shiftleft("start", 32).bitwiseOR(F.col("stop") - F.col("start"))
-    out = materialize(spans.groupBy("doc_id", "sub").agg(F.collect_set(packed).alias("spans")), "suffix-spans")
+    lists = spans.groupBy("doc_id", "sub").agg(F.collect_set(packed).alias("spans"))  # at most a document's bytes
+
+    def union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            merged = [_union(np.array(x, dtype=np.int64)) for x in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(merged, pa.list_(pa.int64()))], names=["doc_id", "sub", "spans"])
+
+    out = materialize(lists.mapInArrow(union, "doc_id bigint, sub bigint, spans array<bigint>"), "suffix-spans")
     discard(copies, wanted, crowded)
     return out
 
