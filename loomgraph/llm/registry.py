@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat_template, decontaminate, hard_negatives, html_text, language_id, line_dedup, quality_rules, simhash, suffix_dedup, token_files, url_filters
+from . import bpe, chat_template, decontaminate, hard_negatives, html_text, language_id, line_dedup, prefix_trie, quality_rules, simhash, suffix_dedup, token_files, url_filters
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_quality(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trie = prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+    return trie.drop("enter", "leave")
+
+
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_files.new_folder(spark)
     manifest = token_files.write_token_files(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), folder)
@@ -75,12 +80,13 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_url_filters, op2_chat_format, op3_bpe, op4_simhash, op5_html_text, op6_suffix_dedup, op7_language_id, op8_line_dedup,
-    op9_decontaminate, op10_quality_rules, op12_token_files,
-    op13_hard_negatives,
+    op9_decontaminate, op10_quality_rules, op11_prefix_trie,
+    op12_token_files, op13_hard_negatives,
 )}
 ORACLES: dict[str, str] = {
     "op1_url_filters": url_filters.SQL,
     "op2_chat_format": chat_template.SQL,
     "op10_quality_rules": quality_rules.SQL,
+    "op11_prefix_trie": prefix_trie.SQL,
     "op13_hard_negatives": hard_negatives.SQL,
 }
