@@ -2,62 +2,213 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import discard, written
-from .spatial import KEY_BITS, prefix_groups, radix_tree, tree_children, tree_summary, with_morton
+from .radix import KEY_BITS, slab_tree
+from .spatial import prefix_groups, radix_tree, with_morton
 
 #: The opening angle.
 THETA = 0.1
+#: Points, or inner nodes with as many cut-off subtrees, of a tree that is broadcast: 80 bytes each.
+TOP = 200_000
+#: Points walked at a time, pairs of points at a time, and points that one task takes into one subtree.
+CHUNK, PAIRS, OPENERS = 1024, 1 << 21, 50_000
+
+
+@dataclass
+class MassTree:
+    """A tree, or its upper part, as arrays. A child is a number: below ``len(cx)`` an inner node,
+    then a bucket of points, then a subtree that was cut off."""
+
+    cx: np.ndarray
+    cy: np.ndarray
+    mass: np.ndarray
+    size: np.ndarray
+    child: np.ndarray
+    #: Where a walk begins: the root, and what is below it.
+    root: np.ndarray
+    below: np.ndarray
+    bounds: np.ndarray = field(default_factory=lambda: np.zeros(1, dtype=np.int64))
+    ids: np.ndarray = field(default_factory=lambda: np.empty(0))
+    points: np.ndarray = field(default_factory=lambda: np.empty((0, 3)))
+    #: Least possible keys of the subtrees that were cut off.
+    cuts: np.ndarray = field(default_factory=lambda: np.empty(0, dtype=np.int64))
+
+
+def whole_tree(keys: np.ndarray, ids: np.ndarray, points: np.ndarray) -> MassTree:
+    """The tree of points (x, y, mass) with their keys."""
+    by = np.argsort(keys, kind="stable")
+    keys, ids, points = keys[by], ids[by], points[by]
+    own, first = np.unique(keys, return_index=True)
+    bounds = np.append(first, len(keys))
+    mass = points[:, 2]
+    rows = np.column_stack([np.ones(len(keys)), mass, mass * points[:, 0], mass * points[:, 1]])
+    sums = np.add.reduceat(rows, first, axis=0) if len(own) else np.empty((0, 4))
+    nodes, at = slab_tree(own, sums)
+    n = len(nodes["level"])
+    name = (nodes["level"] << 33) + nodes["prefix"]
+    order = np.argsort(name)
+
+    def number(side: str, alone: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+        want = (nodes[f"{side}_level"] << 33) + nodes[f"{side}_prefix"]
+        found = order[np.minimum(np.searchsorted(name, want, sorter=order), max(n - 1, 0))] if n else want
+        return np.where(alone, n + bucket, found)
+
+    child = np.column_stack([number("left", at["mid"] - at["lo"] == 1, at["lo"]), number("right", at["hi"] - at["mid"] == 1, at["mid"])])
+    top = np.flatnonzero((at["lo"] == 0) & (at["hi"] == len(own))) if n else np.full(min(len(own), 1), n)
+    below = child[top[0]] if n else top
+    return MassTree(nodes["mx"] / nodes["mass"], nodes["my"] / nodes["mass"], nodes["mass"], nodes["size"], child, top, below, bounds, ids, points)
+
+
+def upper_tree(rows: pa.Table) -> MassTree:
+    """The inner nodes of ``rows``, which hold the ancestors of each, as a tree whose other children
+    are cut off."""
+    get = {c: rows[c].combine_chunks().cast(pa.int64()).to_numpy() for c in ("level", "prefix", "left_level", "left_prefix", "right_level", "right_prefix")}
+    name, n = (get["level"] << 33) + get["prefix"], rows.num_rows
+    order = np.argsort(name)
+    levels, prefixes = (np.column_stack([get[f"left_{c}"], get[f"right_{c}"]]) for c in ("level", "prefix"))
+    want = (levels << 33) + prefixes
+    found = order[np.minimum(np.searchsorted(name, want, sorter=order), n - 1)]
+    here = name[found] == want
+    least = prefixes << (KEY_BITS - levels)
+    cuts = np.sort(least[~here])
+    child = np.where(here, found, n + np.searchsorted(cuts, least))
+    root = np.array([np.argmin(get["level"])])
+    values = [rows[c].combine_chunks().to_numpy() for c in ("cx", "cy", "mass", "size")]
+    return MassTree(*values, child, root, child[root[0]], cuts=cuts)
+
+
+def walk(tree: MassTree, start: np.ndarray, ids: np.ndarray, points: np.ndarray, strength: float, soft: float, theta: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Force on each of ``points`` (x, y, mass), and (point, cut) pairs still to be walked. All
+    points descend together, one level of the tree a round: a node either counts as a
+    whole, if theta times the softened distance exceeds its size, or opens."""
+    force, n, buckets = np.zeros((2, len(points))), len(tree.cx), len(tree.bounds) - 1
+    p, c = np.repeat(np.arange(len(points)), len(start)), np.tile(start, len(points))
+    left_p, left_c = [p[:0]], [c[:0]]
+
+    def push(p: np.ndarray, dx: np.ndarray, dy: np.ndarray, mass: np.ndarray, near: np.ndarray) -> None:
+        w = strength * points[p, 2] * mass / near
+        force[0] += np.bincount(p, w * dx, len(points))
+        force[1] += np.bincount(p, w * dy, len(points))
 
+    while len(p):
+        out = c >= n + buckets
+        left_p.append(p[out])
+        left_c.append(c[out] - n - buckets)
+        at = (c >= n) & ~out
+        in_bucket, b = p[at], c[at] - n
+        sizes = tree.bounds[b + 1] - tree.bounds[b]
+        ends = np.cumsum(sizes)
+        lo = 0
+        while lo < len(b):  # a bucket counts point by point, without the point itself
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS, side="right")))
+            k = sizes[lo:hi]
+            q = np.repeat(in_bucket[lo:hi], k)
+            j = np.arange(len(q)) + np.repeat(tree.bounds[b[lo:hi]] - (np.cumsum(k) - k), k)
+            other = ids[q] != tree.ids[j]
+            q, j = q[other], j[other]
+            dx, dy = points[q, 0] - tree.points[j, 0], points[q, 1] - tree.points[j, 1]
+            push(q, dx, dy, tree.points[j, 2], dx * dx + dy * dy + soft)
+            lo = hi
+        p, c = p[c < n], c[c < n]
+        dx, dy = points[p, 0] - tree.cx[c], points[p, 1] - tree.cy[c]
+        near = dx * dx + dy * dy + soft
+        far = theta * np.sqrt(near) > tree.size[c]
+        push(p[far], dx[far], dy[far], tree.mass[c[far]], near[far])
+        p, c = np.repeat(p[~far], 2), tree.child[c[~far]].ravel()
+    return force, np.concatenate(left_p), np.concatenate(left_c)
 
-def repulsion_approx(nodes: DataFrame, strength: float = 1.0, soft: float = 0.0025, theta: float = THETA) -> DataFrame:
-    """(node_id, fx, fy). A frontier of (node, tree node) rows starts at the root's children.
-    At each level a row either is accepted, if theta times the softened distance exceeds the
-    tree node's size, or opens into two children; leaf buckets count point by point, without
-    the node itself. Every level is one equi-join; its accepted rows are summed by node before
-    they are written, so that only sums and the open frontier go on. The result is a written
-    table; what it was made from is deleted. Nodes without a mass push nothing and aren't
-    pushed; nodes without a position are left out."""
-    nodes = nodes.where("x IS NOT NULL AND y IS NOT NULL").select("node_id", "x", "y", F.coalesce("mass", F.lit(0.0)).alias("mass"))
+
+def _points(table) -> tuple[np.ndarray, np.ndarray]:
+    column = lambda c: table[c].combine_chunks() if isinstance(table, pa.Table) else table.column(c)
+    points = np.column_stack([column(c).to_numpy(zero_copy_only=False) for c in ("x", "y", "mass")])
+    return column("node_id").to_numpy(zero_copy_only=False), points.astype(float).reshape(-1, 3)
+
+
+def _upper(tree: DataFrame, top: int) -> MassTree:
+    """The nodes with more than 2^k points, k as small as lets at most ``top`` of them be broadcast."""
+    counts = tree.agg(*[F.count_if(F.col("n") > (1 << k)).alias(str(k)) for k in range(48)]).first()
+    most = next(k for k in range(48) if counts[k] <= top)
+    most = min(most, max(k for k in range(48) if counts[k]))  # the root at least
+    return upper_tree(tree.where(F.col("n") > (1 << most)).toArrow())
+
+
+def repulsion_approx(nodes: DataFrame, strength: float = 1.0, soft: float = 0.0025, theta: float = THETA, top: int = TOP) -> DataFrame:
+    """(node_id, fx, fy). Up to ``top`` points the whole tree is broadcast as arrays, and every task
+    walks its points down it: no join. Beyond, its inner nodes with many points are, and what
+    a walk leaves open, a point and a cut-off subtree, goes on by one join on the subtree,
+    where the subtree is built from its points and walked likewise; a subtree that very many
+    points open is copied to several tasks. The result is a written table; what it was made
+    from is deleted. Nodes without a mass push nothing and aren't pushed; nodes without a
+    position are left out."""
+    nodes = nodes.where("x IS NOT NULL AND y IS NOT NULL").select("node_id", "x", "y", F.coalesce("mass", F.lit(0.0)).cast("double").alias("mass"))
     keyed = written(with_morton(nodes.where("mass > 0")), "approx-nodes")
-    groups = written(prefix_groups(keyed), "approx-groups")
-    tree = written(radix_tree(groups), "approx-tree")
-    summary = written(tree_summary(groups, tree), "approx-summary")
-    inner = summary.select("level", "prefix", "mass", "cx", "cy", "size")
-    children = tree_children(tree)
-    points = keyed.select(F.col("morton").alias("prefix"), F.col("node_id").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"), F.col("mass").alias("mj"))
-    me = keyed.select("node_id", "x", "y", "mass")
-    used = [keyed, groups, tree, summary]
-    roots = tree.orderBy("level", "prefix").limit(1).select("level", "prefix", "kmin", "kmax")
-    first = roots.join(children, ["level", "prefix"]).select(F.col("child_level").alias("level"), F.col("child_prefix").alias("prefix"))
-    if tree.isEmpty():  # all nodes in one bucket
-        first = groups.where(F.col("level") == KEY_BITS).select("level", "prefix")
-    frontier = me.join(F.broadcast(first))  # at most two tree nodes
-    sums: list[DataFrame] = []
-
-    def force(dx, dy, m):
-        by = strength * F.col("m") * m / (dx * dx + dy * dy + soft)
-        return F.sum(by * dx).alias("fx"), F.sum(by * dy).alias("fy")
-
-    frontier = frontier.withColumnRenamed("mass", "m")
-    for _ in range(KEY_BITS + 1):
-        frontier = written(frontier.select("node_id", "x", "y", "m", "level", "prefix"), "frontier")
-        used.append(frontier)
-        if frontier.isEmpty():
-            break
-        at_leaf = frontier.where(F.col("level") == KEY_BITS).join(points, "prefix").where("j <> node_id")
-        sums.append(written(at_leaf.groupBy("node_id").agg(*force(F.col("x") - F.col("xj"), F.col("y") - F.col("yj"), F.col("mj"))), "leaf"))
-        met = frontier.where(F.col("level") < KEY_BITS).join(inner, ["level", "prefix"])
-        dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
-        met = met.withColumn("far", theta * F.sqrt(dx * dx + dy * dy + soft) > F.col("size"))
-        sums.append(written(met.where("far").groupBy("node_id").agg(*force(dx, dy, F.col("mass"))), "far"))
-        open_ = met.where("NOT far").select("node_id", "x", "y", "m", "level", "prefix").join(children, ["level", "prefix"])
-        frontier = open_.select("node_id", "x", "y", "m", F.col("child_level").alias("level"), F.col("child_prefix").alias("prefix"))
+    sc, n = keyed.sparkSession.sparkContext, keyed.count()
+    used, kind = [keyed], keyed.schema["node_id"].dataType.simpleString()
+    if n <= top:
+        table = keyed.toArrow()
+        tree = whole_tree(table["morton"].combine_chunks().to_numpy(), *_points(table))
+    else:
+        tree = _upper(radix_tree(prefix_groups(keyed), owned=used), top)
+    shared = sc.broadcast(tree)
+
+    def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = shared.value
+        for batch in batches:
+            for lo in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(lo, CHUNK)
+                ids, points = _points(part)
+                force, p, cut = walk(tree, tree.below, ids, points, strength, soft, theta)
+                sums = [part.column("node_id"), pa.nulls(len(ids), pa.int64()), pa.array(force[0]), pa.array(force[1]), pa.nulls(len(ids), pa.float64())]
+                yield pa.RecordBatch.from_arrays(sums, names=["node_id", "cut", "x", "y", "mass"])
+                if len(p):
+                    more = [part.column("node_id").take(pa.array(p)), pa.array(cut), *[pa.array(points[p, k]) for k in range(3)]]
+                    yield pa.RecordBatch.from_arrays(more, names=["node_id", "cut", "x", "y", "mass"])
+
+    # By the number of points, not by bytes: rows are small and their work is not.
+    tasks = max(1, min(math.ceil(n / CHUNK), max(8 * sc.defaultParallelism, math.ceil(n / 50_000))))
+    walked = written(keyed.repartition(tasks).mapInArrow(descend, f"node_id {kind}, cut bigint, x double, y double, mass double"), "approx-walked")
+    used.append(walked)
     total = nodes.select("node_id", F.lit(0.0).alias("fx"), F.lit(0.0).alias("fy"))
-    for s in sums:
-        total = total.union(s)
+    total = total.union(walked.where("cut IS NULL").select("node_id", F.col("x").alias("fx"), F.col("y").alias("fy")))
+    if len(tree.cuts):
+        total = total.union(_in_subtrees(keyed, walked.where("cut IS NOT NULL"), sc.broadcast(tree.cuts), (strength, soft, theta)))
     out = written(total.groupBy("node_id").agg(F.sum("fx").alias("fx"), F.sum("fy").alias("fy")), "approx-force")
-    discard(*used, *sums)
+    discard(*used)
+    shared.destroy()
     return out
+
+
+def _in_subtrees(keyed: DataFrame, open_: DataFrame, cuts, options: tuple[float, float, float]) -> DataFrame:
+    """(node_id, fx, fy) of points in the cut-off subtrees that they opened."""
+    kind = keyed.schema["node_id"].dataType.simpleString()
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cut = np.searchsorted(cuts.value, batch.column("morton").to_numpy(), side="right") - 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cut)], names=[*batch.schema.names, "cut"])
+
+    def finish(openers: pa.Table, members: pa.Table) -> pa.Table:
+        found: list[tuple] = []
+        if openers.num_rows and members.num_rows:
+            tree = whole_tree(members["morton"].combine_chunks().to_numpy(), *_points(members))
+            for lo in range(0, openers.num_rows, CHUNK):
+                part = openers.slice(lo, CHUNK)
+                ids, points = _points(part)
+                found.append((part["node_id"].combine_chunks(), *walk(tree, tree.root, ids, points, *options)[0]))
+        columns = [pa.concat_arrays([f[0] for f in found]) if found else openers["node_id"].slice(0, 0)]
+        return pa.table([*columns, *[np.concatenate([f[k] for f in found]) if found else np.empty(0) for k in (1, 2)]], names=["node_id", "fx", "fy"])
+
+    salts = F.broadcast(open_.groupBy("cut").agg(F.ceil(F.count("*") / OPENERS).cast("int").alias("salts")))  # a row a cut: bounded as the broadcast tree
+    members = keyed.mapInArrow(place, f"node_id {kind}, x double, y double, mass double, morton bigint, cut bigint").join(salts, "cut")
+    members = members.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    openers = open_.join(salts, "cut").withColumn("salt", F.pmod(F.xxhash64("node_id"), F.col("salts")).cast("int")).drop("salts")
+    return openers.groupBy("cut", "salt").cogroup(members.groupBy("cut", "salt")).applyInArrow(finish, f"node_id {kind}, fx double, fy double")

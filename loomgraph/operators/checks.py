@@ -5,18 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ids import with_dense_id
+from .carry import with_before
 
 
 def sort_pairs(df: DataFrame, key: str, payload: str) -> DataFrame:
     return df.select(key, payload).orderBy(key, payload)
 
 
-def count_inversions(df: DataFrame, order: list[str], key: str) -> DataFrame:
+def count_inversions(df: DataFrame, order: list[str], key: str, owned: list[DataFrame] | None = None) -> DataFrame:
     """One row: how often a row's key is less than that of the row before, in ``order``."""
-    ranked = with_dense_id(df.select(*dict.fromkeys([*order, key])), order, "_rank").select("_rank", F.col(key).alias("_k"))
-    before = ranked.select((F.col("_rank") + 1).alias("_rank"), F.col("_k").alias("_before"))
-    return ranked.join(before, "_rank").agg(F.count_if(F.col("_k") < F.col("_before")).alias("inversions"))
+    near = with_before(df.select(*dict.fromkeys([*order, key])), order, {key: "_before"}, owned)
+    return near.agg(F.count_if(F.col(key) < F.col("_before")).alias("inversions"))
 
 
 def duplicate_keys(df: DataFrame, key: str) -> DataFrame:

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.spatial import BITS, common_prefix, morton, uniform
-from .ids import with_dense_id
-
-KEY_BITS = 2 * BITS
+from ..functions.spatial import common_prefix, morton, uniform
+from .carry import with_before
+from .radix import KEY_BITS, SLAB, tree_nodes
 
 
 def world_bounds(nodes: DataFrame) -> DataFrame:
@@ -26,49 +25,33 @@ def spatial_sort(nodes: DataFrame) -> DataFrame:
     return nodes.orderBy("morton", "node_id")
 
 
-def adjacent_prefixes(nodes: DataFrame) -> DataFrame:
-    """(morton, next_morton, lcp) of neighbours among the sorted distinct keys. Dense ids
-    turn "the next one" into an equi-join, so no window spans the whole table."""
-    ranked = with_dense_id(nodes.select("morton").distinct(), ["morton"], "rank")
-    after = ranked.select((F.col("rank") - 1).alias("rank"), F.col("morton").alias("next_morton"))
-    return ranked.join(after, "rank").select("morton", "next_morton", common_prefix(F.col("morton"), F.col("next_morton")).alias("lcp"))
+def adjacent_prefixes(nodes: DataFrame, owned: list[DataFrame] | None = None) -> DataFrame:
+    """(morton, next_morton, lcp) of neighbours among the sorted distinct keys. Each key meets
+    the one before; what crosses the border of two partitions is carried over it."""
+    near = with_before(nodes.select("morton").distinct(), ["morton"], {"morton": "before"}, owned).where("before IS NOT NULL")
+    return near.select(F.col("before").alias("morton"), F.col("morton").alias("next_morton"), common_prefix(F.col("before"), F.col("morton")).alias("lcp"))
 
 
 def prefix_groups(nodes: DataFrame) -> DataFrame:
-    """(level, prefix, n, mass, mx, my, kmin, kmax) of every prefix of the distinct keys;
-    level 32 has the leaf buckets. Keys are summed first; each then counts at all its levels,
-    which combine before the shuffle."""
+    """(level, prefix, n, mass, mx, my, kmin, kmax): the distinct keys as leaf buckets, the groups
+    of level 32. Shorter prefixes follow from them in radix_tree."""
     m = F.col("mass")
-    level = nodes.groupBy(F.col("morton").alias("prefix")).agg(
+    leaves = nodes.groupBy(F.col("morton").alias("prefix")).agg(
         F.count("*").alias("n"), F.sum(m).alias("mass"), F.sum(m * F.col("x")).alias("mx"), F.sum(m * F.col("y")).alias("my")
     )
-    level = level.withColumns({"kmin": F.col("prefix"), "kmax": F.col("prefix")})
-    shift = F.expr(f"explode(sequence(0, {KEY_BITS})) AS up")
-    wide = level.select("*", shift)
-    return wide.groupBy((KEY_BITS - F.col("up")).cast("int").alias("level"), F.call_function("shiftright", "prefix", F.col("up").cast("int")).alias("prefix")).agg(
-        F.sum("n").alias("n"), F.sum("mass").alias("mass"), F.sum("mx").alias("mx"), F.sum("my").alias("my"),
-        F.min("kmin").alias("kmin"), F.max("kmax").alias("kmax"),
-    )
+    return leaves.select(F.lit(KEY_BITS).alias("level"), "prefix", "n", "mass", "mx", "my", F.col("prefix").alias("kmin"), F.col("prefix").alias("kmax"))
 
 
-def radix_tree(groups: DataFrame) -> DataFrame:
+def radix_tree(groups: DataFrame, slab: int = SLAB, owned: list[DataFrame] | None = None) -> DataFrame:
     """(level, prefix, kmin, kmax, mass, cx, cy, n, left_level, left_prefix, right_level,
-    right_prefix): the internal nodes. A group is one if both next bits occur below it.
-    Along a chain of groups with the same keys the deepest stands for all, so a child is
-    found by its keys."""
-    ends = groups.withColumns({"cx": F.col("mx") / F.col("mass"), "cy": F.col("my") / F.col("mass")}).drop("mx", "my")
-    split = common_prefix(F.col("kmin"), F.col("kmax"))
-    inner = ends.where((F.col("kmin") < F.col("kmax")) & (F.col("level") == split))
-    leaves = ends.where(F.col("level") == KEY_BITS)
-    tops = groups.select(F.col("level").alias("_l"), F.col("prefix").alias("_p"), "kmin", "kmax")
-    known = inner.select("level", "prefix", "kmin", "kmax").union(leaves.select("level", "prefix", "kmin", "kmax"))
-    named = tops.join(known, ["kmin", "kmax"])
-    out = inner
-    for side, bit in (("left", 0), ("right", 1)):
-        child = named.select(F.col("_l"), F.col("_p"), F.col("level").alias(f"{side}_level"), F.col("prefix").alias(f"{side}_prefix"))
-        at = (F.col("_l") == F.col("level") + 1) & (F.col("_p") == F.col("prefix") * 2 + bit)
-        out = out.join(child, at).drop("_l", "_p")
-    return out
+    right_prefix, size): the internal nodes over the leaf buckets of ``groups``. A chain of
+    prefixes with the same keys is one node, named by its deepest. size is twice the largest
+    distance from a node's centre to a child's; without mass, centre and size are null."""
+    d = tree_nodes(groups.where(F.col("level") == KEY_BITS), slab, owned)
+    centre = {c: F.col(m) / F.nullif(F.col("mass"), F.lit(0.0)) for c, m in (("cx", "mx"), ("cy", "my"))}
+    d = d.withColumns({**centre, "size": F.nanvl("size", F.lit(None).cast("double"))})
+    whole = ("level", "left_level", "right_level")
+    return d.withColumns({c: F.col(c).cast("int") for c in whole} | {"n": F.col("n").cast("long")}).drop("mx", "my")
 
 
 def tree_children(tree: DataFrame) -> DataFrame:
@@ -78,18 +61,9 @@ def tree_children(tree: DataFrame) -> DataFrame:
 
 
 def tree_summary(groups: DataFrame, tree: DataFrame) -> DataFrame:
-    """(level, prefix, n, mass, cx, cy, size): size is twice the largest distance from a
-    node's centre to a child's."""
-    centre = groups.select(
-        F.col("level").alias("child_level"), F.col("prefix").alias("child_prefix"),
-        (F.col("mx") / F.col("mass")).alias("_x"), (F.col("my") / F.col("mass")).alias("_y"),
-    )
-    d = tree_children(tree).join(centre, ["child_level", "child_prefix"])
-    d = d.join(tree.select("level", "prefix", "n", "mass", "cx", "cy"), ["level", "prefix"])
-    dx, dy = F.col("_x") - F.col("cx"), F.col("_y") - F.col("cy")
-    return d.groupBy("level", "prefix").agg(
-        *[F.first(c).alias(c) for c in ("n", "mass", "cx", "cy")], (2 * F.max(F.sqrt(dx * dx + dy * dy))).alias("size")
-    )
+    """(level, prefix, n, mass, cx, cy, size) of the internal nodes; the tree's pass over its keys
+    has them all, so ``groups`` are not read again."""
+    return tree.select("level", "prefix", "n", "mass", "cx", "cy", "size")
 
 
 def with_cell(nodes: DataFrame, radius: float, n: int = 128) -> DataFrame:
