@@ -25,13 +25,13 @@ from pyspark.sql import functions as F
 
 from . import set_join
 from .common import discard, few, materialize
-from .set_join import BUCKETS, SHARD, read_lines
+from .set_join import SHARD, read_lines
 
 THRESHOLD = 0.8
 MIN_WORDS = 5
 
 
-def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, buckets: int = BUCKETS, shard: int = SHARD) -> DataFrame:
+def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, buckets: int | None = None, shard: int = SHARD) -> DataFrame:
     """(doc_id, line): the lines to remove, numbered from 0, as a written table."""
     docs = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ranks = docs.sparkSession.sparkContext.broadcast(set_join.token_counts(docs, read_lines, buckets))

@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 
 from .common import discard, few, materialize, text_bytes
 
-BUCKETS = 1 << 21
 SHARD = 8192
 
 # --- reading texts into hashed tokens ---
@@ -142,23 +141,32 @@ def read_shingles(x: np.ndarray, ends: np.ndarray, size: int) -> Sets:
 # --- rarity ---
 
 
-#: Counts of one row.
-_PART = 4096
+#: Buckets whose counts are one row, and bytes of text for each bucket of the table.
+_PART, _BYTES = 1 << 16, 40
 
 
-def token_counts(docs: DataFrame, read: Reader, buckets: int = BUCKETS) -> np.ndarray:
+def bucket_count(docs: DataFrame) -> int:
+    """Buckets for the tokens of these texts: in proportion, so that as large a share of the rare
+    tokens has a bucket of its own at every size, up to a table of 128 MB."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return 1 << min(max(round(np.log2(max(size, 1) / _BYTES)), 16), 27)
+
+
+def token_counts(docs: DataFrame, read: Reader, buckets: int | None = None) -> np.ndarray:
     """Half powers of two of how often a token of each bucket occurs: 0 for once, below 64.
-    The table of counts has a fixed size; each task sends it once, in parts."""
+    The table of counts has a bounded size; each task sends the buckets that it has met, in
+    parts. A task counts to 65,535: more changes no order that matters."""
+    buckets = buckets or bucket_count(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(buckets, dtype=np.int64)
+        total = np.zeros(buckets, dtype=np.uint32)
         for b in batches:
             for _, x, ends in text_bytes(b.column(0), table=_LOWER):
-                np.add.at(total, (read(x, ends)[4] % np.uint64(buckets)).astype(np.int64), 1)
-        total = np.minimum(total, 0xFFFFFFFF).astype("<u4")
+                np.add.at(total, (read(x, ends)[4] % np.uint64(buckets)).astype(np.int64), np.uint32(1))
         for k in range(0, buckets, _PART):
-            if total[k : k + _PART].any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([total[k : k + _PART].tobytes()])], names=["part", "n"])
+            if len(at := np.flatnonzero(part := total[k : k + _PART])):
+                counts = np.minimum(part[at], 0xFFFF)
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([at.astype("<u2").tobytes()]), pa.array([counts.astype("<u2").tobytes()])], names=["part", "at", "n"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, total = None, np.zeros(0, dtype=np.int64)
@@ -168,18 +176,16 @@ def token_counts(docs: DataFrame, read: Reader, buckets: int = BUCKETS) -> np.nd
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([ranks.tobytes()])], names=["part", "ranks"])
 
         for b in batches:
-            for k, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                counts = np.frombuffer(n, dtype="<u4").astype(np.int64)
-                if k == part:
-                    total += counts
-                    continue
-                if part is not None:
-                    yield row()
-                part, total = k, counts
+            for k, at, n in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
+                if k != part:
+                    if part is not None:
+                        yield row()
+                    part, total = k, np.zeros(min(_PART, buckets - k), dtype=np.int64)
+                total[np.frombuffer(at, dtype="<u2")] += np.frombuffer(n, dtype="<u2")
         if part is not None:
             yield row()
 
-    parts = docs.select("text").mapInArrow(run, "part int, n binary").repartition("part").sortWithinPartitions("part")
+    parts = docs.select("text").mapInArrow(run, "part int, at binary, n binary").repartition("part").sortWithinPartitions("part")
     out = np.zeros(buckets, dtype=np.uint8)
     for r in parts.mapInArrow(add, "part int, ranks binary").collect():
         ranks = np.frombuffer(bytes(r["ranks"]), dtype=np.uint8)
