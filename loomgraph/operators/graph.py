@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import hashtag_array
+from .blocks import BLOCK, block_lists
 from .ids import with_dense_id, with_running_sum
 
 
@@ -64,6 +65,12 @@ def edge_date_lists(occurrences: DataFrame) -> DataFrame:
     return occurrences.groupBy("account_id", "hashtag_id").agg(F.sort_array(F.collect_list("date")).alias("dates"), F.count("*").alias("n_dates"))
 
 
+def edge_date_blocks(occurrences: DataFrame, size: int = BLOCK, owned: list[DataFrame] | None = None) -> DataFrame:
+    """(account_id, hashtag_id, block, n, dates): the dates of each edge in blocks of at most ``size``,
+    in order, for edges of any weight."""
+    return block_lists(occurrences, ["account_id", "hashtag_id"], "date", "dates", size, owned)
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """(kind, id, n_edges) of both sides; every edge is one neighbour on either side."""
     a = edges.groupBy(F.col("account_id").alias("id")).agg(F.count("*").alias("n_edges"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.spatial import common_prefix, morton, uniform
+from ..sources.shared import written
+from .blocks import BLOCK, block_lists
 from .carry import with_before
 from .radix import KEY_BITS, SLAB, tree_nodes
 
@@ -76,25 +78,72 @@ def with_cell(nodes: DataFrame, radius: float, n: int = 128) -> DataFrame:
 
 
 def cell_lists(nodes: DataFrame) -> DataFrame:
-    """(cell_id, n, node_ids) of the cells with nodes."""
+    """(cell_id, n, node_ids) of the cells with nodes, for cells known to be small; else cell_blocks."""
     return nodes.where("cell_id IS NOT NULL").groupBy("cell_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("node_id")).alias("node_ids"))
 
 
-def neighbors_within(nodes: DataFrame, radius: float, salts: int = 1) -> DataFrame:
-    """(i, j, dx, dy, distance): ordered pairs nearer than the radius. Cells are as wide as
-    the radius, so a node meets nine of them: an equi-join, no cross join. ``salts`` splits
-    dense cells: one side is dealt out, the other goes to every part."""
-    cell = lambda c: F.floor(F.col(c) / radius).cast("long")
-    d = nodes.select("node_id", "x", "y", cell("x").alias("gx"), cell("y").alias("gy"))
-    near = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
-    left = d.select(F.col("node_id").alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi"), "gx", "gy", near.alias("o"), F.pmod(F.xxhash64("node_id"), F.lit(salts)).alias("s"))
-    left = left.select("i", "xi", "yi", (F.col("gx") + F.col("o.a")).alias("gx"), (F.col("gy") + F.col("o.b")).alias("gy"), "s")
-    right = d.select(F.col("node_id").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"), "gx", "gy")
-    right = right.withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+def cell_blocks(nodes: DataFrame, size: int = BLOCK, owned: list[DataFrame] | None = None) -> DataFrame:
+    """(cell_id, block, n, node_ids): the nodes of each cell in blocks of at most ``size``."""
+    return block_lists(nodes.where("cell_id IS NOT NULL"), ["cell_id"], "node_id", "node_ids", size, owned)
+
+
+#: Nodes of one cell that a task meets with as many of another.
+CELL = 512
+#: A cell and those after it; the others have it after them.
+_HALF = ((0, 0), (1, 0), (-1, 1), (0, 1), (1, 1))
+
+
+def counted_cells(nodes: DataFrame, radius: float, bound: int = CELL) -> DataFrame:
+    """(gx, gy, n, blocks, ahead, behind): the cells, as wide as the radius, that have nodes. A cell
+    of more than ``bound`` nodes is divided into blocks; ahead and behind list the cells of
+    either half of the neighbourhood that exist, with their blocks, the cell itself in both."""
+    side = lambda c: F.floor(F.col(c) / radius).cast("long")
+    cells = nodes.groupBy(side("x").alias("gx"), side("y").alias("gy")).agg(F.count("*").alias("n"))
+    cells = cells.withColumn("blocks", F.ceil(F.col("n") / bound).cast("int"))
+    steps = F.explode(F.array(*[F.struct(F.lit(k).alias("o"), F.lit(a).alias("a"), F.lit(b).alias("b")) for k, (a, b) in enumerate(_HALF)])).alias("s")
+    reach = cells.select(F.col("gx").alias("x0"), F.col("gy").alias("y0"), F.col("blocks").alias("b0"), steps)
+    reach = reach.select("x0", "y0", "b0", "s.o", (F.col("x0") + F.col("s.a")).alias("gx"), (F.col("y0") + F.col("s.b")).alias("gy"))
+    met = reach.join(cells.select("gx", "gy", "blocks"), ["gx", "gy"])
+    ahead = met.groupBy(F.col("x0").alias("gx"), F.col("y0").alias("gy")).agg(F.collect_list(F.struct("o", "blocks")).alias("ahead"))
+    behind = met.groupBy("gx", "gy").agg(F.collect_list(F.struct("o", F.col("b0").alias("blocks"))).alias("behind"))  # at most five
+    return cells.join(ahead, ["gx", "gy"]).join(behind, ["gx", "gy"])
+
+
+#: What two blocks of nodes meet on.
+MEET = ["gx", "gy", "o", "bi", "bj"]
+
+
+def meeting_blocks(nodes: DataFrame, cells: DataFrame, radius: float) -> tuple[DataFrame, DataFrame]:
+    """Rows (i, xi, yi) and (j, xj, yj) with the columns of ``MEET``, equal where a block of one
+    cell meets a block of another. No value of them has more than about a block a side."""
+    side = lambda c: F.floor(F.col(c) / radius).cast("long")
+    own = F.pmod(F.xxhash64("node_id"), F.col("blocks")).cast("int")
+    placed = nodes.withColumns({"gx": side("x"), "gy": side("y")}).join(cells, ["gx", "gy"]).withColumn("own", own)
+    name = lambda end: [F.col("node_id").alias(end), F.col("x").alias(f"x{end}"), F.col("y").alias(f"y{end}")]
+    blocks = F.explode(F.sequence(F.lit(0), F.col("c.blocks") - 1))
+    left = placed.select(*name("i"), "gx", "gy", "own", F.explode("ahead").alias("c"))
+    left = left.select("i", "xi", "yi", "gx", "gy", F.col("c.o").alias("o"), F.col("own").alias("bi"), blocks.alias("bj"))
+    offset = lambda k: F.element_at(F.array(*[F.lit(s[k]) for s in _HALF]), F.col("c.o") + 1)
+    right = placed.select(*name("j"), "gx", "gy", "own", F.explode("behind").alias("c"))
+    right = right.select("j", "xj", "yj", (F.col("gx") - offset(0)).alias("gx"), (F.col("gy") - offset(1)).alias("gy"), F.col("c.o").alias("o"), blocks.alias("bi"), F.col("own").alias("bj"))
+    return left, right
+
+
+def neighbors_within(nodes: DataFrame, radius: float, bound: int = CELL, owned: list[DataFrame] | None = None) -> DataFrame:
+    """(i, j, dx, dy, distance): ordered pairs nearer than the radius. Cells are counted first. A
+    node then meets the cells of half its neighbourhood that have nodes, block by block: an
+    equi-join in which no key has more than about ``bound`` rows a side, however many nodes
+    share a cell. Every pair is met once and then mirrored."""
+    d = nodes.where("x IS NOT NULL AND y IS NOT NULL").select("node_id", "x", "y")
+    cells = written(counted_cells(d, radius, bound), "cells")
+    if owned is not None:
+        owned.append(cells)
+    left, right = meeting_blocks(d, cells, radius)
+    both = left.join(right, MEET).where("i <> j AND (o > 0 OR i < j)")
     dx, dy = F.col("xi") - F.col("xj"), F.col("yi") - F.col("yj")
-    both = left.join(right, ["gx", "gy", "s"]).where("i <> j")
-    both = both.select("i", "j", dx.alias("dx"), dy.alias("dy"), F.sqrt(dx * dx + dy * dy).alias("distance"))
-    return both.where(F.col("distance") < radius)
+    both = both.select("i", "j", dx.alias("dx"), dy.alias("dy"), F.sqrt(dx * dx + dy * dy).alias("distance")).where(F.col("distance") < radius)
+    ways = F.array(F.struct("i", "j", "dx", "dy"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), (-F.col("dx")).alias("dx"), (-F.col("dy")).alias("dy")))
+    return both.select("distance", F.explode(ways).alias("w")).select("w.i", "w.j", "w.dx", "w.dy", "distance")
 
 
 #: Radii and strengths: avoid other families, avoid the own family, pull the own family.

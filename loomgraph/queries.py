@@ -194,6 +194,19 @@ def a2_edge_dates(spark: SparkSession, d: str) -> DataFrame:
     return lists.select("account_id", "hashtag_id", "n_dates", F.array_join(F.transform("dates", lambda x: x.cast("string")), ",").alias("dates"))
 
 
+_PLACED = "row_number() OVER (PARTITION BY {0} ORDER BY {1}) - 1"
+
+
+@query(
+    "SELECT account_id, hashtag_id, p // 2 AS block, count(*) AS n, array_to_string(list(CAST(date AS varchar) ORDER BY date), ',') AS dates FROM "
+    f"(SELECT *, {_PLACED.format('account_id, hashtag_id', 'date')} AS p FROM occ) GROUP BY ALL", "occ",
+)
+def a2_edge_date_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The dates of each edge in blocks: of two, so that edges of these tables have several."""
+    blocks = graph.edge_date_blocks(graph.edge_dates(relation(spark, d, "occ")), 2)
+    return blocks.select("account_id", "hashtag_id", "block", "n", F.array_join(F.transform("dates", lambda x: x.cast("string")), ",").alias("dates"))
+
+
 @query(
     "SELECT 'account' AS kind, account_id AS id, count(*) AS n_edges FROM edges GROUP BY account_id "
     "UNION ALL SELECT 'hashtag', hashtag_id, count(*) FROM edges GROUP BY hashtag_id", "edges",
@@ -458,13 +471,23 @@ def g7_cell_lists(spark: SparkSession, d: str) -> DataFrame:
     return lists.select("cell_id", "n", F.array_join(F.transform("node_ids", lambda x: x.cast("string")), ",").alias("node_ids"))
 
 
+@query(
+    f"+ {CELLS} SELECT cell_id, p // 8 AS block, count(*) AS n, array_to_string(list(node_id ORDER BY node_id), ',') AS node_ids FROM "
+    f"(SELECT *, {_PLACED.format('cell_id', 'node_id')} AS p FROM celled WHERE cell_id IS NOT NULL) GROUP BY ALL", "points",
+)
+def g7_cell_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The nodes of each cell in blocks: of eight, so that cells of these tables have several."""
+    blocks = spatial.cell_blocks(spatial.with_cell(relation(spark, d, "points"), 0.25), 8)
+    return blocks.select("cell_id", "block", "n", F.array_join(F.transform("node_ids", lambda x: x.cast("string")), ",").alias("node_ids"))
+
+
 PAIRS = """pairs AS (SELECT a.node_id AS i, b.node_id AS j, a.x - b.x AS dx, a.y - b.y AS dy, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS distance, a.family AS fi, b.family AS fj
   FROM points a JOIN points b ON a.node_id <> b.node_id AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) < 0.05)"""
 
 
 @query(f"+ {PAIRS} SELECT i, j, round(distance, 6) AS distance FROM pairs", "points")
 def g8_neighbors_within(spark: SparkSession, d: str) -> DataFrame:
-    return spatial.neighbors_within(relation(spark, d, "points"), 0.05, salts=4).select("i", "j", F.round("distance", 6).alias("distance"))
+    return spatial.neighbors_within(relation(spark, d, "points"), 0.05).select("i", "j", F.round("distance", 6).alias("distance"))
 
 
 FAMILY = {"diff_radius": 0.05, "same_radius": 0.02, "pull_radius": 0.04}
