@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import _slices, byte_symbols
+from .bpe import byte_symbols
 from .common import few, materialize, shared_dir
 
 END_ID = 1
@@ -54,13 +54,33 @@ BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "
 _L, _N = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼-¾"
 PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\s{_L}{_N}]+")
 #: What keeps a run between spaces from being split that way, and what the two kinds of white space differ in.
-BEYOND, SEPARATORS = re.compile("[^\0-įı-ſ]"), re.compile("[\x1c-\x1f]")
-#: Runs that the cache of a worker holds at most, and their length.
-CACHE_WORDS, CACHE_CHARS = 400_000, 48
+BEYOND, SEPARATORS = re.compile("[^\0-įı-ſ]"), "\x1c\x1d\x1e\x1f"
+#: Runs and pieces that a worker's caches hold twice over at most, and their length.
+CACHE_WORDS, CACHE_CHARS = 200_000, 40
 
 
-class Words(dict):
-    """Ids, as bytes, of runs of text between white space, which no token crosses."""
+class Recent(dict):
+    """Values made once for recent keys: a full cache becomes the old one, which is asked before
+    a value is made again, so that frequent keys stay."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(key) <= CACHE_CHARS:
+            if len(self) >= CACHE_WORDS:
+                self.old = dict(self)
+                self.clear()
+            self[key] = found
+        return found
+
+
+class Words:
+    """Ids, as bytes, of texts by their runs between white space, which no token crosses."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -76,37 +96,34 @@ class Words(dict):
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.tokenize = self.library.model.tokenize
         self.symbols = dict(enumerate(byte_symbols()))
-        self.kind = "<u2" if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
-        self.pieces: dict[str, list[int]] = {}
+        self.wide = self.library.get_vocab_size(with_added_tokens=True) > 1 << 16
+        self.kind, self.code = ("<u4", "I") if self.wide else ("<u2", "H")
+        self.runs, self.pieces = Recent(self.run), Recent(self.piece)
+
+    def raw(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
+        return self.raw(self.library.encode(text, add_special_tokens=False).ids)
 
-    def piece(self, text: str) -> list[int]:
-        found = self.pieces.get(text)
-        if found is None:
-            found = [t.id for t in self.tokenize(text.encode().decode("latin-1").translate(self.symbols))]
-            if len(text) <= CACHE_CHARS:
-                if len(self.pieces) >= CACHE_WORDS:
-                    self.pieces.clear()
-                self.pieces[text] = found
-        return found
+    def piece(self, text: str) -> bytes:
+        """A letter run, digit or symbol run, below U+0180 and in lower case."""
+        text = text if text.isascii() and text.isprintable() else text.encode().decode("latin-1").translate(self.symbols)
+        return self.raw([t.id for t in self.tokenize(text)])
 
-    def __missing__(self, run: str) -> bytes:
-        if BEYOND.search(run) or any(s in run for s in self.special):
-            found = self.whole(run)
-        else:
-            found = np.array([i for p in PIECES.findall(run.lower()) for i in self.piece(p)], dtype=self.kind).tobytes()
-        if len(run) <= CACHE_CHARS:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[run] = found
-        return found
+    def run(self, text: str) -> bytes:
+        if not text.isascii() and BEYOND.search(text) or any(s in text for s in self.special):
+            return self.whole(text)
+        if text.isalpha():
+            return self.pieces[text.lower()]
+        return b"".join(map(self.pieces.__getitem__, PIECES.findall(text.lower())))
 
     def encode(self, text: str) -> bytes:
-        if not self.plain or SEPARATORS.search(text):
+        if not self.plain or any(c in text for c in SEPARATORS):
             return self.whole(text)
-        return b"".join(map(self.__getitem__, text.split()))
+        if text.isascii() and "<|" not in text:
+            text = text.lower()
+        return b"".join(map(self.runs.__getitem__, text.split()))
 
 
 _LOADED: dict[str, Words] = {}
@@ -119,25 +136,43 @@ def words(path: str) -> Words:
     return _LOADED[path]
 
 
-def encode_documents(docs: DataFrame, path: str, end_id: int | None = END_ID) -> DataFrame:
-    """(doc_id, hash, wide, ids): ids of every text as the library gives them without special tokens, then
-    ``end_id``, as little-endian integers of two bytes, or four if ``wide``. hash tells texts apart."""
+def encode_documents(docs: DataFrame, path: str, end_id: int | None = END_ID, ranges: tuple[int, np.ndarray] | None = None) -> DataFrame:
+    """(doc_id, hash, wide, range, ids): ids of every text as the library gives them without special
+    tokens, then ``end_id``, as little-endian integers of two bytes, or four if ``wide``. hash
+    tells texts apart; range is the document's place among ``ranges``, as _ranges gives them."""
     kind = docs.schema["doc_id"].dataType
     if not isinstance(kind, T.IntegralType):
         raise TypeError("token files number documents: doc_id must be an integer")
+    nulls, bounds = ranges or (0, np.empty(0, dtype=np.int64))
+    shared = docs.sparkSession.sparkContext.broadcast(bounds)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), "text")
 
+    def place(doc_ids: pa.Array, hashes: pa.Array) -> np.ndarray:
+        known, ids, limits = doc_ids.is_valid().to_numpy(zero_copy_only=False), doc_ids.fill_null(0).to_numpy(), shared.value
+        first, after = np.searchsorted(limits, ids, side="left"), np.searchsorted(limits, ids, side="right")
+        share = np.where(known, np.maximum(after - first, 1), max(nulls, 1))
+        part = (hashes.to_numpy().astype(np.float64) + 2.0**63) / 2.0**64
+        step = np.minimum((part * share).astype(np.int64), share - 1)
+        return np.where(known, nulls + first + step, step).astype(np.int32)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = words(path)
-        last = b"" if end_id is None else int(end_id).to_bytes(np.dtype(known.kind).itemsize, "little")
+        last = b"" if end_id is None else known.raw([end_id])
         for batch in batches:
-            for start, texts in _slices(batch.column(2).to_pylist()):
-                n = len(texts)
-                ids = pa.array([known.encode(t) + last for t in texts], pa.binary())
-                wide = pa.array([known.kind == "<u4"] * n)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, n), batch.column(1).slice(start, n), wide, ids], names=["doc_id", "hash", "wide", "ids"])
-
-    return d.mapInArrow(run, "doc_id bigint, hash bigint, wide boolean, ids binary")
+            to = place(batch.column(0), batch.column(1))
+            at, n = 0, batch.num_rows
+            while at < n:  # some MB of text at a time
+                chars, out, begin = 0, [], at
+                while at < n and chars < 4_000_000:
+                    text = batch.column(2)[at].as_py() or ""
+                    out.append(known.encode(text) + last)
+                    chars += len(text)
+                    at += 1
+                part = [c.slice(begin, at - begin) for c in batch.columns[:2]]
+                columns = [*part, pa.array([known.wide] * (at - begin)), pa.array(to[begin:at]), pa.array(out, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "hash", "wide", "range", "ids"])
+
+    return d.mapInArrow(run, "doc_id bigint, hash bigint, wide boolean, range int, ids binary")
 
 
 # --- the file format ---
@@ -153,21 +188,26 @@ def _pack(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def _unpack(packed: np.ndarray, width: int, n: int) -> np.ndarray:
+    """The first ``n`` values of each row of bytes."""
     if not width:
         return np.zeros((len(packed), n), dtype=np.uint32)
-    to = "<u2" if width <= 16 else "<u4"
-    bits = np.unpackbits(packed, axis=1, count=n * width, bitorder="little").reshape(len(packed), n, width)
-    full = np.zeros((len(packed), n, 8 * np.dtype(to).itemsize), dtype=np.uint8)
-    full[:, :, :width] = bits
-    return np.packbits(full, axis=2, bitorder="little").reshape(len(packed), -1).view(to).astype(np.uint32)
+    kind, reach = (np.uint32, 3) if width <= 16 else (np.uint64, 5)
+    at = np.arange(n) * width
+    padded = np.pad(packed, ((0, 0), (0, reach)))
+    out = np.zeros((len(packed), n), dtype=kind)
+    for k in range(reach):
+        out |= padded[:, (at >> 3) + k].astype(kind) << kind(8 * k)
+    return (out >> (at & 7).astype(kind) & kind((1 << width) - 1)).astype(np.uint32)
 
 
-BLOCK_HEAD = np.dtype([("least", "<u4"), ("width", "u1"), ("exceptions", "<u2")])
+BLOCK_HEAD = np.dtype([("least", "<u4"), ("width", "u1"), ("each", "u1"), ("exceptions", "<u2")])
 
 
 def pack_blocks(ids: np.ndarray, block: int = BLOCK, share: float = SHARE) -> tuple[bytes, np.ndarray]:
-    """(bytes of the blocks, starts of each and the end) of unsigned 32-bit integers. A block:
-    minimum, width, number of exceptions, packed values, places and values of exceptions."""
+    """(bytes of the blocks, starts of each and the end) of unsigned 32-bit integers. A block: head
+    (minimum, width, bytes of an exception's value, number of exceptions), the low bits of all
+    values, then its exceptions: how many values each passes over, a byte each, and what each
+    has beyond the width. An exception stands at least in every 256th place, if there are any."""
     n = len(ids)
     count = -(-n // block)
     out: list[bytes] = []
@@ -177,19 +217,27 @@ def pack_blocks(ids: np.ndarray, block: int = BLOCK, share: float = SHARE) -> tu
         full = np.pad(part, (0, rows * block - len(part)), mode="edge").reshape(rows, block)
         least = full.min(axis=1)
         rest = full - least[:, None]
-        bits = np.frexp(rest.astype(np.float64))[1].astype(np.uint8)
+        bits = np.frexp(rest.astype(np.float32 if rest.max() < 1 << 24 else np.float64))[1].astype(np.uint8)
         at = max(0, math.ceil(share * block) - 1)
         width = np.partition(bits, at, axis=1)[:, at]
+        each = np.array([0, 1, 2, 4, 4], dtype=np.uint8)[-(-(bits.max(axis=1) - width).astype(np.int64) // 8)]
         outside = bits > width[:, None]
-        pieces: list[bytes] = [b""] * rows
+        outside[:, 255::255] |= outside.any(axis=1)[:, None]
+        row, place = np.nonzero(outside)
+        gap = place - 1 - np.where(np.append(True, row[1:] != row[:-1])[: len(row)], -1, np.roll(place, 1))
+        gap, high = gap.astype(np.uint8), rest[row, place] >> width[row].astype(np.uint32)
+        ends = np.searchsorted(row, np.arange(rows + 1))
+        low: list[bytes] = [b""] * rows
         for w in np.unique(width):
             of = np.flatnonzero(width == w)
-            for k, raw in zip(of, _pack(np.where(outside[of], 0, rest[of]), int(w)), strict=True):
-                pieces[k] = raw.tobytes()
+            for k, raw in zip(of, _pack(rest[of] & np.uint32((1 << int(w)) - 1), int(w)), strict=True):
+                low[k] = raw.tobytes()
+        heads = np.empty(rows, dtype=BLOCK_HEAD)
+        heads["least"], heads["width"], heads["each"], heads["exceptions"] = least, width, each, np.diff(ends)
+        kept = {e: high.astype(f"<u{e}") for e in np.unique(each).tolist() if e}
         for k in range(rows):
-            places = np.flatnonzero(outside[k])
-            head = np.array((least[k], width[k], len(places)), dtype=BLOCK_HEAD).tobytes()
-            out.append(head + pieces[k] + places.astype("<u2").tobytes() + rest[k, places].astype("<u4").tobytes())
+            more = slice(ends[k], ends[k + 1])
+            out.append(heads[k].tobytes() + low[k] + (gap[more].tobytes() + kept[int(each[k])][more].tobytes() if each[k] else b""))
     starts = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype("<u8")
     return b"".join(out), starts
 
@@ -198,18 +246,29 @@ def unpack_blocks(data: bytes | memoryview, starts: np.ndarray, block: int) -> n
     """The ids of the blocks that begin at ``starts``, the last of which is their end."""
     raw, rows = np.frombuffer(data, dtype=np.uint8), len(starts) - 1
     out = np.empty((rows, block), dtype=np.uint32)
+    begins = starts[:-1].astype(np.int64)
     size = BLOCK_HEAD.itemsize
-    heads = raw[starts[:-1, None].astype(np.int64) + np.arange(size)].copy().view(BLOCK_HEAD)[:, 0] if rows else np.empty(0, BLOCK_HEAD)
+    heads = raw[begins[:, None] + np.arange(size)].copy().view(BLOCK_HEAD)[:, 0] if rows else np.empty(0, BLOCK_HEAD)
     for w in np.unique(heads["width"]):
         for some in np.array_split(of := np.flatnonzero(heads["width"] == w), -(-len(of) // 128)):
-            bytes_ = -(-block * int(w) // 8)
-            packed = raw[starts[some, None].astype(np.int64) + size + np.arange(bytes_)]
+            packed = raw[begins[some, None] + size + np.arange(-(-block * int(w) // 8))]
             out[some] = _unpack(packed, int(w), block)
-    for k in np.flatnonzero(heads["exceptions"]):
-        n = int(heads["exceptions"][k])
-        at = int(starts[k + 1]) - 6 * n
-        places = np.frombuffer(data, dtype="<u2", count=n, offset=at)
-        out[k, places] = np.frombuffer(data, dtype="<u4", count=n, offset=at + 2 * n)
+    after = begins + size + -(-block * heads["width"].astype(np.int64) // 8)
+    for each in np.unique(heads["each"]):
+        of = np.flatnonzero((heads["each"] == each) & (heads["exceptions"] > 0))
+        n = heads["exceptions"][of].astype(np.int64)
+        if not len(of) or not each:
+            continue
+        first = np.cumsum(n) - n
+        order = np.arange(n.sum()) - np.repeat(first, n)
+        passed = np.cumsum(raw[np.repeat(after[of], n) + order].astype(np.int64) + 1)
+        place = passed - np.repeat(np.concatenate([[0], passed[first[1:] - 1]]), n) - 1
+        at = np.repeat(after[of] + n, n) + order * int(each)
+        high = np.zeros(len(at), dtype=np.uint32)
+        for k in range(int(each)):
+            high |= raw[at + k].astype(np.uint32) << np.uint32(8 * k)
+        row = np.repeat(of, n)
+        out[row, place] |= high << heads["width"][row].astype(np.uint32)
     out += heads["least"][:, None]
     return out.reshape(-1)
 
@@ -272,24 +331,9 @@ def _ranges(docs: DataFrame, range_bytes: int) -> tuple[int, np.ndarray]:
     return nulls, np.array(bounds, dtype=np.int64)
 
 
-def in_ranges(encoded: DataFrame, nulls: int, bounds: np.ndarray) -> DataFrame:
-    """Encoded documents dealt to their ranges, one partition each, and sorted there."""
-    shared = encoded.sparkSession.sparkContext.broadcast(bounds)
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        limits = shared.value
-        for batch in batches:
-            known = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
-            ids = batch.column("doc_id").fill_null(0).to_numpy()
-            part = (batch.column("hash").to_numpy().astype(np.float64) + 2.0**63) / 2.0**64
-            first, after = np.searchsorted(limits, ids, side="left"), np.searchsorted(limits, ids, side="right")
-            share = np.where(known, np.maximum(after - first, 1), nulls)
-            step = np.minimum((part * share).astype(np.int64), share - 1)
-            to = np.where(known, nulls + first + step, step)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(to.astype(np.int32))], names=[*batch.schema.names, "range"])
-
-    d = encoded.mapInArrow(place, T.StructType([*encoded.schema.fields, T.StructField("range", T.IntegerType())]))
-    return d.repartitionById(nulls + len(bounds) + 1, F.col("range")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "hash")
+def in_ranges(encoded: DataFrame, parts: int) -> DataFrame:
+    """Encoded documents in the partition of their range, and sorted there."""
+    return encoded.repartitionById(parts, F.col("range")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "hash")
 
 
 def new_folder(spark: SparkSession) -> str:
@@ -299,7 +343,8 @@ def new_folder(spark: SparkSession) -> str:
 def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int | None = END_ID, file_ids: int = FILE_IDS, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Write every document's ids into files in ``folder``, in ascending doc_id order; return the
     manifest (range, name, start, n_docs, n_ids, n_bytes), a written table."""
-    placed = in_ranges(encode_documents(docs, path, end_id), *_ranges(docs, range_bytes))
+    nulls, bounds = _ranges(docs, range_bytes)
+    placed = in_ranges(encode_documents(docs, path, end_id, (nulls, bounds)), nulls + len(bounds) + 1)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = pafs.FileSystem.from_uri(folder)
