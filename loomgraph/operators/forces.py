@@ -25,12 +25,16 @@ class Speed:
     max_jitter: float = 10.0
 
 
-def attraction(nodes: DataFrame, adj: DataFrame, strength: float = 1.0, power: float = 1.0) -> DataFrame:
+def attraction(nodes: DataFrame, adj: DataFrame, strength: float = 1.0, power: float = 1.0, there: DataFrame | None = None) -> DataFrame:
     """(node_id, fx, fy): weighted pull of the neighbours. Sums of w, w x and w y over
-    neighbours need one join on dst and partial sums, then one join on the node itself."""
+    neighbours need one join on dst and partial sums, then one join on the node itself.
+    ``there``: the nodes as (dst, part, x, y), bucketed like edges that were laid out; then
+    only the partial sums move."""
     w = F.pow(F.col("weight").cast("double"), F.lit(power)) if power != 1 else F.col("weight").cast("double")
-    there = nodes.select(F.col("node_id").alias("dst"), F.col("x").alias("_x"), F.col("y").alias("_y"))
-    sums = adj.select("src", "dst", w.alias("_w")).join(there, "dst").groupBy("src").agg(
+    on = ["dst"] if there is None else ["dst", "part"]
+    there = nodes.withColumnRenamed("node_id", "dst") if there is None else there
+    there = there.select(*on, F.col("x").alias("_x"), F.col("y").alias("_y"))
+    sums = adj.select("src", *on, w.alias("_w")).join(there, on).groupBy("src").agg(
         F.sum(F.col("_w") * F.col("_x")).alias("_wx"), F.sum(F.col("_w") * F.col("_y")).alias("_wy"), F.sum("_w").alias("_w")
     )
     d = nodes.select("node_id", "x", "y").join(sums, F.col("node_id") == F.col("src"), "left")

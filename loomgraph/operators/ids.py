@@ -52,3 +52,16 @@ def with_dense_id(df: DataFrame, order: list[str], name: str) -> DataFrame:
     place = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
     d = d.withColumns({"_p": F.shiftright("_id", 33), "_c": place}).drop("_id")
     return _added(written(d, "ranged"), name)
+
+
+def extend_ids(known: DataFrame, batch: DataFrame, key: str, name: str, order: list[str]) -> DataFrame:
+    """(key, ``name``): the ids ``known`` and, after its largest, ids of the keys that are new in
+    ``batch``, in the order of their first rows by ``order``. Ids never change, and are as if
+    all batches had been numbered as one in their order. Null keys get none. Only new keys
+    are sorted; ``known`` is hashed once for the anti-join, or not at all if it is small."""
+    known = known.select(key, name)
+    seen = batch.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*order)).alias("_first"))
+    fresh = seen.join(known, key, "left_anti").select(key, *[F.col(f"_first.{c}").alias(f"_o{k}") for k, c in enumerate(order)])
+    start = known.agg(F.max(name)).first()[0]
+    numbered = with_dense_id(fresh, [*[f"_o{k}" for k in range(len(order))], key], "_new")
+    return known.union(numbered.select(key, (F.col("_new") + F.lit(0 if start is None else start + 1)).cast(known.schema[name].dataType).alias(name)))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators.approx import THETA, repulsion_approx
 from ..operators.forces import Speed, attraction, gravity, next_speed, repulsion_exact, swing_traction, total_force, update_nodes
 from ..sources.shared import discard, written
+from .adjacency import LaidOut, lay_out
 
 
 @dataclass(frozen=True)
@@ -23,15 +24,17 @@ class LayoutParams:
     theta: float = THETA
 
 
-def layout_step(nodes: DataFrame, adj: DataFrame, params: LayoutParams, state: Speed, repulsion: str = "exact") -> tuple[DataFrame, Speed, dict]:
-    """One step. The forces are written once; one row of sums reaches the driver."""
+def layout_step(nodes: DataFrame, adj: DataFrame | LaidOut, params: LayoutParams, state: Speed, repulsion: str = "exact") -> tuple[DataFrame, Speed, dict]:
+    """One step. The forces are written once; one row of sums reaches the driver. Edges that
+    were laid out stay where they are."""
     push = (
         repulsion_exact(nodes, params.repulsion, params.soft)
         if repulsion == "exact"
         else repulsion_approx(nodes, params.repulsion, params.soft, params.theta)
     )
+    edges, there = (adj.edges, adj.placed(nodes)) if isinstance(adj, LaidOut) else (adj, None)
     forces = total_force(
-        attraction(nodes, adj, params.attraction, params.weight_power), gravity(nodes, params.gravity, params.strong_gravity), push
+        attraction(nodes, edges, params.attraction, params.weight_power, there), gravity(nodes, params.gravity, params.strong_gravity), push
     )
     forced = written(nodes.join(forces, "node_id", "left").fillna(0.0, ["fx", "fy"]), "layout-forces")
     row = swing_traction(forced).first()
@@ -46,12 +49,12 @@ def layout(nodes: DataFrame, adj: DataFrame, iterations: int, params: LayoutPara
     controller. ``adj`` holds every edge in both directions."""
     params, state = params or LayoutParams(), state or Speed()
     nodes = written(nodes.withColumns({"fx_prev": F.lit(0.0), "fy_prev": F.lit(0.0)}), "layout-nodes")
-    adj = written(adj, "layout-adj")
+    laid = lay_out(adj)
     history = []
     for k in range(iterations):
         before = nodes
-        nodes, state, row = layout_step(nodes, adj, params, state, repulsion)
+        nodes, state, row = layout_step(nodes, laid, params, state, repulsion)
         discard(before)
         history.append({"iteration": k, **row})
-    discard(adj)
+    laid.drop()
     return nodes, history

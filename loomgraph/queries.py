@@ -12,7 +12,7 @@ from .operators import approx, checks, forces, generate, graph, ids, spatial, st
 from .plans.ingest import build_graph
 from .plans.layout import LayoutParams, layout, layout_step
 from .schemas import ACCOUNTS_CSV, POSTS_CSV
-from .sources import files
+from .sources import files, graphs
 from .sources.shared import new_path, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,8 +103,8 @@ gedges AS (SELECT account_id, hashtag_id, count(*) AS weight, count(*) AS n_date
 def s6_s7_graph_tables(spark: SparkSession, d: str) -> DataFrame:
     """The graph from posts, written and read back: its edges."""
     path = new_path(spark, "graph")
-    files.write_graph(_graph(spark, d), path)
-    return files.read_graph(spark, path).edges.select("account_id", "hashtag_id", "weight", "n_dates")
+    graphs.write_graph(_graph(spark, d), path)
+    return graphs.read_graph(spark, path, digests=True).edges.select("account_id", "hashtag_id", "weight", "n_dates")
 
 
 # --- keys and joins ---
@@ -127,6 +127,19 @@ def j3_dense_id(spark: SparkSession, d: str) -> DataFrame:
     return ids.with_dense_id(rows, ["l_orderkey", "l_linenumber"], "row_id")
 
 
+@query(
+    "SELECT tag, row_number() OVER (ORDER BY first_at, tag) - 1 AS tag_id FROM (SELECT l_partkey AS tag, min((l_orderkey, l_linenumber)) AS first_at FROM lineitem GROUP BY l_partkey)"
+)
+def j3_stable_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Parts numbered in the order in which two batches of orders bring them: as if in one."""
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_partkey").alias("tag"), "l_orderkey", "l_linenumber")
+    half = rows.agg(F.max("l_orderkey")).first()[0] / 2
+    known = spark.createDataFrame([], "tag bigint, tag_id bigint")
+    for batch in (rows.where(F.col("l_orderkey") < half), rows.where(F.col("l_orderkey") >= half)):
+        known = written(ids.extend_ids(known, batch, "tag", "tag_id", ["l_orderkey", "l_linenumber"]), "stable-ids")
+    return known
+
+
 @query(f"+ {GRAPH} SELECT account_id, hashtag, CAST(date AS varchar) AS date FROM tags JOIN ids USING (name)", "posts accounts")
 def j4_resolve_accounts(spark: SparkSession, d: str) -> DataFrame:
     found = graph.resolve_accounts(graph.explode_hashtags(relation(spark, d, "posts")), graph.account_dictionary(relation(spark, d, "accounts")))

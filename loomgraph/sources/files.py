@@ -36,21 +36,3 @@ def read_posts(spark: SparkSession, path: str) -> DataFrame:
     """(name, date, hashtags)."""
     d = _csv(spark, path, POSTS_CSV)
     return d.select(F.col("user_display_name").alias("name"), post_date(F.col("tweet_time")).alias("date"), "hashtags")
-
-
-TABLES = ("accounts", "hashtags", "edges", "edge_dates")
-
-
-def write_graph(graph, path: str) -> None:
-    """One Parquet table for each part of the graph, and its counts."""
-    from ..operators.graph import graph_summary
-
-    for name in TABLES:
-        getattr(graph, name).write.parquet(f"{path}/{name}")
-    graph_summary(graph).write.parquet(f"{path}/summary")
-
-
-def read_graph(spark: SparkSession, path: str):
-    from ..operators.graph import Graph
-
-    return Graph(**{name: spark.read.parquet(f"{path}/{name}") for name in TABLES})

@@ -36,10 +36,20 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def store(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path, as JVM objects."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, jpath = store(spark, path)
+    fs.delete(jpath, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete written tables that no later plan reads."""
     for df in tables:
         path = getattr(df, "_written_path", None)
         if path is not None:
-            jpath = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            jpath.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(jpath, True)
+            delete(df.sparkSession, path)

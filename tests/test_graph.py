@@ -10,7 +10,7 @@ from loomgraph.operators import approx, checks, forces, generate, graph, ids, sp
 from loomgraph.operators.forces import Speed, next_speed
 from loomgraph.plans.ingest import build_graph
 from loomgraph.plans.layout import LayoutParams, layout
-from loomgraph.sources import files
+from loomgraph.sources import files, graphs
 
 
 def test_csv_edge_cases(spark, tmp_path):
@@ -34,8 +34,8 @@ def test_build_graph(spark, tmp_path):
     posts = spark.createDataFrame([("a", day, "[x, x]"), ("b", day, "[x, y]"), ("a", day, "[]")], "name string, date date, hashtags string")
     g = build_graph(accounts, posts)
     assert {tuple(r) for r in g.edges.collect()} == {(0, 0, 2, 2), (2, 0, 1, 1), (2, 1, 1, 1)}
-    files.write_graph(g, str(tmp_path / "g"))
-    back = files.read_graph(spark, str(tmp_path / "g"))
+    graphs.write_graph(g, str(tmp_path / "g"))
+    back = graphs.read_graph(spark, str(tmp_path / "g"))
     assert tuple(graph.graph_summary(back).first()) == (3, 2, 3, 4, 5)
     with pytest.raises(ValueError):
         build_graph(accounts, posts.union(spark.createDataFrame([("zz", day, "[x]")], posts.schema)))
