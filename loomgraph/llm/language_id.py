@@ -11,7 +11,9 @@ Training uses a bounded sample: at most ``sample_docs`` ids, and of those at mos
 many rows, chosen so that languages come out about equally often; at most ``sample_words``
 words of each, in segments from all over the text, are drawn where the row is and reach the
 driver. The ``MAX_LABELS`` most frequent languages are learned; the more there are, the
-smaller the table of features, so the model's size has a bound. Segments of different
+smaller the table of features, so the weights have a bound, and no array of training or
+prediction has more numbers than words at hand times labels. Very long texts are read in
+blocks. Segments of different
 languages are spliced, because single documents never show a switch. Prediction reads every
 whole text.
 
@@ -45,6 +47,9 @@ WORD_CHARS = 24
 CACHE_WORDS = 500_000
 #: Numbers in one array of forward-backward: words times labels.
 CHUNK = 1_600_000
+#: The same for one text, beyond which it is read in blocks; labels whose products of matrices
+#: are worth their memory; and numbers in a worker's cache of scores.
+LONG, FEW_LABELS, CACHED = 8 * CHUNK, 16, 1 << 24
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]{0,%d}" % (WORD_CHARS - 1))
 #: The same for texts below U+0250, where its classes are a short list of ranges.
 _LATIN = re.compile("[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]{1,%d}" % WORD_CHARS)
@@ -106,17 +111,16 @@ class Crf:
 
     def emissions(self, words: list[str]) -> np.ndarray:
         out = np.empty((len(words), len(self.labels)), dtype=np.float32)
-        for k in range(0, len(words), 20_000):
-            part = words[k : k + 20_000]
+        step = max(64, min(20_000, CHUNK // 4 // max(1, len(self.labels))))
+        for k in range(0, len(words), step):
+            part = words[k : k + step]
             out[k : k + len(part)] = self.weights[features(part, len(self.weights) - 1)].sum(axis=1)
         return out
 
 
-def forward_backward(scores: np.ndarray, sizes: np.ndarray, transitions: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Posteriors of all words of many sequences, and sums of pair posteriors.
-
-    ``scores`` holds the sequences one after another, ``sizes`` their lengths. Steps run
-    over all sequences that are long enough at once."""
+def messages(scores: np.ndarray, sizes: np.ndarray, transitions: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Forward and backward messages of all sequences side by side, scaled emissions and transitions.
+    No array has more numbers than words times labels."""
     k = scores.shape[1]
     offsets = np.cumsum(sizes) - sizes
     order = np.argsort(-sizes, kind="stable")
@@ -141,14 +145,50 @@ def forward_backward(scores: np.ndarray, sizes: np.ndarray, transitions: np.ndar
         b = (e[at] * b) @ t.T
         b /= b.sum(axis=1, keepdims=True)
         beta[at - 1] = b
-    posterior = alpha * beta
-    posterior /= posterior.sum(axis=1, keepdims=True)
+    return alpha, beta, e, t
+
+
+def forward_backward(scores: np.ndarray, sizes: np.ndarray, transitions: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Posteriors of each word's label, and the expected number of each pair of neighbouring labels.
+    The pairs are one product of matrices, scaled by each border's sum."""
+    alpha, beta, e, t = messages(scores, sizes, transitions, start)
     inner = np.ones(len(e), dtype=bool)
     inner[np.cumsum(sizes)[sizes > 0] - 1] = False
     i = np.flatnonzero(inner)
-    pair = alpha[i][:, :, None] * t[None] * (e[i + 1] * beta[i + 1])[:, None, :]
-    pair /= pair.sum(axis=(1, 2), keepdims=True)
-    return posterior, pair.sum(axis=0)
+    after = e[i + 1] * beta[i + 1]
+    total = ((alpha[i] @ t) * after).sum(axis=1, keepdims=True)
+    return _unit(alpha * beta), t * ((alpha[i] / total).T @ after)
+
+
+def long_posteriors(score_of, n: int, transitions: np.ndarray, start: np.ndarray, block: int) -> Iterator[np.ndarray]:
+    """Posteriors of one sequence of ``n`` words, in blocks from the last to the first; ``score_of``
+    gives the scores of words lo .. hi - 1. Only the messages into each block are kept, and
+    within a block they are made again, so memory holds a block and n / block messages."""
+    t = np.exp(transitions).astype(np.float64)
+
+    def emissions(lo: int) -> np.ndarray:
+        x = score_of(lo, min(lo + block, n))
+        return np.exp(x - x.max(axis=1, keepdims=True)).astype(np.float64)
+
+    def forward(e: np.ndarray, a: np.ndarray) -> np.ndarray:
+        out = np.empty_like(e)
+        for k in range(len(e)):
+            a = _unit(a * e[k])
+            out[k] = a
+            a = a @ t
+        return out
+
+    enter = [np.exp(start).astype(np.float64)]
+    for lo in range(0, n - block, block):
+        enter.append(forward(emissions(lo), enter[-1])[-1] @ t)
+    b = np.ones(len(start))
+    for lo in range((len(enter) - 1) * block, -1, -block):
+        e = emissions(lo)
+        alpha = forward(e, enter[lo // block])
+        for k in range(len(e) - 1, -1, -1):
+            alpha[k] *= b
+            b = _unit((e[k] * b) @ t.T)
+        yield _unit(alpha)
 
 
 def forward_backward_posterior(scores: np.ndarray, sizes: np.ndarray, transitions: np.ndarray, start: np.ndarray, block: int = 256) -> np.ndarray:
@@ -156,6 +196,9 @@ def forward_backward_posterior(scores: np.ndarray, sizes: np.ndarray, transition
     is cut into blocks, the product of a block's step matrices carries the messages
     across it, and all blocks of all sequences run side by side. It is exact."""
     k = scores.shape[1]
+    if k > FEW_LABELS:
+        alpha, beta, _, _ = messages(scores, sizes, transitions, start)
+        return _unit(alpha * beta)
     e = np.exp(scores - scores.max(axis=1, keepdims=True)).astype(np.float64)
     t, first = np.exp(transitions).astype(np.float64), np.exp(start).astype(np.float64)
     # Blocks: rows (begin, length), in order; begins of sequences are marked.
@@ -333,7 +376,7 @@ class Predictor:
         self.scores = np.empty((0, len(crf.labels)), dtype=np.float32)
 
     def lookup(self, words: list[str]) -> np.ndarray:
-        if len(self.ids) > CACHE_WORDS:
+        if len(self.ids) > min(CACHE_WORDS, CACHED // len(self.crf.labels)):
             self.ids.clear()
             self.scores = self.scores[:0]
         if new := [w for w in set(words) if w not in self.ids]:
@@ -364,7 +407,9 @@ class Predictor:
 
         for k, t in enumerate(texts):
             w = words_of(t)
-            if w:
+            if len(w) * len(self.crf.labels) > LONG:
+                out[k] = self.predict_long(w)
+            elif w:
                 words += w
                 sizes.append(len(w))
                 where.append(k)
@@ -373,6 +418,12 @@ class Predictor:
         flush()
         return out
 
+    def predict_long(self, words: list[str]) -> tuple[str, float]:
+        k = len(self.crf.labels)
+        score_of = lambda lo, hi: self.lookup(words[lo:hi])
+        mean = sum(p.sum(axis=0) for p in long_posteriors(score_of, len(words), self.crf.transitions, self.crf.start, max(1, CHUNK // k))) / len(words)
+        return self.crf.labels[int(mean.argmax())], min(1.0, float(mean.max()))
+
     def label_words(self, text: str | None) -> list[tuple[str, str, float]]:
         """(word, language, posterior) in order: for code-switched text."""
         words = words_of(text)
