@@ -103,19 +103,23 @@ def filter_urls(
 ) -> DataFrame:
     """``pages`` (with ``url``) plus host, path, rule, verdict, maybe_listed, listed.
 
-    ``listed`` has a string column ``canon``; nulls and repeats in it don't matter.
+    ``listed`` has a string column ``canon``; nulls, empty strings and repeats in it don't
+    matter, and a page without a host is on no list. Beyond the broadcast limit both joins
+    shuffle; pages that needn't meet the other side are dealt out evenly then.
     """
-    listed = materialize(listed.select("canon").where(F.col("canon").isNotNull()).distinct(), "urls-listed")
+    listed = materialize(listed.select("canon").where(F.col("canon") != "").distinct(), "urls-listed")
     n = listed.count()
     blocks = max(1, -(-n // keys_per_block))
     bloom = bloom_blocks(listed, blocks)
     # The page travels as one column, so its names meet no computed ones.
     url = F.col("page.url")
     out = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("page"))
-    out = out.select("page", host_of(url).alias("host"), path_of(url).alias("path"), canonical(url).alias("_canon"))
+    spread = F.monotonically_increasing_id() % 4096  # of rows that match nothing, whatever it is
+    out = out.select("page", host_of(url).alias("host"), path_of(url).alias("path"), canonical(url).alias("_canon"), spread.alias("_spread"))
     out = out.withColumn("_best", best_rule(F.col("host"), F.col("path"), rules))
     # Rules come first: only pages that no rule decides need the list.
-    out = out.withColumn("_block", F.when(F.col("_best").isNull(), _block(F.col("_canon"), blocks)))
+    asked = F.col("_best").isNull() & (F.col("host") != "")
+    out = out.withColumn("_block", F.when(asked, _block(F.col("_canon"), blocks)).otherwise(-1 - F.col("_spread")))
     if blocks * BLOCK_BYTES <= broadcast_bytes:
         bloom = F.broadcast(bloom)
     out = out.join(bloom, "_block", "left")
@@ -125,10 +129,11 @@ def filter_urls(
         test = F.col(c).bitwiseAND(lane) == lane
         hit = test if hit is None else hit & test
     out = out.withColumn("maybe_listed", F.coalesce(hit, F.lit(False))).drop("_block", *LANES)
-    # Exact hash join for the possible hits; a null key never meets the list.
-    exact = listed.select(F.col("canon").alias("_key"), F.lit(True).alias("_listed"))
+    # Exact hash join for the possible hits; the other pages have keys that the list hasn't.
+    exact = listed.select(F.col("canon").alias("_key"), F.lit(-1).cast("long").alias("_spread"), F.lit(True).alias("_listed"))
     exact = F.broadcast(exact) if n * 256 <= broadcast_bytes else exact.hint("shuffle_hash")
-    out = out.withColumn("_key", F.when(F.col("maybe_listed"), F.col("_canon"))).join(exact, "_key", "left")
+    hits = {"_key": F.when(F.col("maybe_listed"), F.col("_canon")).otherwise(""), "_spread": F.when(F.col("maybe_listed"), F.lit(-1)).otherwise(F.col("_spread")).cast("long")}
+    out = out.withColumns(hits).join(exact, ["_key", "_spread"], "left")
     found = F.coalesce("_listed", F.lit(False))
     new = {
         "host": F.col("host"), "path": F.col("path"), "maybe_listed": F.col("maybe_listed"), "listed": found, "rule": F.col("_best.rule"),

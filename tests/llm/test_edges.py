@@ -360,3 +360,14 @@ def test_a_long_conversation_is_one_digest(spark):
     assert got[7].n_turns == 4000 and got[7].loss_chars == len(loss) and got[7].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
     assert got[7].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for _, _, r, t in turns).encode()).hexdigest()
     assert got[8].n_turns == 1 and got[8].loss_chars == 0
+
+
+def test_urls_without_a_host_and_empty_keys(spark):
+    long = "http://bad.org/" + "a/" * 100_000
+    urls = [None, "", "no scheme", "http:///x", "http://bad.org/a", "://", long, None, None]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
+    listed = spark.createDataFrame([("",), ("bad.org/a",), (None,), ("/x",)], "canon string").union(pages.where("page_id = 6").select(url_filters.canonical(F.col("url"))))
+    for limit in (32 << 20, 0):
+        got = {r.page_id: (r.verdict, r.listed) for r in url_filters.filter_urls(pages, listed, broadcast_bytes=limit).collect()}
+        assert len(got) == len(urls) and {k for k, v in got.items() if v == ("block", True)} == {4, 6}
+        assert all(v == ("allow", False) for k, v in got.items() if k not in (4, 6))
