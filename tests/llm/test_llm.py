@@ -60,7 +60,7 @@ def test_template_language():
     run = lambda s, **env: "".join(p for p in chat_template.compile_template(s)(env) if isinstance(p, str))
     assert run("a{{ 'b' + 'c' }}{% if x == 'y' %}1{% elif not x %}2{% else %}3{% endif %}", x="y") == "abc1"
     assert run("{% for m in ms %}{{ loop.index }}{{ m.role | upper }}{% endfor %}", ms=iter([{"role": "u"}, {"role": "v"}])) == "0U1V"
-    assert chat_template.parse("{% if 'a' == 'a' %}x{% endif %}y{{ 'z' }}") == [("text", "xyz")] or run("{% if 'a' == 'a' %}x{% endif %}y{{ 'z' }}") == "xyz"
+    assert chat_template.parse("{% if 'a' == 'a' %}x{% endif %}y{{ 'z' }}") == [("text", "xyz")]
     for bad in ("{{ a.__class__ }}", "{{ f(1) }}", "{% if x %}", "{{ x | system }}", "{% include 'x' %}", "{{ }}"):
         with pytest.raises(chat_template.TemplateError):
             chat_template.compile_template(bad)
@@ -374,30 +374,3 @@ def test_quality_edges(spark, sample):
     assert judged[5004].n_repeat_words == 3000 and judged[5003].n_repeat_words == 0
     assert {r.doc_id for r in kept.collect()} == {k for k, r in judged.items() if r.kept}
     assert quality_rules.judge_quality(rows.limit(0)).count() == 0
-
-
-# --- pipeline ---
-
-
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    names = [n for n, _ in corpus_pipeline.STAGES]
-    assert len(names) == 5
-    out = {r.doc_id for r in corpus_pipeline.run(spark, DATA).collect()}
-    # By hand: each stage's brute force on the one before.
-    kept = [(r.doc_id, r.text) for r in quality_rules.apply_quality_rules(docs).select("doc_id", "text").collect()]
-    gone = {tuple(r) for r in line_dedup.repeated_lines(docs_of(spark, kept)).collect()}
-    kept = [(i, "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone)) for i, t in kept]
-    fp = {i: brute_fingerprint(t, 5) for i, t in kept}
-    first = set(components(sorted(fp), lambda a, b: (fp[a] ^ fp[b]).bit_count() <= 4).values())
-    items = [tuple(r) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").select("item_id", "text").collect()]
-    windows = {tuple(w[k : k + 13]) for _, t in items for w in [decontaminate.normal_words(t)] for k in range(max(1, len(w) - 12))}
-    clean = set()
-    for i, t in kept:
-        words = decontaminate.normal_words(t)
-        hit = {k + j for k in range(len(words) - 12) if tuple(words[k : k + 13]) in windows for j in range(13)}
-        if not (hit and 20 * len(hit) >= len(words)):
-            clean.add(i)
-    assert out == first & clean
