@@ -1,29 +1,20 @@
-"""Reading account and post files; writing and reading graph tables."""
+"""Reading account and post files."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import creation_year, post_date
 from ..schemas import ACCOUNTS_CSV, POSTS_CSV
-
-
-def _csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    # Quoted fields hold commas, line breaks and doubled quotes. Multi-line files don't
-    # split, so large inputs should come as many files.
-    return (
-        spark.read.schema(schema).option("header", True).option("multiLine", True)
-        .option("quote", '"').option("escape", '"').csv(path)
-    )
+from .split_csv import read_csv
 
 
 def read_accounts(spark: SparkSession, path: str, places: bool = False) -> DataFrame:
     """(name, followers, year_created); columns that aren't kept aren't parsed. With ``places``
-    also (file, position), the order of the rows: a file isn't split, so positions ascend in it."""
-    d = _csv(spark, path, ACCOUNTS_CSV)
-    order = [F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("position")] if places else []
+    also (file, position), the order of the rows."""
+    d = read_csv(spark, path, ACCOUNTS_CSV)
+    order = [F.col("_file").alias("file"), F.col("_position").alias("position")] if places else []
     return d.select(
         F.col("user_display_name").alias("name"),
         F.expr("try_cast(follower_count AS bigint)").alias("followers"),
@@ -34,5 +25,5 @@ def read_accounts(spark: SparkSession, path: str, places: bool = False) -> DataF
 
 def read_posts(spark: SparkSession, path: str) -> DataFrame:
     """(name, date, hashtags)."""
-    d = _csv(spark, path, POSTS_CSV)
+    d = read_csv(spark, path, POSTS_CSV)
     return d.select(F.col("user_display_name").alias("name"), post_date(F.col("tweet_time")).alias("date"), "hashtags")
