@@ -142,7 +142,7 @@ def read_shingles(x: np.ndarray, ends: np.ndarray, size: int) -> Sets:
 
 
 #: Buckets whose counts are one row, and bytes of text for each bucket of the table.
-_PART, _BYTES = 1 << 16, 40
+_PART, _BYTES = 1 << 16, 80
 
 
 def bucket_count(docs: DataFrame) -> int:
