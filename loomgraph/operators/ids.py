@@ -27,10 +27,18 @@ def _sorted(df: DataFrame, order: list[str]) -> DataFrame:
     return df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
 
-def with_running_sum(df: DataFrame, order: list[str], value: Column, name: str) -> DataFrame:
+def _owned(d: DataFrame, owned: list[DataFrame] | None) -> DataFrame:
+    d = written(d, "ranged")
+    if owned is not None:
+        owned.append(d)
+    return d
+
+
+def with_running_sum(df: DataFrame, order: list[str], value: Column, name: str, owned: list[DataFrame] | None = None) -> DataFrame:
     """``name`` is the sum of ``value`` over the rows before, in the order of the columns
     ``order``, which should tell rows apart. Rows are range-partitioned and sorted once; each
-    partition sums for itself in a stream, and the sums of the partitions before are added."""
+    partition sums for itself in a stream, and the sums of the partitions before are added.
+    The written table behind the result is added to ``owned``, for the caller to discard."""
     d = _sorted(df.withColumn("_v", value.cast("long")), order).withColumn("_p", F.spark_partition_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,16 +50,16 @@ def with_running_sum(df: DataFrame, order: list[str], value: Column, name: str)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ends - v)], names=[*b.schema.names, "_c"])
 
     d = d.mapInArrow(run, T.StructType([*d.schema.fields, T.StructField("_c", T.LongType())]))
-    return _added(written(d, "ranged"), name)
+    return _added(_owned(d, owned), name)
 
 
-def with_dense_id(df: DataFrame, order: list[str], name: str) -> DataFrame:
+def with_dense_id(df: DataFrame, order: list[str], name: str, owned: list[DataFrame] | None = None) -> DataFrame:
     """Ids 0 .. n-1 in the order of the columns ``order``. Within a sorted partition the low bits
     of Spark's increasing ids are the place, so rows are numbered before they are written."""
     d = _sorted(df.withColumn("_v", F.lit(1).cast("long")), order).withColumn("_id", F.monotonically_increasing_id())
     place = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
     d = d.withColumns({"_p": F.shiftright("_id", 33), "_c": place}).drop("_id")
-    return _added(written(d, "ranged"), name)
+    return _added(_owned(d, owned), name)
 
 
 def extend_ids(known: DataFrame, batch: DataFrame, key: str, name: str, order: list[str]) -> DataFrame:

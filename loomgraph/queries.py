@@ -12,7 +12,7 @@ from .operators import approx, checks, forces, generate, graph, ids, spatial, st
 from .plans.ingest import build_graph
 from .plans.layout import LayoutParams, layout, layout_step
 from .schemas import ACCOUNTS_CSV, POSTS_CSV
-from .sources import files, graphs
+from .sources import edge_array, files, graphs
 from .sources.shared import new_path, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -269,6 +269,14 @@ def a7_swing_traction(spark: SparkSession, d: str) -> DataFrame:
     return forces.swing_traction(_moving(spark, d)).select(F.round("swing", 2).alias("swing"), F.round("traction", 4).alias("traction"), "n")
 
 
+@query(f"+ {ADJ} SELECT src, dst, weight, row_number() OVER (ORDER BY src, dst) - 1 AS position FROM adj", "edges")
+def a5_edge_array(spark: SparkSession, d: str) -> DataFrame:
+    """The array that the nodes' ranges point into, written in files and read back."""
+    path = new_path(spark, "edge-array")
+    edge_array.write_edge_array(graph.mirror_edges(_edges(spark, d), OFFSET), path)
+    return edge_array.read_edge_array(spark, path)
+
+
 # --- attributes ---
 
 
