@@ -55,8 +55,8 @@ _L, _N = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼-¾"
 PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\s{_L}{_N}]+")
 #: What keeps a run between spaces from being split that way, and what the two kinds of white space differ in.
 BEYOND, SEPARATORS = re.compile("[^\0-įı-ſ]"), "\x1c\x1d\x1e\x1f"
-#: Runs and pieces that a worker's caches hold twice over at most, and their length.
-CACHE_WORDS, CACHE_CHARS = 200_000, 40
+#: Runs that a worker's cache holds twice over at most, and their length.
+CACHE_WORDS, CACHE_CHARS = 300_000, 40
 
 
 class Recent(dict):
@@ -94,14 +94,17 @@ class Words:
         same = normal.get("normalizers") == NORMAL and pre.get("pretokenizers") == [SPLIT, BYTES]
         self.plain = same and not spec["post_processor"] and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in spec["added_tokens"])
         self.special = [t["content"] for t in spec["added_tokens"]]
+        self.marked = re.compile("|".join(map(re.escape, self.special)) or "(?!)").search
         self.tokenize = self.library.model.tokenize
         self.symbols = dict(enumerate(byte_symbols()))
         self.wide = self.library.get_vocab_size(with_added_tokens=True) > 1 << 16
-        self.kind, self.code = ("<u4", "I") if self.wide else ("<u2", "H")
-        self.runs, self.pieces = Recent(self.run), Recent(self.piece)
+        self.kind, code = ("<u4", "I") if self.wide else ("<u2", "H")
+        self.code, self.packs = code, [struct.Struct(f"<{n}{code}").pack for n in range(24)]
+        self.runs = Recent(self.run)
 
     def raw(self, ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+        n = len(ids)
+        return self.packs[n](*ids) if n < 24 else struct.pack(f"<{n}{self.code}", *ids)
 
     def whole(self, text: str) -> bytes:
         return self.raw(self.library.encode(text, add_special_tokens=False).ids)
@@ -112,20 +115,33 @@ class Words:
         return self.raw([t.id for t in self.tokenize(text)])
 
     def run(self, text: str) -> bytes:
-        if not text.isascii() and BEYOND.search(text) or any(s in text for s in self.special):
+        if not text.isascii() and BEYOND.search(text):
             return self.whole(text)
         if text.isalpha():
-            return self.pieces[text.lower()]
-        return b"".join(map(self.pieces.__getitem__, PIECES.findall(text.lower())))
+            return self.piece(text.lower())
+        if (word := text[:-1]).isalpha():  # a word and a mark or digit after it
+            return self.runs[word.lower()] + self.runs[text[-1]]
+        if self.marked(text):
+            return self.whole(text)
+        found = PIECES.findall(text.lower())
+        return self.piece(found[0]) if len(found) == 1 else b"".join(map(self.runs.__getitem__, found))
 
     def encode(self, text: str) -> bytes:
         if not self.plain or any(c in text for c in SEPARATORS):
             return self.whole(text)
-        if text.isascii() and "<|" not in text:
+        if "<|" not in text and (text.isascii() or _latin(text)):
             text = text.lower()
         return b"".join(map(self.runs.__getitem__, text.split()))
 
 
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 _LOADED: dict[str, Words] = {}
 
 
