@@ -570,6 +570,18 @@ def d2_blocks(spark: SparkSession, d: str) -> DataFrame:
     return edges.select(F.floor(F.col("src") / r).alias("grp"), "src", "dst", "weight")
 
 
+@query(
+    "WITH s AS (SELECT (SELECT count(*) FROM supplier) AS r, (SELECT count(*) FROM nation) AS b) "
+    "SELECT i AS node_id, 'red' AS kind, (i // r)::INT AS grp, (1 + CASE WHEN i // r = 2 THEN 2 * b ELSE b END)::DOUBLE AS mass FROM s, (SELECT unnest(range(0, 3 * (SELECT count(*) FROM supplier))) AS i) "
+    "UNION ALL SELECT 3 * r + j, 'black', (j // b)::INT, (1 + 2 * r)::DOUBLE FROM s, (SELECT unnest(range(0, 2 * (SELECT count(*) FROM nation))) AS j)"
+)
+def d2_block_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """The nodes of those blocks; the mass is one more than the neighbours."""
+    r, b = (spark.read.parquet(f"{d}/{t}.parquet").count() for t in ("supplier", "nation"))
+    nodes, _ = generate.gen_blocks(spark, (r, r, r), (b, b))
+    return nodes.select("node_id", "kind", "grp", "mass")
+
+
 @query("SELECT node_id, 1.0e0 AS mass, " + ", ".join(f"round(40 * {_unit(a)}, 6) + 0.0e0 AS {a}" for a in "xy") + " FROM (SELECT unnest(range(0, (SELECT count(*) FROM lineitem))) AS node_id)")
 def d3_cloud(spark: SparkSession, d: str) -> DataFrame:
     """A cloud with a node for each row of lineitem."""
