@@ -9,6 +9,7 @@ from ..functions.spatial import common_prefix, morton, uniform
 from ..sources.shared import written
 from .blocks import BLOCK, block_lists
 from .carry import with_before
+from .ids import with_dense_id
 from .radix import KEY_BITS, SLAB, tree_nodes
 
 
@@ -23,8 +24,9 @@ def with_morton(nodes: DataFrame, bounds=None) -> DataFrame:
     return nodes.withColumn("morton", morton(F.col("x"), F.col("y"), bounds))
 
 
-def spatial_sort(nodes: DataFrame) -> DataFrame:
-    return nodes.orderBy("morton", "node_id")
+def spatial_sort(nodes: DataFrame, owned: list[DataFrame] | None = None) -> DataFrame:
+    """Nodes with their rank by key: range-partitioned and sorted once."""
+    return with_dense_id(nodes, ["morton", "node_id"], "rank", owned)
 
 
 def adjacent_prefixes(nodes: DataFrame, owned: list[DataFrame] | None = None) -> DataFrame:

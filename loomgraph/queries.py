@@ -440,7 +440,7 @@ def g1_morton(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"+ {KEYS} SELECT node_id, morton, row_number() OVER (ORDER BY morton, node_id) - 1 AS rank FROM keyed", "points")
 def g2_spatial_sort(spark: SparkSession, d: str) -> DataFrame:
-    return ids.with_dense_id(spatial.spatial_sort(_keyed(spark, d).select("node_id", "morton")), ["morton", "node_id"], "rank")
+    return spatial.spatial_sort(_keyed(spark, d).select("node_id", "morton"))
 
 
 NEXT = """nexts AS (SELECT morton, lead(morton) OVER (ORDER BY morton) AS next_morton FROM (SELECT DISTINCT morton FROM keyed))"""
