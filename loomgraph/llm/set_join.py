@@ -55,7 +55,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(31)
 
 
-def _word_hashes(x: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def word_hashes(x: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word x[start:end], by sums of powers over blocks of bytes."""
     out = np.empty(len(starts), dtype=np.uint64)
     a = 0
@@ -75,7 +75,7 @@ def _word_hashes(x: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return out
 
 
-def _words(x: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def find_words(x: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Begins and ends of the words of texts that stand one after another."""
     if not len(x):
         none = np.empty(0, dtype=np.int64)
@@ -102,8 +102,8 @@ Reader = Callable[[np.ndarray, np.ndarray], Sets]
 
 def read_lines(x: np.ndarray, ends: np.ndarray) -> Sets:
     """A set of words for each line with a word."""
-    starts, stops = _words(x, ends)
-    h = _word_hashes(x, starts, stops)
+    starts, stops = find_words(x, ends)
+    h = word_hashes(x, starts, stops)
     begins = np.concatenate([[0], ends[:-1]])
     breaks = np.concatenate([begins, np.flatnonzero(x == 10) + 1])
     text = np.concatenate([np.arange(len(ends)), np.searchsorted(ends, breaks[len(ends) :] - 1, side="right")])
@@ -120,8 +120,8 @@ def read_lines(x: np.ndarray, ends: np.ndarray) -> Sets:
 def read_shingles(x: np.ndarray, ends: np.ndarray, size: int) -> Sets:
     """One set for each text: its shingles of ``size`` words. A text of fewer words is one
     shingle; a text without words is one token of its own."""
-    starts, stops = _words(x, ends)
-    h = _word_hashes(x, starts, stops)
+    starts, stops = find_words(x, ends)
+    h = word_hashes(x, starts, stops)
     count = np.diff(np.concatenate([[0], np.searchsorted(starts, ends)]))
     begin = np.cumsum(count) - count
     factors = mixed(np.arange(1, size + 1, dtype=np.uint64))
