@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NullType, NumericType
 
 #: Characters that separate words: space and U+0009 to U+000D.
 SPACE = " \t\n\x0b\x0c\r"
@@ -20,6 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs``, whose doc_id is a number; a ValueError before any task if it isn't."""
+    kind = docs.schema["doc_id"].dataType
+    if not isinstance(kind, NumericType | NullType):
+        raise ValueError(f"doc_id must be a number, not {kind.simpleString()}")
+    return docs
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 

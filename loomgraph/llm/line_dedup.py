@@ -14,7 +14,7 @@ all fail meet all their candidates, so nothing is missed.
 
 Defined cases: a null text has no lines and stays null; rows without a doc_id stay as
 they are and take no part; rows of one doc_id count as the same document; of lines at the
-same place none is earlier; an empty table gives an empty result; extra columns pass
+same place none is earlier; a doc_id that isn't a number is refused; an empty table gives an empty result; extra columns pass
 through, whatever their names.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import set_join
-from .common import discard, few, materialize
+from .common import discard, few, materialize, numbered
 from .set_join import SHARD, read_lines
 
 THRESHOLD = 0.8
@@ -33,7 +33,7 @@ MIN_WORDS = 5
 
 def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, buckets: int | None = None, shard: int = SHARD) -> DataFrame:
     """(doc_id, line): the lines to remove, numbered from 0, as a written table."""
-    docs = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = numbered(docs).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ranks = docs.sparkSession.sparkContext.broadcast(set_join.token_counts(docs, read_lines, buckets))
     lines = materialize(set_join.set_rows(docs, ranks, read_lines, threshold, min_words), "lines")
     first, equal, many = set_join.split_equal(lines)

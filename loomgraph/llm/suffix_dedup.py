@@ -25,7 +25,7 @@ goes; earlier means a smaller doc_id, or the same document and an earlier start.
 Defined cases: a null text is empty and keeps nothing; documents shorter than ``length``
 lose nothing; a null doc_id comes after all others; texts of one doc_id, null included, come
 in the order of their hashes; rows equal in doc_id and text are one place, so neither repeats
-the other; an empty table gives an empty result; extra columns are ignored.
+the other; a doc_id that isn't a number is refused; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, few, materialize, text_bytes
+from .common import discard, few, materialize, numbered, text_bytes
 from .set_join import mixed
 
 LENGTH = 100
@@ -434,7 +434,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, shard: int = SHARD) ->
 
 def _documents(docs: DataFrame) -> DataFrame:
     """(doc_id, sub, text): sub tells the texts of a repeated doc_id apart and is zero else."""
-    d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    d = numbered(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     twice = materialize(d.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id", F.lit(True).alias("twice")), "suffix-ids")
     if twice.isEmpty():
         return d.select("doc_id", F.lit(0).cast("long").alias("sub"), "text")

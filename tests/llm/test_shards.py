@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from loomgraph.llm import decontaminate
+from loomgraph.llm import decontaminate, line_dedup, suffix_dedup
 
 from .test_llm import brute_contamination
 
@@ -77,3 +77,10 @@ def test_no_hits_and_no_documents(spark):
     docs = spark.createDataFrame([(1, "nothing of it"), (2, None)], "doc_id long, text string")
     assert [(r.n_words, r.hit_spans, r.hit_items) for r in decontaminate.find_matches(docs, bench, shard_words=40).orderBy("doc_id").collect()] == [(3, [], []), (0, [], [])]
     assert decontaminate.find_matches(docs.limit(0), bench, shard_words=40).count() == 0
+
+
+def test_ids_that_are_no_numbers_are_refused(spark):
+    docs = spark.createDataFrame([("a", "some text")], "doc_id string, text string")
+    for refuses in (line_dedup.dedup_lines, line_dedup.judge_lines, suffix_dedup.judge_substrings, suffix_dedup.dedup_substrings):
+        with pytest.raises(ValueError, match="doc_id must be a number, not string"):
+            refuses(docs)
