@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from loomgraph.llm import decontaminate, line_dedup, suffix_dedup
+from loomgraph.llm import decontaminate, line_dedup, similar_docs, suffix_dedup
 
 from .test_llm import brute_contamination
 
@@ -81,6 +81,6 @@ def test_no_hits_and_no_documents(spark):
 
 def test_ids_that_are_no_numbers_are_refused(spark):
     docs = spark.createDataFrame([("a", "some text")], "doc_id string, text string")
-    for refuses in (line_dedup.dedup_lines, line_dedup.judge_lines, suffix_dedup.judge_substrings, suffix_dedup.dedup_substrings):
+    for refuses in (line_dedup.dedup_lines, line_dedup.judge_lines, suffix_dedup.judge_substrings, suffix_dedup.dedup_substrings, similar_docs.keep_first):
         with pytest.raises(ValueError, match="doc_id must be a number, not string"):
             refuses(docs)
