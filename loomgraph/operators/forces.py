@@ -11,8 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Nodes in one block of the all-pairs kernel.
-BLOCK = 2048
+#: Nodes of one side of a tile of the all-pairs kernel: at most about, and at least for a tile of its own.
+BLOCK, LEAST = 1 << 20, 2048
+#: Pairs that the kernel holds at a time, in a core's cache; rows that it sends at a time.
+_CHUNK, OUT = (64, 1024), 10_000
 
 
 @dataclass(frozen=True)
@@ -51,52 +53,78 @@ def gravity(nodes: DataFrame, strength: float = 1.0, strong: bool = True) -> Dat
     return nodes.select("node_id", (-F.col("x") * by).alias("fx"), (-F.col("y") * by).alias("fy"))
 
 
+def _tile_sums(near: tuple[np.ndarray, ...], far: tuple[np.ndarray, ...] | None, soft: float) -> list[np.ndarray]:
+    """Sums of w m, w m x and w m y over the nodes of the other side, w the inverse of the softened
+    square of the distance, for the nodes (code, x, y, m) of each side; without ``far`` for all
+    pairs of one side but those of one code. Memory is that of the sides and a small chunk."""
+    codes, x, y, m = near
+    codes2, x2, y2, m2 = far or near
+    here, there = np.column_stack([m, m * x, m * y]), np.column_stack([m2, m2 * x2, m2 * y2])
+    on, by = np.zeros((len(x), 3)), np.zeros((len(x2), 3))
+    w_, d_ = np.empty(_CHUNK), np.empty(_CHUNK)
+    rows, columns = _CHUNK
+    for a in range(0, len(x), rows):
+        s = slice(a, min(a + rows, len(x)))
+        for b in range(0, len(x2), columns):
+            t = slice(b, min(b + columns, len(x2)))
+            w, d = w_[: s.stop - s.start, : t.stop - t.start], d_[: s.stop - s.start, : t.stop - t.start]
+            np.subtract(x[s, None], x2[t], out=w)
+            np.subtract(y[s, None], y2[t], out=d)
+            np.multiply(w, w, out=w)
+            np.multiply(d, d, out=d)
+            np.add(w, d, out=w)
+            np.add(w, soft, out=w)
+            np.divide(1.0, w, out=w)
+            if far is None:
+                w[codes[s, None] == codes2[t]] = 0.0
+            else:
+                by[t] += (here[s].T @ w).T
+            on[s] += w @ there[t]
+    return [on] if far is None else [on, by]
+
+
 def repulsion_exact(nodes: DataFrame, strength: float = 1.0, soft: float = 0.0025, block: int = BLOCK) -> DataFrame:
-    """All pairs, by blocks. Nodes are packed into blocks of bounded size, every two blocks meet
-    once, by an equi-join on block numbers, and a vectorized kernel sums the push of each on
-    the other. The work is quadratic by definition; beyond about 10^5 nodes use
-    repulsion_approx. A node without a mass has none; nodes without a position are left out."""
-    nodes = nodes.where("x IS NOT NULL AND y IS NOT NULL").select("node_id", "x", "y", F.coalesce("mass", F.lit(0.0)).alias("mass"))
-    parts = max(1, math.ceil(nodes.count() / block * 1.3))
-    hashed = nodes.withColumn("b", F.pmod(F.xxhash64("node_id"), F.lit(parts)).cast("int"))
-    packed = hashed.groupBy("b").agg(F.collect_list(F.struct("node_id", "x", "y", "mass")).alias("p"))
-    left = packed.select(F.col("b").alias("i"), F.col("p").alias("p"), F.explode(F.sequence("b", F.lit(parts - 1))).alias("b"))
-    pairs = left.join(packed.select("b", F.col("p").alias("q")), "b").select((F.col("i") == F.col("b")).alias("same"), "p", "q")
-    # By the number of pairs, not by bytes: they are small and their work is not.
-    tasks = min(parts * (parts + 1) // 2, 4 * nodes.sparkSession.sparkContext.defaultParallelism)
-
-    def push(p: pa.Array, q: pa.Array, same: bool) -> list[tuple]:
-        ids, x, y, m = (p.field(k).to_numpy(zero_copy_only=False) for k in range(4))
-        ids2, x2, y2, m2 = (q.field(k).to_numpy(zero_copy_only=False) for k in range(4))
-        there, here = np.column_stack([m2, m2 * x2, m2 * y2]), np.column_stack([m, m * x, m * y])
-        on, by = np.empty((len(x), 3)), np.zeros((len(x2), 3))
-        for at in range(0, len(x), 128):
-            s = slice(at, at + 128)
-            dx, dy = x[s, None] - x2, y[s, None] - y2
-            dx *= dx
-            dy *= dy
-            dx += dy
-            dx += soft
-            w = np.reciprocal(dx, out=dx)
-            if same:
-                w[ids[s, None] == ids2] = 0.0
-            on[s] = w @ there
-            by += w.T @ here[s]
-
-        def force(m, x, y, sums):
-            return strength * m * (x * sums[:, 0] - sums[:, 1]), strength * m * (y * sums[:, 0] - sums[:, 2])
-
-        out = [(ids, *force(m, x, y, on))]
-        return out if same else [*out, (ids2, *force(m2, x2, y2, by))]
+    """All pairs, by tiles. Nodes are dealt into parts and every two parts meet in one task, so a
+    node is sent once for each part. How many parts there are follows from the number of
+    tasks; only parts of more than ``block`` nodes are divided further. So what is shuffled
+    grows with the nodes and a task holds two parts, while the work is quadratic by
+    definition; beyond some 10^6 nodes use repulsion_approx. A node without a mass has none;
+    nodes without a position are left out."""
+    nodes = nodes.where("x IS NOT NULL AND y IS NOT NULL").select("node_id", "x", "y", F.coalesce("mass", F.lit(0.0)).cast("double").alias("mass"))
+    n, tasks = nodes.count(), 4 * nodes.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, math.ceil(n / block), min(math.ceil(n / LEAST), math.ceil(math.sqrt(2 * tasks))))
+    own = F.pmod(F.xxhash64("node_id"), F.lit(parts)).cast("int")
+    dealt = nodes.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    i, j = F.greatest("own", "other"), F.least("own", "other")
+    # Tiles are numbered row by row of a triangle: one partition each.
+    tile = (i * (i + 1) / 2 + j).cast("int")
+    dealt = dealt.select(tile.alias("tile"), (F.col("own") > F.col("other")).alias("near"), (i == j).alias("same"), "node_id", "x", "y", "mass")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                for part in push(batch.column("p")[r].values, batch.column("q")[r].values, batch.column("same")[r].as_py()):
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in part], names=["node_id", "fx", "fy"])
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held).combine_chunks()
+        held.clear()
+        tiles = table["tile"].to_numpy()
+        for k in np.unique(tiles).tolist():
+            part = table.filter(pa.array(tiles == k))
+            same, near = part["same"][0].as_py(), part["near"].to_numpy()
+            sides = [part] if same else [part.filter(pa.array(near)), part.filter(pa.array(~near))]
+            if not all(side.num_rows for side in sides):
+                continue
+            ids = [side["node_id"].combine_chunks() for side in sides]
+            codes = [np.unique(v.to_numpy(zero_copy_only=False), return_inverse=True)[1] if same else np.empty(0) for v in ids]
+            held_ = [(c, *(side[name].to_numpy() for name in ("x", "y", "mass"))) for c, side in zip(codes, sides, strict=True)]
+            sums = _tile_sums(held_[0], None if same else held_[1], soft)
+            for v, (_, x, y, m), total in zip(ids, held_, sums, strict=True):
+                fx, fy = strength * m * (x * total[:, 0] - total[:, 1]), strength * m * (y * total[:, 0] - total[:, 2])
+                out = pa.RecordBatch.from_arrays([v, pa.array(fx), pa.array(fy)], names=["node_id", "fx", "fy"])
+                for at in range(0, out.num_rows, OUT):
+                    yield out.slice(at, OUT)
 
     kind = nodes.schema["node_id"].dataType.simpleString()
-    sums = pairs.repartition(tasks).mapInArrow(kernel, f"node_id {kind}, fx double, fy double")
+    sums = dealt.repartitionById(parts * (parts + 1) // 2, F.col("tile")).mapInArrow(kernel, f"node_id {kind}, fx double, fy double")
     return sums.groupBy("node_id").agg(F.sum("fx").alias("fx"), F.sum("fy").alias("fy"))
 
 

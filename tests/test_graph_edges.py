@@ -56,6 +56,22 @@ def test_exact_blocks_against_all_pairs(spark):
         assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-7, abs=1e-7) for k in want)
 
 
+def test_exact_repulsion_shuffles_in_proportion_to_the_nodes(spark):
+    sc = spark.sparkContext._jsc.sc()
+
+    def shuffled(n):
+        def total():
+            sc.listenerBus().waitUntilEmpty(30_000)
+            return sc.statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+        before = total()
+        nodes = spark.range(n).select(F.col("id").alias("node_id"), F.lit(1.0).alias("mass"), F.rand(1).alias("x"), F.rand(2).alias("y"))
+        forces.repulsion_exact(nodes).write.format("noop").mode("overwrite").save()
+        return total() - before
+
+    assert shuffled(40_000) < 6 * shuffled(10_000)
+
+
 @pytest.mark.parametrize(("theta", "mean", "worst"), [(0.1, 0.002, 0.2), (0.5, 0.05, 5.0)])
 def test_approx_error_by_opening_angle(spark, theta, mean, worst):
     nodes = _uniform(spark, 500).cache()
