@@ -16,53 +16,75 @@ quote that never closes makes the rest of its file one record.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _OPTIONS = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "maxCharsPerColumn": "-1"}
 _RECORDS = "file string, block bigint, seq bigint, record string, begins boolean, ends boolean"
+_NAMES = [x.split()[0] for x in _RECORDS.split(", ")]
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Records of each range, in order: whole ones, and what crosses its borders."""
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[str, int], int, pa.Array]]:
+    """((file, block), state, lines) of each run of lines of one range."""
+    lines, files, blocks, states = (batch.column(k) for k in range(4))
+    n = batch.num_rows
+    other = pc.not_equal(files.slice(1), files.slice(0, n - 1)).to_numpy(zero_copy_only=False) | (np.diff(blocks.to_numpy()) != 0)
+    cuts = [0, *(np.flatnonzero(other) + 1).tolist(), n]
+    for lo, hi in pairwise(cuts):
+        yield (files[lo].as_py(), blocks[lo].as_py()), states[lo].as_py(), lines.slice(lo, hi - lo)
+
+
+def _cut(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
+    """Records of each range, in order, cut by array operations: with ``whole`` those that lie
+    inside it, else what crosses its borders."""
     at: tuple[str, int] | None = None
     held: list[str] = []
-    inside, begins, seq = False, True, 0
-    out: list[tuple] = []
+    inside, begins, seq = 0, True, 0
 
-    def put(ends: bool) -> None:
-        nonlocal begins, seq
-        out.append((*at, seq, "\n".join(held), begins, ends))
-        held.clear()
-        begins, seq = True, seq + 1
+    def rows(first: int, records: pa.Array, begin: bool, end: bool) -> pa.RecordBatch:
+        n = len(records)
+        columns = [pa.repeat(at[0], n), pa.repeat(at[1], n), pa.array(np.arange(first, first + n)), records, pa.repeat(begin, n), pa.repeat(end, n)]
+        return pa.RecordBatch.from_arrays(columns, names=_NAMES)
 
-    def batch_of() -> pa.RecordBatch:
-        columns = list(zip(*out, strict=True))
-        out.clear()
-        kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.bool_())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["file", "block", "seq", "record", "begins", "ends"])
+    def left() -> Iterator[pa.RecordBatch]:
+        if held and not whole:
+            yield rows(seq, pa.array(["\n".join(held)]), begins, False)
+        held.clear()
 
     for b in batches:
-        lines, files, blocks, states = (b.column(k).to_pylist() for k in range(4))
-        for line, file, block, state in zip(lines, files, blocks, states, strict=True):
-            if (file, block) != at:
-                if held:
-                    put(ends=False)
-                at, inside, seq = (file, block), bool(state), 0
+        if not b.num_rows:
+            continue
+        for key, state, lines in _runs(b):
+            if key != at:
+                yield from left()
+                at, inside, seq = key, state, 0
                 begins = not inside
-            held.append(line)
-            inside ^= line.count('"') & 1
-            if not inside:
-                put(ends=True)
-        if len(out) > 2000:
-            yield batch_of()
-    if held:
-        put(ends=False)
-    if out:
-        yield batch_of()
+            odd = pc.count_substring(lines, '"').to_numpy(zero_copy_only=False) & 1
+            after = (inside + np.cumsum(odd)) & 1
+            inside = int(after[-1])
+            ends = np.flatnonzero(after == 0) + 1
+            if not len(ends):
+                held.extend(lines.to_pylist())
+                continue
+            # The first record ends what is held; the others begin and end here.
+            first = "\n".join([*held, *lines.slice(0, int(ends[0])).to_pylist()])
+            held.clear()
+            if begins == whole:
+                yield rows(seq, pa.array([first]), begins, True)
+            if whole and len(ends) > 1:
+                lo, hi = int(ends[0]), int(ends[-1])
+                lists = pa.ListArray.from_arrays(pa.array((ends - lo).astype(np.int32)), lines.slice(lo, hi - lo))
+                yield rows(seq + 1, pc.binary_join(lists, "\n"), True, True)
+            begins, seq = True, seq + len(ends)
+            held.extend(lines.slice(int(ends[-1])).to_pylist())
+    yield from left()
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
@@ -73,14 +95,14 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     parity = lines.groupBy("file", "block").agg((F.sum(quotes) % 2).alias("odd"))
     before = F.sum("odd").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
     states = parity.select("file", "block", (F.coalesce(before, F.lit(0)) % 2).cast("int").alias("state"))
-    cut = lines.join(F.broadcast(states), ["file", "block"]).select("value", "file", "block", "state").mapInArrow(_cut, _RECORDS)
+    dealt = lines.join(F.broadcast(states), ["file", "block"]).select("value", "file", "block", "state")
     # At most two fragments a range; a chain of them is one record.
-    broken = cut.where("NOT (begins AND ends)")
+    broken = dealt.mapInArrow(partial(_cut, whole=False), _RECORDS)
     chain = F.sum(F.col("begins").cast("int")).over(Window.partitionBy("file").orderBy("block", "seq"))
     joined = broken.withColumn("chain", chain).groupBy("file", "chain").agg(F.sort_array(F.collect_list(F.struct("block", "seq", "record"))).alias("parts"))
     joined = joined.select("file", F.col("parts")[0]["block"].alias("block"), F.col("parts")[0]["seq"].alias("seq"), F.array_join(F.col("parts.record"), "\n").alias("record"))
     # Every record has a byte at least, so a range's begin and the place in it tell records apart.
-    whole = cut.where("begins AND ends").select("file", "block", "seq", "record").union(joined)
+    whole = dealt.mapInArrow(partial(_cut, whole=True), _RECORDS).select("file", "block", "seq", "record").union(joined)
     whole = whole.where("NOT (block = 0 AND seq = 0)").withColumn("record", F.regexp_replace("record", "\r$", ""))
     return whole.where("record <> ''").select("file", (F.col("block") + F.col("seq")).alias("position"), "record")
 

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
 
@@ -63,3 +64,17 @@ def test_headers_of_their_own_and_nothing(spark, tmp_path):
     (tmp_path / "open.csv").write_text('a,b,c\n5,"never\nends')
     assert {r.record for r in split_csv.records(spark, str(tmp_path)).collect()} == {"1,2,3", '5,"never\nends'}
     assert {r.a for r in split_csv.read_csv(spark, str(tmp_path), SCHEMA).collect()} == {"1", "5"}
+
+
+def test_cutting_takes_batches_not_lines():
+    """A range's whole records come as arrays, two a batch at most, and each pass sends only its own kind."""
+    lines = [x for n in range(500) for x in (f'{n},"a', 'b",c')]
+    odd = ['tail of another"', *lines, 'x,"open']
+    batch = lambda part: pa.RecordBatch.from_arrays([pa.array(part), pa.array(["f"] * len(part)), pa.array([7] * len(part)), pa.array([1] * len(part), pa.int32())], names=["value", "file", "block", "state"])
+    for size in (1, 3, len(odd)):
+        parts = [batch(odd[k : k + size]) for k in range(0, len(odd), size)]
+        whole, broken = list(split_csv._cut(iter(parts), whole=True)), list(split_csv._cut(iter(parts), whole=False))
+        got = [(r["seq"], r["record"], r["begins"], r["ends"]) for b in whole + broken for r in b.to_pylist()]
+        records = [(n + 1, f'{n},"a\nb",c', True, True) for n in range(500)]
+        assert got == [*records, (0, odd[0], False, True), (501, odd[-1], True, False)]
+        assert len(whole) <= 2 * len(parts)
