@@ -28,8 +28,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays. Despite the stage's name it doesn't
-    compare fingerprints: 64 bits can't settle a similarity of 0.8, so documents are joined."""
+    """One document of each group of near-duplicates stays. SimHash fingerprints link documents,
+    Jaccard similarity confirms the links, and an exact join adds those that 64 bits can't show."""
     return similar_docs.keep_first(docs, size=SHINGLE, threshold=SIMILARITY)
 
 

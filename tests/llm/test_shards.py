@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from loomgraph.llm import decontaminate, line_dedup, similar_docs, suffix_dedup
+from loomgraph.llm import decontaminate, line_dedup, similar_docs, simhash, suffix_dedup
 
 from .test_llm import brute_contamination
 
@@ -84,3 +84,19 @@ def test_ids_that_are_no_numbers_are_refused(spark):
     for refuses in (line_dedup.dedup_lines, line_dedup.judge_lines, suffix_dedup.judge_substrings, suffix_dedup.dedup_substrings, similar_docs.keep_first):
         with pytest.raises(ValueError, match="doc_id must be a number, not string"):
             refuses(docs)
+
+
+def test_fingerprints_link_near_copies_before_the_join(spark, monkeypatch):
+    """The pairs of near_dedup come from BK-trees of fingerprints; the exact join gets only what they left apart."""
+    base = [f"w{k}" for k in range(400)]
+    copies = [" ".join([*base[:-1], f"end{n}"]) for n in range(4)]
+    texts = [*copies, " ".join(f"other{k}" for k in range(50)), copies[0]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen = []
+    real = similar_docs.set_join.verified
+    monkeypatch.setattr(similar_docs.set_join, "verified", lambda d, pairs, *a: seen.append({(r.doc_id, r.doc_id0) for r in pairs.collect()}) or real(d, pairs, *a))
+    assert {r.doc_id for r in similar_docs.keep_first(docs).collect()} == {0, 4}
+    fp = [simhash.fingerprint(t, similar_docs.SHINGLE) for t in texts]
+    assert all((fp[a] ^ fp[0]).bit_count() <= 4 for a in range(4))
+    assert len(seen[0]) >= 3 and {x for p in seen[0] for x in p} == {0, 1, 2, 3}
+    assert not seen[1]
