@@ -26,9 +26,12 @@ from pyspark.sql import DataFrame
 
 #: The pre-tokenizer's pattern: fixed values, as the byte-level vocabulary files define it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words that the cache of a worker holds at most.
+#: Words in the younger half of a worker's cache, beyond which it becomes the older half; what the
+#: older half still lends moves to the younger, so frequent words stay.
 CACHE_WORDS = 100_000
 NONE = 1 << 40
+#: Words that are merged together.
+_MERGED = 4096
 #: The same pattern for texts below U+0250, where its classes are short lists of ranges.
 _L, _N, _S = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", "\t-\r \u0085\u00a0"
 LATIN_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
@@ -76,6 +79,7 @@ class ByteBpe:
         self.code_rank = {x * size + y: r for (x, y), (r, _) in self.rank.items()}
         self.made = [vocab[a + b] for a, b in pairs]
         self.byte_ids = [self.ids[bytes([b])] for b in range(256)]
+        self.byte_id_array, self.made_array = np.array(self.byte_ids, dtype=np.int64), np.array(self.made, dtype=np.int64)
         longest: dict[int, int] = {}
         for t in self.ids:
             longest[t[0]] = max(longest.get(t[0], 0), len(t))
@@ -83,6 +87,7 @@ class ByteBpe:
         self.pattern, self.latin, self.beyond = regex.compile(PATTERN), re.compile(LATIN_PATTERN), re.compile("[^\x00-\u024f]")
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def propose(self, word: bytes) -> list[int]:
         out, i, n, ids, longest = [], 0, len(word), self.ids, self.longest
@@ -142,6 +147,43 @@ class ByteBpe:
                 steps[i] = get(z * size + ids[i + 1], NONE)
         return ids
 
+    def merge_all(self, words: list[bytes]) -> list[np.ndarray]:
+        """As merge(), for many short words at once: a round does the next merge of each."""
+        out: list[np.ndarray] = [np.empty(0, "<u4")] * len(words)
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        width = int(sizes.max())
+        inside = np.arange(width) < sizes[:, None]
+        ids = np.zeros((len(words), width), dtype=np.int64)
+        ids[inside] = self.byte_id_array[np.frombuffer(b"".join(words), dtype=np.uint8)]
+        ranks = np.full((len(words), width), NONE, dtype=np.int64)
+        both = inside[:, 1:]
+        ranks[:, :-1][both] = self.pair_rank(ids[:, :-1][both], ids[:, 1:][both])
+        live = np.arange(len(words))
+        while len(live):
+            at = ranks.argmin(axis=1)
+            n = np.arange(len(live))
+            least = ranks[n, at]
+            done = least == NONE
+            for k in np.flatnonzero(done).tolist():
+                out[live[k]] = ids[k, : sizes[k]].astype("<u4")
+            go = ~done
+            live, ids, ranks, sizes, at, least = live[go], ids[go], ranks[go], sizes[go], at[go], least[go]
+            if not len(live):
+                break
+            # The tail moves one place to the left over the right half of the merged pair.
+            tail = np.arange(width - 1) > at[:, None]
+            ids[:, :-1] = np.where(tail, ids[:, 1:], ids[:, :-1])
+            ranks[:, :-1] = np.where(tail | (np.arange(width - 1) == at[:, None]), ranks[:, 1:], ranks[:, :-1])
+            ranks[:, -1] = NONE
+            sizes -= 1
+            n = np.arange(len(live))
+            ids[n, at] = self.made_array[least]
+            ranks[n, at] = NONE
+            left, right = np.flatnonzero(at > 0), np.flatnonzero(at + 1 < sizes)
+            ranks[left, at[left] - 1] = self.pair_rank(ids[left, at[left] - 1], ids[left, at[left]])
+            ranks[right, at[right]] = self.pair_rank(ids[right, at[right]], ids[right, at[right] + 1])
+        return out
+
     def merge_long(self, word: bytes) -> list[int]:
         """As merge(), with a heap, for long words."""
         import heapq
@@ -179,14 +221,25 @@ class ByteBpe:
         codes, back = np.unique(flat[first] * self.size + flat[first + 1], return_inverse=True)
         ok = self.compatible(codes // self.size, codes % self.size)[back]
         failed = set(owner[first[~ok]].tolist())
+        # Words of about one length merge together.
+        short = sorted((k for k in failed if len(raw[k]) < 64), key=lambda k: len(raw[k]))
+        for lo in range(0, len(short), _MERGED):
+            part = short[lo : lo + _MERGED]
+            for k, exact in zip(part, self.merge_all([raw[k] for k in part]), strict=True):
+                self.cache[words[k]] = exact.tobytes()
         data, starts = flat.astype("<u4"), ends - sizes
         for k, w in enumerate(words):
             if k in failed:
-                exact = self.merge(raw[k]) if len(raw[k]) < 64 else self.merge_long(raw[k])
-                self.cache[w] = np.array(exact, dtype="<u4").tobytes()
+                if len(raw[k]) >= 64:
+                    self.cache[w] = np.array(self.merge_long(raw[k]), dtype="<u4").tobytes()
             else:
                 self.cache[w] = data[starts[k] : ends[k]].tobytes()
 
+    def forget(self) -> None:
+        """Give back the memory of the cache: a worker that stays alive holds it beside later stages."""
+        self.cache, self.older = {}, {}
+        pa.default_memory_pool().release_unused()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         parts: list[list] = []
@@ -201,8 +254,16 @@ class ByteBpe:
         for p in parts:
             new.update(x for x in set(p) if x.__class__ is str)
         if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        if missing := [w for w in new if w not in self.cache]:
+            self.cache, self.older = {}, self.cache
+        cache, lent = self.cache, self.older.pop
+        missing = []
+        for w in new:
+            if w not in cache:
+                if (x := lent(w, None)) is None:
+                    missing.append(w)
+                else:
+                    cache[w] = x
+        if missing:
             self.resolve(missing)
         get, out = self.cache.__getitem__, []
         for p in parts:
@@ -252,6 +313,7 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str
             for start, texts in _slices(batch.column(1).to_pylist()):
                 ids = [np.frombuffer(x, dtype="<u4").astype(np.int32) for x in bpe.encode(texts)]
                 yield pa.RecordBatch.from_arrays([keys.slice(start, len(texts)), pa.array(ids, pa.list_(pa.int32()))], names=[key, "ids"])
+        bpe.forget()
 
     return d.mapInArrow(run, f"`{key}` {d.schema[0].dataType.simpleString()}, ids array<int>")
 
@@ -285,5 +347,6 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
                     pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
                     pa.array([hashlib.sha256(bpe.decode(x).encode()).hexdigest() for x in ids], pa.string()),
                 ], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        bpe.forget()
 
     return d.mapInArrow(run, f"doc_id {d.schema[0].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

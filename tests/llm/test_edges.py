@@ -371,3 +371,20 @@ def test_urls_without_a_host_and_empty_keys(spark):
         got = {r.page_id: (r.verdict, r.listed) for r in url_filters.filter_urls(pages, listed, broadcast_bytes=limit).collect()}
         assert len(got) == len(urls) and {k for k, v in got.items() if v == ("block", True)} == {4, 6}
         assert all(v == ("allow", False) for k, v in got.items() if k not in (4, 6))
+
+
+def test_frequent_words_stay_cached_and_merges_in_bulk_are_exact(monkeypatch):
+    """A full cache keeps what is still met; words merged together have the ids of the single merges."""
+    b = bpe.ByteBpe(registry.tokenizer_path())
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 5)
+    asked = []
+    real = b.resolve
+    monkeypatch.setattr(b, "resolve", lambda words: asked.extend(words) or real(words))
+    for k in range(20):
+        b.encode([" ".join(["often", *(f"w{chr(97 + k)}{chr(97 + n)}" for n in range(8))])])
+    assert asked.count("often") == 1 and len(b.cache) + len(b.older) <= 30
+    words = sorted({w.encode() for t in ("aaaaaaa bababab ababa thethe", "hyperextraordinarily é ßß 日本語日本語", "x", "ab" * 31) for w in t.split(" ")})
+    words += [bytes(97 + (7 * k * j) % 26 for j in range(1 + k % 40)) for k in range(300)]
+    assert [x.tolist() for x in b.merge_all(words)] == [b.merge(w) for w in words]
+    b.forget()
+    assert not b.cache and not b.older
