@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 #: Nodes of one side of a tile of the all-pairs kernel: at most about, and at least for a tile of its own.
 BLOCK, LEAST = 1 << 20, 2048
 #: Pairs that the kernel holds at a time, in a core's cache; rows that it sends at a time.
-_CHUNK, OUT = (64, 1024), 10_000
+_CHUNK, OUT = (128, 384), 10_000
+#: Relative error of a softened square of a distance that a matrix product may bring.
+_ROUNDING = 1e-10
 
 
 @dataclass(frozen=True)
@@ -53,34 +55,58 @@ def gravity(nodes: DataFrame, strength: float = 1.0, strong: bool = True) -> Dat
     return nodes.select("node_id", (-F.col("x") * by).alias("fx"), (-F.col("y") * by).alias("fy"))
 
 
-def _tile_sums(near: tuple[np.ndarray, ...], far: tuple[np.ndarray, ...] | None, soft: float) -> list[np.ndarray]:
-    """Sums of w m, w m x and w m y over the nodes of the other side, w the inverse of the softened
-    square of the distance, for the nodes (code, x, y, m) of each side; without ``far`` for all
-    pairs of one side but those of one code. Memory is that of the sides and a small chunk."""
-    codes, x, y, m = near
-    codes2, x2, y2, m2 = far or near
-    here, there = np.column_stack([m, m * x, m * y]), np.column_stack([m2, m2 * x2, m2 * y2])
-    on, by = np.zeros((len(x), 3)), np.zeros((len(x2), 3))
-    w_, d_ = np.empty(_CHUNK), np.empty(_CHUNK)
+def _snake(x: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
+    """An order in which each ``size`` points in a row lie near each other: strips by y, run through by x to and fro."""
+    strip = np.argsort(np.argsort(y)) // int(math.sqrt(size * len(y)) + 1)
+    return np.lexsort((np.where(strip % 2, -x, x), strip))
+
+
+def _tile_forces(near: tuple[np.ndarray, ...], far: tuple[np.ndarray, ...] | None, soft: float) -> list[np.ndarray]:
+    """Forces (two rows) that the nodes (code, x, y, m) of each side get from the other, by the inverse
+    of the softened square of the distance; without ``far`` from all nodes of the side but those
+    of one code. Neighbours are taken some at a time, with places counted from their middle:
+    if they lie so close together that rounding can't matter, squares of distances are one
+    matrix product, else differences are squared. Memory is that of the sides and a small chunk."""
     rows, columns = _CHUNK
+    order = _snake(near[1], near[2], rows)
+    codes, x, y, m = (c[order] if len(c) else c for c in near)
+    codes2, x2, y2, m2 = far or (codes, x, y, m)
+    on, by = np.zeros((2, len(x))), np.zeros((2, len(x2)))
+    w_, d_ = np.empty(rows * columns), np.empty(rows * columns)
     for a in range(0, len(x), rows):
         s = slice(a, min(a + rows, len(x)))
+        cx, cy = x[s].mean(), y[s].mean()
+        u, v, p, q = x[s] - cx, y[s] - cy, x2 - cx, y2 - cy
+        r = u * u + v * v
+        close = 8 * np.finfo(float).eps * r.max() <= _ROUNDING * soft
+        left, right = np.column_stack([-2 * u, -2 * v, r + soft, np.ones(len(u))]), np.vstack([p, q, np.ones(len(p)), p * p + q * q])
+        here, there = (m[s], m[s] * u, m[s] * v), (m2, m2 * p, m2 * q)
+        sums = np.zeros((3, len(u)))
         for b in range(0, len(x2), columns):
             t = slice(b, min(b + columns, len(x2)))
-            w, d = w_[: s.stop - s.start, : t.stop - t.start], d_[: s.stop - s.start, : t.stop - t.start]
-            np.subtract(x[s, None], x2[t], out=w)
-            np.subtract(y[s, None], y2[t], out=d)
-            np.multiply(w, w, out=w)
-            np.multiply(d, d, out=d)
-            np.add(w, d, out=w)
-            np.add(w, soft, out=w)
+            shape = (len(u), t.stop - b)
+            w = w_[: shape[0] * shape[1]].reshape(shape)
+            if close:
+                np.matmul(left, right[:, t], out=w)
+            else:
+                d = d_[: shape[0] * shape[1]].reshape(shape)
+                np.subtract(u[:, None], p[t], out=w)
+                np.subtract(v[:, None], q[t], out=d)
+                np.multiply(w, w, out=w)
+                np.multiply(d, d, out=d)
+                np.add(w, d, out=w)
+                np.add(w, soft, out=w)
             np.divide(1.0, w, out=w)
             if far is None:
                 w[codes[s, None] == codes2[t]] = 0.0
             else:
-                by[t] += (here[s].T @ w).T
-            on[s] += w @ there[t]
-    return [on] if far is None else [on, by]
+                back = here[0] @ w
+                by[0, t] += p[t] * back - here[1] @ w
+                by[1, t] += q[t] * back - here[2] @ w
+            for k in range(3):
+                sums[k] += w @ there[k][t]
+        on[:, order[s]] = m[s] * (u * sums[0] - sums[1]), m[s] * (v * sums[0] - sums[2])
+    return [on] if far is None else [on, by * m2]
 
 
 def repulsion_exact(nodes: DataFrame, strength: float = 1.0, soft: float = 0.0025, block: int = BLOCK) -> DataFrame:
@@ -116,10 +142,8 @@ def repulsion_exact(nodes: DataFrame, strength: float = 1.0, soft: float = 0.002
             ids = [side["node_id"].combine_chunks() for side in sides]
             codes = [np.unique(v.to_numpy(zero_copy_only=False), return_inverse=True)[1] if same else np.empty(0) for v in ids]
             held_ = [(c, *(side[name].to_numpy() for name in ("x", "y", "mass"))) for c, side in zip(codes, sides, strict=True)]
-            sums = _tile_sums(held_[0], None if same else held_[1], soft)
-            for v, (_, x, y, m), total in zip(ids, held_, sums, strict=True):
-                fx, fy = strength * m * (x * total[:, 0] - total[:, 1]), strength * m * (y * total[:, 0] - total[:, 2])
-                out = pa.RecordBatch.from_arrays([v, pa.array(fx), pa.array(fy)], names=["node_id", "fx", "fy"])
+            for v, force in zip(ids, _tile_forces(held_[0], None if same else held_[1], soft), strict=True):
+                out = pa.RecordBatch.from_arrays([v, *[pa.array(strength * f) for f in force]], names=["node_id", "fx", "fy"])
                 for at in range(0, out.num_rows, OUT):
                     yield out.slice(at, OUT)
 
