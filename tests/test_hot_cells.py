@@ -69,3 +69,17 @@ def test_blocks_of_dates_and_cells(spark):
     dates = [x for r in rows for x in r.dates]
     assert [r.n for r in rows] == [20, 20, 10] and dates == sorted(dates)
     assert graph.edge_date_blocks(occ.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_pairs_of_few_bytes_are_many_tasks_work(spark, kind, monkeypatch):
+    rows = [(k, x, y) for k, x, y in crowded(600) if x is not None]
+    d = spark.createDataFrame([*rows, (None, 1.0, 0.0)], POINT).withColumn("node_id", F.col("node_id").cast(kind))
+    monkeypatch.setattr(spatial, "TASK_PAIRS", 5000, raising=False)
+    near = spatial.neighbors_within(d, 1.0, 32).withColumn("task", F.spark_partition_id()).collect()
+    by_task = {}
+    for r in near:
+        by_task[r.task] = by_task.get(r.task, 0) + 1
+    want = {(str(i), str(j)) for (i, x, y), (j, u, v) in itertools.permutations(rows, 2) if math.hypot(x - u, y - v) < 1.0}
+    assert len(near) == len(want) and {(str(r.i), str(r.j)) for r in near} == want
+    assert len(by_task) > 10 and max(by_task.values()) < len(near) / 5
