@@ -195,6 +195,7 @@ def repulsion_approx(nodes: DataFrame, strength: float = 1.0, soft: float = 0.00
             walked = _by_groups(keyed, tree, shared, upper, options, schema)
         else:  # one key: a bucket counts point by point
             walked = repulsion_exact(keyed, strength, soft)
+            used.append(walked)
     walked = written(walked, "approx-walked")
     used.append(walked)
     total = nodes.select("node_id", F.lit(0.0).alias("fx"), F.lit(0.0).alias("fy")).union(walked)

@@ -11,10 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .fields import Grid, by_cells
+
 #: Nodes of one side of a tile of the all-pairs kernel: at most about, and at least for a tile of its own.
 BLOCK, LEAST = 1 << 20, 2048
 #: Pairs that the kernel holds at a time, in a core's cache; rows that it sends at a time.
 _CHUNK, OUT = (128, 384), 10_000
+#: Nodes up to which all pairs are taken one by one, and rows of one id that need not be.
+TILED, REPEATS = 1 << 16, 1000
 #: Relative error of a softened square of a distance that a matrix product may bring.
 _ROUNDING = 1e-10
 
@@ -66,13 +70,13 @@ def _tile_forces(near: tuple[np.ndarray, ...], far: tuple[np.ndarray, ...] | Non
     of the softened square of the distance; without ``far`` from all nodes of the side but those
     of one code. Neighbours are taken some at a time, with places counted from their middle:
     if they lie so close together that rounding can't matter, squares of distances are one
-    matrix product, else differences are squared. Memory is that of the sides and a small chunk."""
+    matrix product, else all is made of differences. Memory is that of the sides and a small chunk."""
     rows, columns = _CHUNK
     order = _snake(near[1], near[2], rows)
     codes, x, y, m = (c[order] if len(c) else c for c in near)
     codes2, x2, y2, m2 = far or (codes, x, y, m)
     on, by = np.zeros((2, len(x))), np.zeros((2, len(x2)))
-    w_, d_ = np.empty(rows * columns), np.empty(rows * columns)
+    w_ = np.empty(rows * columns)
     for a in range(0, len(x), rows):
         s = slice(a, min(a + rows, len(x)))
         cx, cy = x[s].mean(), y[s].mean()
@@ -81,7 +85,7 @@ def _tile_forces(near: tuple[np.ndarray, ...], far: tuple[np.ndarray, ...] | Non
         close = 8 * np.finfo(float).eps * r.max() <= _ROUNDING * soft
         left, right = np.column_stack([-2 * u, -2 * v, r + soft, np.ones(len(u))]), np.vstack([p, q, np.ones(len(p)), p * p + q * q])
         here, there = (m[s], m[s] * u, m[s] * v), (m2, m2 * p, m2 * q)
-        sums = np.zeros((3, len(u)))
+        sums, apart = np.zeros((3, len(u))), np.zeros((2, len(u)))
         for b in range(0, len(x2), columns):
             t = slice(b, min(b + columns, len(x2)))
             shape = (len(u), t.stop - b)
@@ -89,35 +93,50 @@ def _tile_forces(near: tuple[np.ndarray, ...], far: tuple[np.ndarray, ...] | Non
             if close:
                 np.matmul(left, right[:, t], out=w)
             else:
-                d = d_[: shape[0] * shape[1]].reshape(shape)
-                np.subtract(u[:, None], p[t], out=w)
-                np.subtract(v[:, None], q[t], out=d)
-                np.multiply(w, w, out=w)
-                np.multiply(d, d, out=d)
-                np.add(w, d, out=w)
-                np.add(w, soft, out=w)
+                dx, dy = x[s, None] - x2[t], y[s, None] - y2[t]
+                np.add(dx * dx + dy * dy, soft, out=w)
             np.divide(1.0, w, out=w)
             if far is None:
                 w[codes[s, None] == codes2[t]] = 0.0
-            else:
+            if not close:  # nothing counted from the middle: it may be far from all of them
+                for k, d in enumerate((dx, dy)):
+                    d *= w
+                    apart[k] += d @ m2[t]
+                    by[k, t] -= here[0] @ d
+                continue
+            if far is not None:
                 back = here[0] @ w
                 by[0, t] += p[t] * back - here[1] @ w
                 by[1, t] += q[t] * back - here[2] @ w
             for k in range(3):
                 sums[k] += w @ there[k][t]
-        on[:, order[s]] = m[s] * (u * sums[0] - sums[1]), m[s] * (v * sums[0] - sums[2])
+        on[:, order[s]] = m[s] * (u * sums[0] - sums[1] + apart[0]), m[s] * (v * sums[0] - sums[2] + apart[1])
     return [on] if far is None else [on, by * m2]
 
 
-def repulsion_exact(nodes: DataFrame, strength: float = 1.0, soft: float = 0.0025, block: int = BLOCK) -> DataFrame:
+def repulsion_exact(nodes: DataFrame, strength: float = 1.0, soft: float = 0.0025, block: int = BLOCK, tiled: int = TILED) -> DataFrame:
+    """(node_id, fx, fy) by all pairs; a node without a mass has none; nodes without an id or a position
+    are left out. Up to ``tiled`` nodes pairs are taken one by one. More are met by cells, to the
+    rounding of doubles and in work that grows with the nodes (``fields``): a written table. So
+    that this holds for any input, numbers that are not finite, a softening that is nothing beside
+    the extent, and ids of over ``REPEATS`` rows are left to the pairs one by one."""
+    nodes = nodes.where("node_id IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL")
+    nodes = nodes.select("node_id", *[F.col(c).cast("double").alias(c) for c in "xy"], F.coalesce("mass", F.lit(0.0)).cast("double").alias("mass"))
+    ends = [f(c) for c in "xy" for f in (F.min, F.max)]
+    n, mass, *box = nodes.agg(F.count("*"), F.max(F.abs("mass")), *ends).first()
+    if n > tiled and math.isfinite(mass):
+        grid = Grid.over(*box, soft)
+        if grid is not None and nodes.groupBy("node_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] <= REPEATS:
+            return by_cells(nodes, strength, soft, n, grid)
+    return repulsion_by_tiles(nodes, strength, soft, n, block)
+
+
+def repulsion_by_tiles(nodes: DataFrame, strength: float, soft: float, n: int, block: int = BLOCK) -> DataFrame:
     """All pairs, by tiles. Nodes are dealt into parts and every two parts meet in one task, so a
     node is sent once for each part. How many parts there are follows from the number of
     tasks; only parts of more than ``block`` nodes are divided further. So what is shuffled
-    grows with the nodes and a task holds two parts, while the work is quadratic by
-    definition; beyond some 10^6 nodes use repulsion_approx. A node without a mass has none;
-    nodes without a position are left out."""
-    nodes = nodes.where("x IS NOT NULL AND y IS NOT NULL").select("node_id", "x", "y", F.coalesce("mass", F.lit(0.0)).cast("double").alias("mass"))
-    n, tasks = nodes.count(), 4 * nodes.sparkSession.sparkContext.defaultParallelism
+    grows with the nodes and a task holds two parts, while the work is quadratic."""
+    tasks = 4 * nodes.sparkSession.sparkContext.defaultParallelism
     parts = max(1, math.ceil(n / block), min(math.ceil(n / LEAST), math.ceil(math.sqrt(2 * tasks))))
     own = F.pmod(F.xxhash64("node_id"), F.lit(parts)).cast("int")
     dealt = nodes.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
