@@ -8,6 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.operators import blocks, graph, spatial
+from loomgraph.queries import QUERIES
+
+from .conftest import DATA
 
 POINT = "node_id long, x double, y double"
 
@@ -83,3 +86,20 @@ def test_pairs_of_few_bytes_are_many_tasks_work(spark, kind, monkeypatch):
     want = {(str(i), str(j)) for (i, x, y), (j, u, v) in itertools.permutations(rows, 2) if math.hypot(x - u, y - v) < 1.0}
     assert len(near) == len(want) and {(str(r.i), str(r.j)) for r in near} == want
     assert len(by_task) > 10 and max(by_task.values()) < len(near) / 5
+
+
+def test_what_is_sent_grows_with_the_nodes(spark):
+    def rows(n):
+        d = spark.range(n).select(F.col("id").alias("node_id"), (4 * F.rand(1)).alias("x"), (4 * F.rand(2)).alias("y"))
+        cells = spatial.counted_cells(d, 1.0, spatial.cell_bound(d, 1.0))
+        return sum(side.count() for side in spatial.meeting_blocks(d, cells, 1.0))
+
+    assert rows(160_000) < 5 * rows(40_000)  # blocks of 512 would be 20 a cell instead of 5
+
+
+def test_distances_are_rounded_as_by_the_twin(spark, duck, monkeypatch):
+    found = [k / 2e6 for k in range(400)] + [k / 997 / 20 for k in range(997)] + [0.49999999999999994e-6, 0.0499994999999999]
+    d = spark.createDataFrame([(1, k, v) for k, v in enumerate(found)], "i long, j long, distance double")
+    monkeypatch.setattr(spatial, "neighbors_within", lambda *a, **k: d)
+    got = {r.j: r.distance for r in QUERIES["g8_neighbors_within"](spark, DATA).collect()}
+    assert [got[k] for k in range(len(found))] == [duck.execute("SELECT round(?::DOUBLE, 6)", [v]).fetchall()[0][0] for v in found]
