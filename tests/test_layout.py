@@ -1,5 +1,6 @@
 """Edges laid out for a layout run, and its steps against numpy."""
 
+import os
 import re
 
 import numpy as np
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from loomgraph.fixtures import OFFSET, relation
 from loomgraph.operators import forces, graph
 from loomgraph.operators.forces import Speed, next_speed
+from loomgraph.plans import layout as steps
 from loomgraph.plans.adjacency import lay_out
 from loomgraph.plans.layout import LayoutParams, layout
 
@@ -71,3 +73,19 @@ def test_three_steps_against_numpy(spark, mode):
         pos = pos + (state.speed / (1 + state.speed * mass * swing))[:, None] * force
         last = force
     assert all(got[r.node_id] == pytest.approx(tuple(pos[k]), rel=1e-6, abs=1e-6) for k, r in enumerate(rows))
+
+
+def test_steps_by_cells_are_those_by_pairs(spark, monkeypatch):
+    nodes, adj = relation(spark, DATA, "nodes"), graph.mirror_edges(relation(spark, DATA, "edges"), OFFSET)
+    p, found, written = LayoutParams(attraction=1e-3, repulsion=1e-6, gravity=1e-4), [], []
+
+    def by_cells(*args):
+        written.append(forces.repulsion_exact(*args, tiled=0))
+        return written[-1]
+
+    for push in (forces.repulsion_exact, by_cells):
+        monkeypatch.setattr(steps, "repulsion_exact", push)
+        found.append({r.node_id: (r.x, r.y) for r in layout(nodes, adj, 2, p)[0].collect()})
+    assert found[0].keys() == found[1].keys() and all(found[1][k] == pytest.approx(v, rel=1e-9, abs=1e-9) for k, v in found[0].items())
+    # Each step deletes the forces that it was given.
+    assert len(written) == 2 and not any(os.path.exists(w._written_path.removeprefix("file://")) for w in written)
